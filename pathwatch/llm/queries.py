@@ -1,8 +1,12 @@
 """Queries of the training-data operators, with their SQL twins where SQL can express them."""
 
+from pathwatch.llm.bpe import op9_bpe_encode_decode
 from pathwatch.llm.simhash import op3_simhash_near_dedup
+from pathwatch.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 ORACLES: dict[str, str] = {}
