@@ -1,11 +1,19 @@
 """Queries of the training-data operators, with their SQL twins where SQL can express them."""
 
 from pathwatch.llm.bpe import op9_bpe_encode_decode
+from pathwatch.llm.language import op2_language_id
+from pathwatch.llm.pii import op1_pii
+from pathwatch.llm.secrets import op4_secret_scan
 from pathwatch.llm.simhash import op3_simhash_near_dedup
 from pathwatch.llm.token_counts import op8_token_counts
+from pathwatch.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
