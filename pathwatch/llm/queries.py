@@ -1,7 +1,9 @@
 """Queries of the training-data operators, with their SQL twins where SQL can express them."""
 
 from pathwatch.llm.bpe import op9_bpe_encode_decode
+from pathwatch.llm.decontaminate import OP10_SQL, op10_decontamination
 from pathwatch.llm.language import op2_language_id
+from pathwatch.llm.neighbours import op5_nearest_neighbours
 from pathwatch.llm.pii import op1_pii
 from pathwatch.llm.secrets import op4_secret_scan
 from pathwatch.llm.simhash import op3_simhash_near_dedup
@@ -13,8 +15,10 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL}
