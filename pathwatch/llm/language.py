@@ -180,14 +180,8 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
     return train(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
-
-    Only the text decides. Null texts and texts without a letter are ``und`` with score 0, as is everything when there
-    was nothing to learn from. Null ids are never held out; repeated rows are kept; other columns are not read; an
-    empty table gives none. Every window of a text counts; a text goes through in blocks of bounded memory.
-    """
-    spark = docs.sparkSession
+def guess(spark: SparkSession, text: Column, net: Network | None) -> Column:
+    """Column struct<lang,score> of the predicted language; see predict."""
     ship_code(spark)
     known = spark.sparkContext.broadcast(net)
 
@@ -201,11 +195,27 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", doc_id: st
                 out.loc[some, "lang"], out.loc[some, "score"] = lang, score
             yield out
 
-    guess = pandas_udf(run, "lang string, score double")(F.when(F.col(text).rlike(LETTER), F.col(text)))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(F.col(doc_id)) == HELD_OUT, F.lit(False)).alias("held_out"), guess.alias("g")).select(
+    return pandas_udf(run, "lang string, score double")(F.when(text.rlike(LETTER), text))
+
+
+def predict(docs: DataFrame, net: Network | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
+
+    Only the text decides. Null texts and texts without a letter are ``und`` with score 0, as is everything when there
+    was nothing to learn from. Null ids are never held out; repeated rows are kept; other columns are not read; an
+    empty table gives none. Every window of a text counts; a text goes through in blocks of bounded memory.
+    """
+    made = guess(docs.sparkSession, F.col(text), net)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(F.col(doc_id)) == HELD_OUT, F.lit(False)).alias("held_out"), made.alias("g")).select(
         "doc_id", "held_out", F.col("g.lang").alias("lang_pred"), F.col("g.score").alias("score"))
 
 
+def with_known_language(docs: DataFrame, net: Network | None, least: float, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is recognized with a score of at least ``least``; null languages are filled in."""
+    found = docs.withColumn("_guess", guess(docs.sparkSession, F.col(text), net)).where((F.col("_guess.lang") != UNKNOWN) & (F.col("_guess.score") >= least))
+    return found.select(*[F.coalesce(F.col(c), F.col("_guess.lang")).alias(c) if c == lang else F.col(c) for c in docs.columns])
+
+
 def crc_fold(doc_id: int) -> int:
     """The same fold in plain Python, for tests."""
     return zlib.crc32(str(doc_id).encode()) % FOLDS
