@@ -1,4 +1,276 @@
-"""Queries over the reference data model, with their SQL twins."""
+"""Queries over the reference data model, run on the driver's tables seen as traceroutes, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathwatch.functions import addresses as A
+from pathwatch.functions import expand
+from pathwatch.operators import delay, forwarding, magnitude, publish, references, statistics
+from pathwatch.schema import Params
+from pathwatch.session import written
+from pathwatch.sources import fixtures as fx
+
+P = Params(window=fx.WINDOW, start=fx.START)
+HOUR0, HOURS = 1704067200, 720  # the events' month
+NOW = fx.START + 16 * fx.WINDOW  # the bin of the injected anomaly
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# ---- the traceroute view in SQL
+
+TRACES = f"""
+t AS (SELECT o_orderkey AS tid, epoch(o_orderdate)::BIGINT AS ts, {fx.START} + ((epoch(o_orderdate)::BIGINT - {fx.START}) // {fx.WINDOW}) * {fx.WINDOW} AS time_bin,
+  o_custkey AS prb, 5001 + o_custkey % 5 AS msm, '20.' || c_nationkey || '.' || (o_custkey // 256) || '.' || (o_custkey % 256) AS probe, '40.0.0.' || o_orderpriority[1:1] AS dst
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT tid, l_linenumber AS hop, CASE WHEN l_returnflag = 'R' AND l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN '192.168.0.1'
+    WHEN l_linenumber = 3 AND dst = '40.0.0.1' AND ts >= 915148800 AND ts < 930787200 THEN '30.2.0.90'
+    ELSE '30.' || (l_linenumber - 1) || '.0.' || ((l_linenumber - 1) * 3 + l_suppkey % 3) END AS ip,
+  l_linenumber * 10 + l_quantity / 10 + CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 1 AND ts >= 915148800 AND ts < 930787200 THEN 40 ELSE 0 END AS rtt
+  FROM lineitem JOIN t ON l_orderkey = tid),
+hops AS (SELECT tid, hop, row_number() OVER (PARTITION BY tid ORDER BY hop) - 1 AS pos FROM (SELECT DISTINCT tid, hop FROM r)),
+med AS (SELECT r.tid, pos, ip, median(rtt) AS med FROM r JOIN hops USING (tid, hop) WHERE ip IS NOT NULL AND ip <> '192.168.0.1' AND rtt > 0 GROUP BY ALL)"""
+SAMPLES = TRACES + """,
+s AS (SELECT t.time_bin, t.tid, t.probe, t.msm, t.prb, least(a.ip, b.ip) AS ip1, greatest(a.ip, b.ip) AS ip2, b.med - a.med AS d
+  FROM med a JOIN med b ON a.tid = b.tid AND b.pos = a.pos + 1 AND a.ip <> b.ip JOIN t ON t.tid = a.tid)"""
+
+
+def asn_sql(ip: str) -> str:
+    """The prefix table's answer for one of the view's addresses."""
+    part = f"split_part({ip}, '.', 2)::INT"
+    return f"CASE WHEN {ip} LIKE '20.1.1.%' THEN 64601 WHEN {ip} LIKE '20.2.1.%' THEN 64602 WHEN {ip} LIKE '20.%' THEN 64500 + {part} WHEN {ip} LIKE '30.%' THEN 65000 + {part} ELSE 0 END"
+
+
+Z = 1.959963984540054
+STATS = SAMPLES + f""",
+sa AS (SELECT *, {asn_sql('probe')} AS asn FROM s),
+ac AS (SELECT time_bin, ip1, ip2, asn, count(*) AS c FROM sa GROUP BY ALL),
+ent AS (SELECT time_bin, ip1, ip2, sum(c) AS n, count(*) AS n_asn, CASE WHEN count(*) > 1 THEN (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*)) END AS entropy FROM ac GROUP BY ALL),
+st0 AS (SELECT time_bin, ip1, ip2, count(*) AS n, median(d) AS median, list_sort(list(d)) AS l FROM s GROUP BY ALL),
+st AS (SELECT st0.time_bin, st0.ip1, st0.ip2, st0.n, median, l[1 + floor(st0.n * (0.5 - {Z} / (2 * sqrt(st0.n + {Z} * {Z}))))::INT] AS lo, l[1 + floor(st0.n * (0.5 + {Z} / (2 * sqrt(st0.n + {Z} * {Z}))))::INT] AS hi, n_asn, entropy
+  FROM st0 JOIN ent USING (time_bin, ip1, ip2) WHERE n_asn >= 3 AND entropy >= 0.5)"""
+REF = STATS + """,
+ref AS (SELECT ip1, ip2, avg(median) AS mean, avg(lo) AS low, avg(hi) AS high, max(n_asn) AS nb_probes, min(time_bin) AS first_seen, max(time_bin) AS last_seen, count(*) AS nb_seen, count_if(median > 20) AS nb_reported FROM st GROUP BY ALL)"""
+_ema = ", ".join(f"sum(CASE WHEN k > 3 THEN 0.01 * {c} * power(0.99, -k) ELSE 0 END) OVER w AS s_{c}, max(CASE WHEN k = 3 THEN b_{c} END) OVER w AS base_{c}" for c in ("median", "hi", "lo"))
+_base = ", ".join(f"median({c}) OVER (PARTITION BY ip1, ip2 ORDER BY time_bin ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS b_{c}" for c in ("median", "hi", "lo"))
+_now = ", ".join(f"CASE WHEN k >= 3 THEN power(0.99, k - 3) * base_{c} + power(0.99, k) * s_{c} END AS r_{c}" for c in ("median", "hi", "lo"))
+_prev = ", ".join(f"lag(r_{c}) OVER (PARTITION BY ip1, ip2 ORDER BY k) AS p_{c}" for c in ("median", "hi", "lo"))
+FOLD = STATS + f""",
+k1 AS (SELECT *, row_number() OVER (PARTITION BY ip1, ip2 ORDER BY time_bin) AS k, {_base} FROM st),
+k2 AS (SELECT *, {_ema} FROM k1 WINDOW w AS (PARTITION BY ip1, ip2 ORDER BY time_bin ROWS UNBOUNDED PRECEDING)),
+k3 AS (SELECT *, {_now} FROM k2),
+k4 AS (SELECT *, {_prev} FROM k3),
+k5 AS (SELECT time_bin, ip1, ip2, n, n_asn, k - 1 AS nb_seen, median, lo, hi, p_median AS ref, p_lo AS ref_low, p_hi AS ref_high, median - p_median AS diff_med,
+  CASE WHEN median < p_median THEN hi - p_lo ELSE lo - p_hi END AS diff, CASE WHEN median < p_median THEN p_lo - p_median ELSE p_hi - p_median END AS div, p_hi < lo OR p_lo > hi AS alarm FROM k4 WHERE k > 3),
+al AS (SELECT time_bin, ip1, ip2, n, nb_seen, median, lo, hi, ref, ref_low, ref_high, diff, diff_med, CASE WHEN div <> 0 THEN diff_med / div END AS deviation, CASE WHEN div <> 0 THEN diff / div END AS dev_bound FROM k5 WHERE alarm)"""
+COUNTS = TRACES + """,
+fr AS (SELECT r.tid, hops.pos AS hp, coalesce(ip, 'x') AS ip FROM r JOIN hops USING (tid, hop) WHERE ip IS NULL OR ip <> '192.168.0.1'),
+fh AS (SELECT tid, hp, row_number() OVER (PARTITION BY tid ORDER BY hp) AS q, m FROM (SELECT tid, hp, count(*) AS m FROM fr GROUP BY ALL)),
+fn AS (SELECT fr.tid, q, ip, count(*) AS c, any_value(m) AS m FROM fr JOIN fh USING (tid, hp) GROUP BY ALL),
+fp AS (SELECT tid, 0 AS q, probe AS ip, 3 AS c, 3 AS m FROM t UNION ALL SELECT tid, q, ip, c, m FROM fn),
+e AS (SELECT t.time_bin, t.dst, a.ip AS ip0, b.ip AS ip1, t.probe, sum(a.c * b.c / a.m) AS weight FROM fp a JOIN fn b ON a.tid = b.tid AND b.q = a.q + 1 JOIN t ON t.tid = a.tid GROUP BY ALL)"""
+EVENTS = """
+ev AS (SELECT user_id % 10 AS asn, floor(epoch(ts))::BIGINT // 3600 * 3600 AS time_bin, value, json_extract_string(props, '$.k') AS word, user_id FROM events),
+grid AS (SELECT asn, time_bin, coalesce(sum(value), 0) AS value FROM (SELECT DISTINCT asn FROM ev) CROSS JOIN (SELECT 1704067200 + 3600 * range AS time_bin FROM range(720)) LEFT JOIN ev USING (asn, time_bin) GROUP BY ALL)"""
+
+
+def _magnitude_sql(rows: int, true_mad: bool = True) -> str:
+    mad = "list_median(list_transform(h, lambda x: abs(x - m)))" if true_mad else "0"
+    return f"""g1 AS (SELECT asn, time_bin, value, median(value) OVER w AS m, list(value) OVER w AS h FROM grid WINDOW w AS (PARTITION BY asn ORDER BY time_bin ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)),
+mag AS (SELECT asn, time_bin, value, (value - m) / (1 + 1.4826 * {mad}) AS magnitude, len(h) AS seen FROM g1)"""
+
+
+# ---- the same in DataFrames
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    return delay.link_samples(fx.traces(spark, d), P)
+
+
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    return delay.delay_stats(samples(spark, d), fx.rib(spark), P, trim=False)
+
+
+def reference(spark: SparkSession, d: str) -> DataFrame:
+    return stats(spark, d).groupBy("ip1", "ip2").agg(F.avg("median").alias("mean"), F.avg("lo").alias("low"), F.avg("hi").alias("high"), F.max("n_asn").alias("nb_probes"), F.min("time_bin").alias("first_seen"), F.max("time_bin").alias("last_seen"), F.count("*").alias("nb_seen"), F.count_if(F.col("median") > 20).alias("nb_reported"))
+
+
+def alarms(spark: SparkSession, d: str) -> DataFrame:
+    return delay.detect_delay_changes(stats(spark, d), None, P)[0].drop("alarm", "nb_reported")
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return forwarding.next_hop_counts(fx.traces(spark, d), P)
+
+
+def forwarding_reference(spark: SparkSession, d: str) -> DataFrame:
+    hop = counts(spark, d).groupBy("dst", "ip0", "ip1").agg(F.sum("weight").alias("w"))
+    return hop.groupBy("dst", "ip0").agg(F.map_from_entries(F.collect_list(F.struct("ip1", "w"))).alias("ref"), F.count_if(F.col("ip1") == "x").alias("nb_reported"))
+
+
+def forwarding_steps(spark: SparkSession, d: str) -> DataFrame:
+    return forwarding.detect_forwarding_changes(counts(spark, d), fx.rib(spark), None, P)[0]
+
+
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    """Responsibilities of the bins whose correlation is below 0.9 (few real alarms occur in the small tables)."""
+    return forwarding.responsibility(forwarding_steps(spark, d).where((F.col("corr") < 0.9) & (F.col("nb_seen") >= 3)))
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    hour = F.floor(F.unix_timestamp("ts") / 3600) * 3600
+    return e.select((F.col("user_id") % 10).alias("asn"), hour.alias("time_bin"), "value", F.get_json_object("props", "$.k").alias("word"), "user_id")
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return magnitude.hourly_grid(events(spark, d), "value", HOUR0, HOUR0 + 3600 * (HOURS - 1))
+
+
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{d}/customer.parquet").select(
+        k.alias("id"), (k % 3 + 1).cast("int").alias("status"), F.when(k % 4 == 0, "ping").otherwise("traceroute").alias("type"), F.when(k % 5 == 0, 6).otherwise(4).alias("af"),
+        F.when(k % 7 == 0, 3600).otherwise(900).alias("interval"), F.when(k % 2 == 0, (k % 300).cast("int")).alias("participant_count"), F.concat(F.lit("184.164.22"), k % 10, F.lit(".1")).alias("target_ip"))
+
+
+META = "meta AS (SELECT c_custkey AS id, c_custkey % 3 + 1 AS status, CASE WHEN c_custkey % 4 = 0 THEN 'ping' ELSE 'traceroute' END AS type, CASE WHEN c_custkey % 5 = 0 THEN 6 ELSE 4 END AS af, CASE WHEN c_custkey % 7 = 0 THEN 3600 ELSE 900 END AS ival, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 300 END AS participants, '184.164.22' || (c_custkey % 10) || '.1' AS target FROM customer)"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits without a negative zero; not a number becomes null."""
+    return df.select(*[F.when(~F.isnan(c), F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None = None, doubles: str = "") -> None:
+    """Register a query; ``sql`` is its twin, ``doubles`` the columns to be rounded in it."""
+    QUERIES[name] = lambda spark, d: rounded(make(spark, d))
+    if sql:
+        ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+
+
+def rib_of(s: SparkSession) -> DataFrame:
+    return fx.rib(s)
+
+
+add("hop_median_rtt", lambda s, d: expand.hop_median_rtt(fx.traces(s, d), "trace_id"), f"WITH {TRACES} SELECT tid AS trace_id, pos::INT AS hop_pos, ip, med FROM med", "med")
+add("differential_rtts", lambda s, d: samples(s, d).select("time_bin", "ip1", "ip2", "rtt_diff", "probe_ip", "msm_id", "prb_id"),
+    f"WITH {SAMPLES} SELECT time_bin, ip1, ip2, d AS rtt_diff, probe AS probe_ip, msm AS msm_id, prb AS prb_id FROM s", "rtt_diff")
+add("link_delay_stats", stats, f"WITH {STATS} SELECT * FROM st", "median lo hi entropy")
+add("asn_entropy", lambda s, d: statistics.asn_entropy(A.with_asn(samples(s, d), "probe_ip", fx.rib(s)), delay.LINK), f"WITH {STATS} SELECT time_bin, ip1, ip2, n::BIGINT AS n, n_asn, entropy FROM ent", "entropy")
+add("trimmed_link_delay_stats", lambda s, d: delay.delay_stats(samples(s, d), fx.rib(s, skewed=True), P))
+add("delay_alarms", alarms, f"WITH {FOLD} SELECT time_bin, ip1, ip2, n, median, lo, hi, ref, ref_low, ref_high, nb_seen::INT AS nb_seen, diff, diff_med, deviation, dev_bound FROM al", "median lo hi ref ref_low ref_high diff diff_med deviation dev_bound")
+add("delay_reference", lambda s, d: delay.detect_delay_changes(stats(s, d), None, P)[1].where("nb_seen >= 3").select("ip1", "ip2", "mean", "high", "low", "first_seen", "last_seen", "nb_seen"),
+    f"WITH {FOLD} SELECT ip1, ip2, arg_max(r_median, k) AS mean, arg_max(r_hi, k) AS high, arg_max(r_lo, k) AS low, min(time_bin) AS first_seen, max(time_bin) AS last_seen, max(k)::INT AS nb_seen FROM k3 GROUP BY ALL HAVING max(k) >= 3", "mean high low")
+add("delay_deviation", lambda s, d: delay.delay_deviation(stats(s, d).where(F.col("time_bin") == NOW), reference(s, d)).select("time_bin", "ip1", "ip2", "alarm", "diff", "diff_med", "deviation", "dev_bound"),
+    f"""WITH {REF}, x AS (SELECT time_bin, ip1, ip2, high < lo OR low > hi AS alarm, median - mean AS diff_med, CASE WHEN median < mean THEN hi - low ELSE lo - high END AS diff, CASE WHEN median < mean THEN low - mean ELSE high - mean END AS div FROM st JOIN ref USING (ip1, ip2) WHERE time_bin = {NOW})
+    SELECT time_bin, ip1, ip2, alarm, diff, diff_med, CASE WHEN div <> 0 THEN diff_med / div END AS deviation, CASE WHEN div <> 0 THEN diff / div END AS dev_bound FROM x""", "diff diff_med deviation dev_bound")
+add("link_history", lambda s, d: delay.link_history(samples(s, d), P))
+add("next_hop_counts", counts, f"WITH {COUNTS} SELECT * FROM e", "weight")
+add("forwarding_detection", lambda s, d: forwarding_steps(s, d).drop("obs", "prior"))
+add("responsibility", shares)
+add("next_hop_correlation", lambda s, d: forwarding.next_hop_correlation(
+        (c := counts(s, d)).where(F.col("time_bin") == NOW).groupBy("dst", "ip0", F.col("ip1").alias("hop")).agg(F.sum("weight").alias("packets")),
+        c.where(F.col("time_bin") < NOW).groupBy("dst", "ip0", F.col("ip1").alias("hop")).agg(F.sum("weight").alias("packets")), ["dst", "ip0"]),
+    f"""WITH {COUNTS}, o AS (SELECT dst, ip0, ip1, sum(weight) AS x FROM e WHERE time_bin = {NOW} GROUP BY ALL), o0 AS (SELECT * FROM o UNION ALL SELECT DISTINCT dst, ip0, '0', 0.0 FROM o),
+    f AS (SELECT dst, ip0, ip1, sum(weight) AS y FROM e WHERE time_bin < {NOW} GROUP BY ALL),
+    j AS (SELECT dst, ip0, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM o0 FULL JOIN f USING (dst, ip0, ip1))
+    SELECT dst, ip0, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS corr FROM j SEMI JOIN o USING (dst, ip0) GROUP BY ALL""", "corr")
+add("msm_probe_map", lambda s, d: forwarding.msm_probe_map(samples(s, d), delay.LINK).select(*delay.LINK, F.explode("msm").alias("msm_id", "p")).select(*delay.LINK, "msm_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("probes")),
+    f"WITH {SAMPLES} SELECT time_bin, ip1, ip2, msm AS msm_id, array_to_string(list_sort(list(DISTINCT prb)), ',') AS probes FROM s GROUP BY ALL")
+add("prefix24_private", lambda s, d: fx.traces(s, d).select(F.explode_outer("result").alias("h")).select(F.explode_outer("h.result").alias("r")).where("r.from IS NOT NULL").groupBy(A.prefix24(F.col("r.from")).alias("prefix"), A.is_private_ip(F.col("r.from")).alias("private")).agg(F.count("*").alias("n")),
+    f"WITH {TRACES} SELECT regexp_replace(ip, '[.][0-9]+$', '.0/24') AS prefix, ip = '192.168.0.1' AS private, count(*) AS n FROM r WHERE ip IS NOT NULL GROUP BY ALL")
+add("seen_prefix", lambda s, d: delay.seen_prefix(delay.valid_traces(fx.traces(s, d)), r"^30\.6\.").groupBy("dst_addr").agg(F.count("*").alias("n")),
+    f"WITH {TRACES} SELECT dst AS dst_addr, count(DISTINCT t.tid) AS n FROM t JOIN r ON t.tid = r.tid WHERE ip LIKE '30.6.%' GROUP BY ALL")
+add("selected_measurements", lambda s, d: publish.select_msm_metadata(metadata(s, d)), f"WITH {META} SELECT DISTINCT id FROM meta WHERE status = 2 AND type = 'traceroute' AND af = 4 AND ival <= 1800 AND (participants IS NULL OR participants > 100) AND target NOT LIKE '184.164.224%'")
+add("measurements_by_af", lambda s, d: publish.split_msm_by_af(metadata(s, d)).select("af", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")),
+    f"WITH {META} SELECT af, count(DISTINCT id) AS n, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM meta WHERE type = 'traceroute' GROUP BY af")
+add("time_range_bins", lambda s, d: delay.time_range(fx.traces(s, d), 915148800, 930787200).groupBy(delay.time_bin(F.col("timestamp"), P.start, P.window).alias("time_bin")).agg(F.count("*").alias("n")),
+    f"WITH {TRACES} SELECT time_bin, count(*) AS n FROM t WHERE ts >= 915148800 AND ts < 930787200 GROUP BY ALL")
+add("link_prefix_filter", lambda s, d: delay.link_filter(stats(s, d).select("ip1", "ip2").distinct(), "30.2.0."), f"WITH {STATS} SELECT DISTINCT ip1, ip2 FROM st WHERE ip1 LIKE '30.2.0.%' OR ip2 LIKE '30.2.0.%'")
+add("ip_to_asn", lambda s, d: A.with_asn(samples(s, d).select("probe_ip").distinct(), "probe_ip", fx.rib(s)), f"WITH {SAMPLES} SELECT DISTINCT probe AS probe_ip, ({asn_sql('probe')})::BIGINT AS asn FROM s")
+add("ip_to_country", lambda s, d: A.with_country(fx.traces(s, d).select("from").distinct(), "from", fx.rib(s)),
+    f"""WITH {TRACES} SELECT DISTINCT probe AS "from", CASE WHEN probe LIKE '20.1.1.%' OR probe LIKE '20.2.1.%' THEN 'C9' ELSE 'C' || (split_part(probe, '.', 2)::INT % 5) END AS country FROM t""")
+add("attach_reference", lambda s, d: stats(s, d).where(F.col("time_bin") == NOW).select("ip1", "ip2", "median").join(reference(s, d).where("nb_seen > 20").select("ip1", "ip2", "mean"), ["ip1", "ip2"], "full_outer"),
+    f"WITH {REF} SELECT ip1, ip2, median, mean FROM (SELECT ip1, ip2, median FROM st WHERE time_bin = {NOW}) FULL JOIN (SELECT ip1, ip2, mean FROM ref WHERE nb_seen > 20) USING (ip1, ip2)", "median mean")
+ROOTS = [("30.0.0.0", "a"), ("30.0.0.1", "a"), ("30.2.0.90", "b"), ("30.9.9.9", "c")]
+add("root_server_links", lambda s, d: references.root_server_links(stats(s, d), stats(s, d).where(F.col("time_bin") == NOW), s.createDataFrame(ROOTS, "ip string, name string")),
+    f"""WITH {STATS}, roots(ip, name) AS (VALUES {', '.join(map(str, ROOTS))}), m AS (SELECT coalesce(a.name, b.name) AS name, ip1, ip2, time_bin FROM st LEFT JOIN roots a ON ip1 = a.ip LEFT JOIN roots b ON ip2 = b.ip)
+    SELECT n.name, count(DISTINCT m.ip1 || ' ' || m.ip2) AS links, count(DISTINCT CASE WHEN time_bin = {NOW} THEN m.ip1 || ' ' || m.ip2 END) AS reported FROM (SELECT DISTINCT name FROM roots) n LEFT JOIN m ON m.name = n.name GROUP BY n.name""")
+add("register_asns", lambda s, d: references.register_asns(magnitude.link_ends(stats(s, d), fx.rib(s)), s.createDataFrame([(65001, False), (1, False), (2, True)], "asn long, delay boolean")),
+    f"WITH {STATS}, seen AS (SELECT DISTINCT {asn_sql('ip')} AS asn FROM (SELECT ip1 AS ip FROM st UNION SELECT ip2 FROM st)), reg(asn, delay) AS (VALUES (65001, false), (1, false), (2, true)) SELECT coalesce(seen.asn, reg.asn)::BIGINT AS asn, seen.asn IS NOT NULL OR coalesce(delay, false) AS delay FROM seen FULL JOIN reg ON seen.asn = reg.asn")
+add("sum_by_time", lambda s, d: magnitude.sum_by_time(events(s, d), "value", "value > 9"), f"WITH {EVENTS} SELECT time_bin, sum(value) AS value FROM ev WHERE value > 9 GROUP BY ALL", "value")
+add("alarm_count_events", lambda s, d: magnitude.alarm_count_events(events(s, d).select(F.col("asn").alias("dst"), "time_bin", F.lit(0.0).alias("corr"))),
+    f"WITH {EVENTS}, c AS (SELECT asn AS dst, time_bin, count(*) AS n FROM ev GROUP BY ALL) SELECT dst, time_bin, n, n > avg(n) OVER (PARTITION BY dst) + 3 * stddev_pop(n) OVER (PARTITION BY dst) AS event FROM c")
+add("daily_trace_counts", lambda s, d: references.daily_trace_counts(fx.traces(s, d)), f"WITH {TRACES} SELECT af, date, count(*) AS n FROM (SELECT 4 AS af, to_timestamp(ts)::TIMESTAMP::DATE AS date FROM t) GROUP BY ROLLUP (af, date)")
+add("distinct_link_ips", lambda s, d: references.distinct_link_ips(stats(s, d)), f"WITH {STATS} SELECT ip1 AS ip FROM st UNION SELECT ip2 FROM st")
+add("distinct_routers", lambda s, d: references.distinct_routers(counts(s, d)), f"WITH {COUNTS} SELECT ip0 LIKE 'probe%' AS is_probe, count(DISTINCT ip0) AS n FROM e GROUP BY ALL")
+add("ips_per_asn", lambda s, d: references.ips_per_asn(forwarding_reference(s, d), fx.rib(s)), f"WITH {COUNTS} SELECT ({asn_sql('ip1')})::BIGINT AS asn, count(DISTINCT ip1) AS n_ips FROM e WHERE ip1 <> 'x' GROUP BY ALL")
+LINKS = STATS + f", lk AS (SELECT DISTINCT ip1, ip2, {asn_sql('ip1')} AS asn1, {asn_sql('ip2')} AS asn2 FROM st)"
+links = lambda s, d: references.link_asns(stats(s, d).select("ip1", "ip2").distinct(), fx.rib(s))
+add("asn_link_counts", lambda s, d: references.asn_link_counts(links(s, d)), f"WITH {LINKS} SELECT asn::BIGINT AS asn, count(*) AS n FROM (SELECT unnest(list_distinct([asn1, asn2])) AS asn FROM lk) GROUP BY ALL")
+add("endpoint_counts", lambda s, d: references.endpoint_counts(links(s, d)), f"WITH {LINKS} SELECT key::BIGINT AS key, count(*) AS n FROM (SELECT unnest([asn1, asn2]) AS key FROM lk) GROUP BY ALL")
+add("as_ranking", lambda s, d: references.as_ranking(magnitude.link_ends(stats(s, d), fx.rib(s)), references.endpoint_counts(links(s, d)), "median", 2),
+    f"WITH {LINKS}, ends AS (SELECT time_bin, median, {asn_sql('ip')} AS asn FROM (SELECT time_bin, median, unnest([ip1, ip2]) AS ip FROM st)), c AS (SELECT unnest([asn1, asn2]) AS asn FROM lk), cc AS (SELECT asn, count(*) AS n FROM c GROUP BY ALL) SELECT ends.asn::BIGINT AS asn, sum(median) / any_value(n) / (SELECT count(DISTINCT time_bin) FROM st) AS score FROM ends JOIN cc ON ends.asn = cc.asn WHERE n > 2 GROUP BY ends.asn", "score")
+add("link_distribution_stats", lambda s, d: references.link_distribution_stats(samples(s, d)),
+    f"WITH {SAMPLES}, m AS (SELECT *, median(d) OVER (PARTITION BY ip1, ip2) AS m FROM s) SELECT ip1, ip2, count(*) AS n, avg(d) AS mean, stddev_pop(d) AS std, any_value(m) AS median, median(abs(d - m)) AS mad FROM m GROUP BY ip1, ip2 HAVING count(*) > 48", "mean std median mad")
+add("sample_count_histogram", lambda s, d: references.histogram(samples(s, d).groupBy("ip1", "ip2").agg(F.count("*").alias("n")), "n", 50, 0, 8000),
+    f"WITH {SAMPLES} SELECT least(floor(n / 160.0), 49)::INT AS bin, count(*) AS n FROM (SELECT count(*) AS n FROM s GROUP BY ip1, ip2) WHERE n <= 8000 GROUP BY 1")
+add("normality", lambda s, d: references.normality(samples(s, d)))
+add("ecdf", lambda s, d: references.ecdf(reference(s, d).withColumn("told", F.col("nb_reported") > 0), "mean", ["told"]),
+    f"WITH {REF} SELECT nb_reported > 0 AS told, mean AS value, (row_number() OVER (PARTITION BY nb_reported > 0 ORDER BY mean) - 1) / count(*) OVER (PARTITION BY nb_reported > 0) AS y FROM ref", "value y")
+_sum = lambda e, n: f"avg({e}) AS {n}_mean, stddev_pop({e}) AS {n}_std, min({e}) AS {n}_min, max({e}) AS {n}_max, median({e}) AS {n}_median"
+add("delay_reference_stats", lambda s, d: references.delay_reference_stats(reference(s, d)),
+    f"WITH {REF} SELECT {_sum('high - mean', 'up')}, {_sum('mean - low', 'down')}, {_sum('high - low', 'size')}, {_sum('nb_probes', 'probes')}, count(*) AS links, count_if(nb_reported > 0)::BIGINT AS reported, count_if(nb_reported > 0) / count(*) AS reported_share FROM ref",
+    " ".join(f"{n}_{k}" for n in ("up", "down", "size") for k in ("mean", "std", "min", "max", "median")) + " probes_mean probes_std probes_median reported_share")
+add("delay_reference_correlation", lambda s, d: references.delay_reference_correlation(reference(s, d)),
+    f"""WITH {REF}, x AS (SELECT high - low AS a, nb_probes::DOUBLE AS b FROM ref WHERE nb_seen > 24 AND nb_probes > 3),
+    rk AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x)
+    SELECT corr(a, b) AS pearson, corr(ra, rb) AS spearman, count(*) AS n FROM rk""", "pearson spearman")
+add("observation_ratio", lambda s, d: references.observation_ratio(reference(s, d), P.window),
+    f"WITH {REF}, x AS (SELECT CASE WHEN last_seen - first_seen < 86400 THEN 'day' WHEN last_seen - first_seen < 604800 THEN 'week' WHEN last_seen - first_seen < 2592000 THEN 'month' ELSE 'longer' END AS bucket, nb_seen / (1 + (last_seen - first_seen) / {P.window}) AS q FROM ref) SELECT bucket, count(*) AS n, avg(q) AS mean, median(q) AS median FROM x GROUP BY bucket", "mean median")
+add("links_first_last_seen", lambda s, d: references.links_first_last_seen(reference(s, d)), f"WITH {REF} SELECT 'first' AS kind, first_seen AS ts, count(*) AS n FROM ref GROUP BY ALL UNION ALL SELECT 'last', last_seen, count(*) FROM ref GROUP BY ALL")
+add("forwarding_reference_stats", lambda s, d: references.forwarding_reference_stats(forwarding_reference(s, d)), f"WITH {COUNTS} SELECT dst, ip0, count(DISTINCT ip1)::INT AS next_hops, bool_or(ip1 = 'x') AS reported FROM e WHERE ip0 <> 'x' GROUP BY ALL")
+add("large_routers", lambda s, d: references.large_routers(forwarding_reference(s, d), 2), f"WITH {COUNTS} SELECT ip0, count(DISTINCT dst) AS n FROM e WHERE ip0 <> 'x' GROUP BY ip0 HAVING count(DISTINCT dst) > 2")
+add("prune_small_targets", lambda s, d: forwarding.prune_small_targets(forwarding_reference(s, d), 100).groupBy("dst").agg(F.count("*").alias("n")), f"WITH {COUNTS} SELECT dst, count(DISTINCT ip0) AS n FROM e GROUP BY dst HAVING count(DISTINCT ip0) >= 100")
+add("alarms_per_probe_count", lambda s, d: references.alarms_per_probe_count(stats(s, d).where("median > 20").withColumnRenamed("n_asn", "nb_probes"), reference(s, d)),
+    f"WITH {REF} SELECT b.nb_probes, coalesce(a, 0) / n AS ratio FROM (SELECT nb_probes, count(*) AS n FROM ref GROUP BY ALL) b LEFT JOIN (SELECT n_asn AS nb_probes, count(*) AS a FROM st WHERE median > 20 GROUP BY ALL) USING (nb_probes)", "ratio")
+add("metric_correlation", lambda s, d: references.metric_correlation(stats(s, d), "median", "n_asn"), f"WITH {STATS} SELECT corr(median, n_asn) AS r FROM st", "r")
+add("outlier_share", lambda s, d: references.outlier_share(samples(s, d)),
+    f"WITH {SAMPLES}, m AS (SELECT ip1, ip2, avg(d) AS m, stddev_pop(d) AS sd FROM s GROUP BY ALL) SELECT ip1, ip2, avg(CASE WHEN abs(d - m) > 3 * sd THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM s JOIN m USING (ip1, ip2) GROUP BY ALL", "share")
+add("anomaly_graph", lambda s, d: references.anomaly_graph(alarms(s, d), NOW), f"WITH {FOLD} SELECT ip1, ip2, deviation, diff_med FROM al WHERE diff_med > 1 AND time_bin = {NOW}", "deviation diff_med")
+add("publishable_delay_alarms", lambda s, d: publish.publishable_delay_alarms(alarms(s, d), fx.rib(s), P.window).select("ts", "ip", "asn", "dev_bound", "diff_med"),
+    f"WITH {FOLD} SELECT time_bin + {P.window // 2} AS ts, ip, ({asn_sql('ip')})::BIGINT AS asn, dev_bound, diff_med FROM (SELECT *, unnest([ip1, ip2]) AS ip FROM al WHERE dev_bound >= 5 AND abs(diff_med) >= 5)", "dev_bound diff_med")
+add("publishable_forwarding_alarms", lambda s, d: publish.publishable_forwarding_alarms(shares(s, d), fx.rib(s), s.createDataFrame([(65000 + k,) for k in range(5)], "asn long"), P.window, NOW).select("ts", "ip", "asn", "resp"))
+add("delay_alarm_export", lambda s, d: publish.delay_alarm_rows(alarms(s, d), fx.rib(s)).select("time_bin", "asn0", "asn1", "ip0", "ip1", "label"),
+    f"WITH {FOLD} SELECT strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') || '+00' AS time_bin, ({asn_sql('ip1')})::VARCHAR AS asn0, ({asn_sql('ip2')})::VARCHAR AS asn1, ip1 AS ip0, ip2 AS ip1, 'none' AS label FROM al WHERE diff_med > 1")
+add("forwarding_alarm_export", lambda s, d: publish.forwarding_alarm_rows(shares(s, d), fx.rib(s)))
+add("hourly_grid", grid, f"WITH {EVENTS} SELECT asn, time_bin, value FROM grid", "value")
+add("as_magnitude", lambda s, d: magnitude.as_magnitude(grid(s, d)), f"WITH {EVENTS}, {_magnitude_sql(169)} SELECT asn, time_bin, value, magnitude FROM mag", "value magnitude")
+add("as_magnitude_notnull", lambda s, d: magnitude.as_magnitude(grid(s, d), mad="notnull"), f"WITH {EVENTS}, {_magnitude_sql(169, False)} SELECT asn, time_bin, value, magnitude FROM mag", "value magnitude")
+add("rolling_magnitude", lambda s, d: magnitude.rolling_magnitude(grid(s, d), 168, 24), f"WITH {EVENTS}, {_magnitude_sql(168)} SELECT asn, time_bin, value, CASE WHEN seen >= 24 THEN magnitude END AS magnitude FROM mag", "value magnitude")
+add("as_series_export", lambda s, d: publish.as_series_rows(magnitude.as_magnitude(grid(s, d)), "events").select("label", "time_bin", "asn", "value"),
+    f"WITH {EVENTS} SELECT 'events' AS label, strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS time_bin, asn::VARCHAR AS asn, value FROM grid", "value")
+add("magnitude_events", lambda s, d: magnitude.magnitude_events(magnitude.as_magnitude(grid(s, d)), 2.0), f"WITH {EVENTS}, {_magnitude_sql(169)} SELECT asn, time_bin, value, magnitude FROM mag WHERE magnitude > 2", "value magnitude")
+add("event_counts", lambda s, d: magnitude.event_counts(magnitude.magnitude_events(magnitude.as_magnitude(grid(s, d)), 1.0)),
+    f"WITH {EVENTS}, {_magnitude_sql(169)}, p AS (SELECT asn, count(*) AS n FROM mag WHERE magnitude > 1 GROUP BY ALL) SELECT count(*) AS n_asn, avg(n) AS mean, median(n) AS median, stddev_samp(n) AS std, sum(n)::BIGINT AS total FROM p", "mean median std")
+KEYWORDS = EVENTS + """, per AS (SELECT word, time_bin, sum(value) AS v FROM ev GROUP BY ALL),
+ph AS (SELECT *, sum(v) OVER (PARTITION BY word ORDER BY time_bin RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS h FROM per),
+bv AS (SELECT time_bin, sum(value) AS b FROM ev GROUP BY ALL),
+kw AS (SELECT time_bin, word, abs(v / nullif(b, 0)) AS tf, abs(v / nullif(b, 0)) * ln(1 + abs((SELECT sum(value) FROM ev) / nullif(h, 0))) AS tfidf FROM ph JOIN bv USING (time_bin) WHERE time_bin % 86400 = 0)"""
+keywords = lambda s, d: magnitude.event_keywords(e := events(s, d), e.where(F.col("time_bin") % 86400 == 0), "value", threshold=0.05)
+add("event_keywords", keywords, f"WITH {KEYWORDS} SELECT * FROM kw WHERE tfidf > 0.05", "tf tfidf")
+add("event_labels", lambda s, d: magnitude.event_labels(keywords(s, d)), f"WITH {KEYWORDS} SELECT time_bin, string_agg(word || ' (' || round(tf * 100)::INT || '%)', ', ' ORDER BY tfidf DESC, word) AS label FROM kw WHERE tfidf > 0.05 GROUP BY time_bin")
+add("as_bin_stats", lambda s, d: magnitude.as_bin_stats(events(s, d), "value", "user_id"),
+    f"WITH {EVENTS} SELECT asn, time_bin, avg(value) AS mean, median(value) AS median, sum(value) AS total, stddev_samp(value) AS std, count(DISTINCT user_id) AS n_ips, count(DISTINCT CASE WHEN value > 10 THEN user_id END) AS n_big_ips FROM ev GROUP BY ALL", "mean median total std")
+add("signed_as_groups", lambda s, d: magnitude.signed_as_groups(events(s, d).select("asn", "time_bin", (F.col("value") - 20).alias("resp"))),
+    f"WITH {EVENTS} SELECT time_bin, CASE WHEN value - 20 < 0 THEN '-' ELSE '+' END || asn AS label, sum(value - 20) AS resp FROM ev GROUP BY ALL", "resp")
+add("delay_magnitude", lambda s, d: magnitude.delay_magnitude(alarms(s, d), fx.rib(s), NOW),
+    f"WITH {FOLD}, ends AS (SELECT {asn_sql('ip')} AS asn, dev_bound FROM (SELECT unnest([ip1, ip2]) AS ip, dev_bound FROM al WHERE diff_med > 1 AND time_bin > {NOW} - 604800 AND time_bin <= {NOW})) SELECT asn::BIGINT AS asn, {NOW}::BIGINT AS time_bin, coalesce(sum(dev_bound), 0) AS value, coalesce(sum(dev_bound), 0) AS magnitude FROM ends GROUP BY asn", "value magnitude")
+add("forwarding_magnitude", lambda s, d: magnitude.forwarding_magnitude(shares(s, d), fx.rib(s), NOW))
+add("derived_alarm_columns", lambda s, d: magnitude.derived_alarm_columns(alarms(s, d), fx.rib(s)).select("time_bin", "ip", "prefix", "asn", "diff_med_abs", "diff_abs", "dev_bound_pkt"),
+    f"WITH {FOLD} SELECT time_bin, ip, regexp_replace(ip, '[.][0-9]+$', '.0/24') AS prefix, ({asn_sql('ip')})::BIGINT AS asn, abs(diff_med) AS diff_med_abs, abs(diff) AS diff_abs, dev_bound * n AS dev_bound_pkt FROM (SELECT *, unnest([ip1, ip2]) AS ip FROM al)", "diff_med_abs diff_abs dev_bound_pkt")
+add("expired_reference", lambda s, d: delay.expire_reference(reference(s, d), NOW + 7 * 86400).select("ip1", "ip2", "last_seen"), f"WITH {REF} SELECT ip1, ip2, last_seen FROM ref WHERE last_seen >= {NOW}")
