@@ -7,6 +7,7 @@ from pathwatch.llm.neighbours import op5_nearest_neighbours
 from pathwatch.llm.pii import op1_pii
 from pathwatch.llm.secrets import op4_secret_scan
 from pathwatch.llm.simhash import op3_simhash_near_dedup
+from pathwatch.llm.suffixes import op7_suffix_dedup
 from pathwatch.llm.token_counts import op8_token_counts
 from pathwatch.llm.toxicity import op6_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_decontamination": op10_decontamination,
