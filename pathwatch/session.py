@@ -45,8 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows and bytes that go to Python at once; what a helper holds is a multiple of it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors' Python (once for each application), so that helpers can be imported there."""
+    """Send this package to the executors' Python (once for each application), so that helpers can be imported there.
+
+    Also bounds the batches that go to Python in this session.
+    """
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
