@@ -18,7 +18,7 @@ from pathwatch.session import ship_code, written
 #: Length of a repeat in bytes, and of the seeds by whose hashes strings are dealt out.
 REPEAT, SEED_BYTES = 200, 48
 #: Distinct strings of one seed up to which they are sorted together; beyond it their repeats are counted one by one.
-TOGETHER = 1024
+TOGETHER = 128
 #: Bytes whose hashes are made at once.
 PIECE = 1 << 22
 _INDEX_BITS = np.uint64(24)
@@ -294,21 +294,38 @@ def _intervals(starts: set[int]) -> list[tuple[int, int]]:
     return list(zip(s[np.r_[0, b + 1]].tolist(), s[np.r_[b, len(s) - 1]].tolist()))
 
 
-def _decide_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("c")
-    found = decide([(bytes(x), int(lead), 1) for x, lead in zip(pdf["bytes"], pdf["lead"])])
-    rows = [(k, c, a, b) for k, c, s in zip(pdf["key"], pdf["c"], found) for a, b in _intervals(s)]
-    return pd.DataFrame(rows, columns=["key", "c", "first", "last"]).astype({"key": "int64", "c": "int64", "first": "int32", "last": "int32"})
+def _decide_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """decide() for every seed of a partition that is sorted by seed; holds one seed's strings at a time."""
+    held: list[tuple[int, bytes, int]] = []
+    seed = None
+
+    def rows() -> list[tuple[int, int, int, int]]:
+        found = decide([(x, lead, 1) for _, x, lead in held])
+        return [(seed, c, a, b) for (c, _, _), starts in zip(held, found) for a, b in _intervals(starts)]
+
+    def frame(made: list) -> pd.DataFrame:
+        return pd.DataFrame(made, columns=["key", "c", "first", "last"]).astype({"key": "int64", "c": "int64", "first": "int32", "last": "int32"})
+
+    for pdf in batches:
+        made = []
+        for key, c, x, lead in zip(pdf["key"].tolist(), pdf["c"].tolist(), pdf["bytes"], pdf["lead"].tolist()):
+            if key != seed:
+                made += rows()
+                held, seed = [], key
+            held.append((c, bytes(x), lead))
+        yield frame(made)
+    yield frame(rows())
 
 
 def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each repeat-long substring: its 128-bit hash in two longs."""
     for pdf in batches:
-        for key, c, x in zip(pdf["key"], pdf["c"], pdf["bytes"]):
-            x = bytes(x)
-            h = [xxhash.xxh3_128_intdigest(x[i : i + REPEAT]) for i in range(len(x) - REPEAT + 1)]
-            two = np.array([(v >> 64, v & _U64) for v in h], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": key, "c": c, "o": np.arange(len(h), dtype=np.int32), "h1": two[:, 0], "h2": two[:, 1]})
+        strings = [bytes(x) for x in pdf["bytes"]]
+        n = np.array([len(x) - REPEAT + 1 for x in strings], dtype=np.int64)
+        digests = b"".join([xxhash.xxh3_128_digest(x[i : i + REPEAT]) for x in strings for i in range(len(x) - REPEAT + 1)])
+        two = np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
+        first = np.repeat(np.cumsum(n) - n, n)
+        yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), n), "c": np.repeat(pdf["c"].to_numpy(), n), "o": (np.arange(len(two)) - first).astype(np.int32), "h1": two[:, 0], "h2": two[:, 1]})
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -338,7 +355,8 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = long_enough.join(of_text, ["t1", "t2"]).select(F.col("text").cast("binary").alias("b"), F.explode("m").alias("m"))
     strings = cut.select("m.key", "m.c", "m.d", "m.lead", F.substring("b", F.col("m.pos").cast("int") + 1, F.col("m.count") + REPEAT - 1).alias("bytes"))
     strings = written(strings.groupBy("key", "c").agg(F.first("d").alias("d"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes")), "mixed")
-    sorted_ = strings.where(F.col("d") <= TOGETHER).groupBy("key").applyInPandas(_decide_group, FOUND)
+    # a seed has few strings: streaming over sorted partitions spares a table for each
+    sorted_ = strings.where(F.col("d") <= TOGETHER).repartition("key").sortWithinPartitions("key", "c").mapInPandas(_decide_sorted, FOUND)
     single = strings.where(F.col("d") > TOGETHER).mapInPandas(_single, "key long, c long, o int, h1 long, h2 long")
     twice = single.groupBy("key", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = single.join(twice, ["key", "h1", "h2"]).select("key", "c", F.col("o").alias("first"), F.col("o").alias("last"))

@@ -253,7 +253,7 @@ def plain_removal(texts):
     return out
 
 
-@pytest.mark.parametrize("together", [1024, 1])
+@pytest.mark.parametrize("together", [128, 1])
 def test_repeats_against_brute_force(spark, monkeypatch, together):
     monkeypatch.setattr(suffixes, "TOGETHER", together)
     rng = np.random.default_rng(6)
