@@ -113,9 +113,9 @@ def average_rank(value: str, series: list[str]) -> Column:
 def delay_reference_correlation(ref: DataFrame, min_seen: int = 24, min_probes: int = 3) -> DataFrame:
     """One row: Pearson and Spearman correlation of interval size and number of probes.
 
-    Ranks come from the distinct values' counts (a running sum over one row for each value), not from a sort of all rows.
+    Sizes are compared to nine digits, so that ties don't hang on the order of sums. Ranks come from the distinct values' counts (a running sum over one row for each value), not from a sort of all rows.
     """
-    x = ref.where((F.col("nb_seen") > min_seen) & (F.col("nb_probes") > min_probes)).select((F.col("high") - F.col("low")).alias("a"), F.col("nb_probes").cast("double").alias("b"))
+    x = ref.where((F.col("nb_seen") > min_seen) & (F.col("nb_probes") > min_probes)).select(F.round(F.col("high") - F.col("low"), 9).alias("a"), F.col("nb_probes").cast("double").alias("b"))
 
     def ranks(c: str) -> DataFrame:
         n = x.groupBy(c).agg(F.count("*").alias("n"))

@@ -227,7 +227,7 @@ add("delay_reference_stats", lambda s, d: references.delay_reference_stats(refer
     f"WITH {REF} SELECT {_sum('high - mean', 'up')}, {_sum('mean - low', 'down')}, {_sum('high - low', 'size')}, {_sum('nb_probes', 'probes')}, count(*) AS links, count_if(nb_reported > 0)::BIGINT AS reported, count_if(nb_reported > 0) / count(*) AS reported_share FROM ref",
     " ".join(f"{n}_{k}" for n in ("up", "down", "size") for k in ("mean", "std", "min", "max", "median")) + " probes_mean probes_std probes_median reported_share")
 add("delay_reference_correlation", lambda s, d: references.delay_reference_correlation(reference(s, d)),
-    f"""WITH {REF}, x AS (SELECT high - low AS a, nb_probes::DOUBLE AS b FROM ref WHERE nb_seen > 24 AND nb_probes > 3),
+    f"""WITH {REF}, x AS (SELECT round(high - low, 9) AS a, nb_probes::DOUBLE AS b FROM ref WHERE nb_seen > 24 AND nb_probes > 3),
     rk AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x)
     SELECT corr(a, b) AS pearson, corr(ra, rb) AS spearman, count(*) AS n FROM rk""", "pearson spearman")
 add("observation_ratio", lambda s, d: references.observation_ratio(reference(s, d), P.window),
