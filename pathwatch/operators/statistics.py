@@ -120,6 +120,11 @@ def shapiro_wilk(x: np.ndarray) -> float:
         a = m / math.sqrt((ss - 2 * m[-1] ** 2) / (1 - 2 * an**2))
     a[-1], a[0] = an, -an
     w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    return _shapiro_p(w, n)
+
+
+def _shapiro_p(w: float, n: int) -> float:
+    nd = NormalDist()
     if n < 12:
         g, mu, sigma = 0.459 * n - 2.273, np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
         z = (-math.log(g - math.log(1 - w)) - mu) / sigma if w < 1 else -10.0
@@ -128,3 +133,33 @@ def shapiro_wilk(x: np.ndarray) -> float:
         mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
         z = (math.log(1 - w) - mu) / sigma if w < 1 else -10.0
     return 1 - nd.cdf(z)
+
+
+def normal_scores(low: int, high: int, n: int) -> tuple[float, float]:
+    """Sum and sum of squares of the expected normal scores of the ranks low + 1 to high of n, in bounded memory."""
+    inv, s, ss = NormalDist().inv_cdf, 0.0, 0.0
+    for at in range(low, high, 1 << 16):
+        m = np.array([inv((i - 0.375) / (n + 0.25)) for i in range(at + 1, min(high, at + (1 << 16)) + 1)])
+        s, ss = s + float(m.sum()), ss + float(m @ m)
+    return s, ss
+
+
+def shapiro_of_sums(n: int, mx: float, ss: float, spread: float, first: float, second: float, before: float, last: float) -> float:
+    """As ``shapiro_wilk``, from sums over a sample that need not be in one place.
+
+    mx: normal scores times values; ss: squares of the scores; spread: squared distances from the mean; then the two
+    least and the two greatest values.
+    """
+    if n < 4 or first == last:
+        return float("nan")
+    inv, u = NormalDist().inv_cdf, 1 / math.sqrt(n)
+    top, next_ = inv((n - 0.375) / (n + 0.25)), inv((n - 1.375) / (n + 0.25))
+    an = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, top / math.sqrt(ss)], u))
+    rest = mx - top * (last - first)
+    if n > 5:
+        an1 = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, next_ / math.sqrt(ss)], u))
+        phi = (ss - 2 * top**2 - 2 * next_**2) / (1 - 2 * an**2 - 2 * an1**2)
+        ax = (rest - next_ * (before - second)) / math.sqrt(phi) + an1 * (before - second)
+    else:
+        ax = rest / math.sqrt((ss - 2 * top**2) / (1 - 2 * an**2))
+    return _shapiro_p(min(1.0, (ax + an * (last - first)) ** 2 / spread), n)
