@@ -127,7 +127,11 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    return magnitude.hourly_grid(events(spark, d), "value", HOUR0, HOUR0 + 3600 * (HOURS - 1))
+    """The month, and further hours on either side where there are events."""
+    e = events(spark, d)
+    low, high = e.agg(F.min("time_bin"), F.max("time_bin")).first()  # one row
+    start, end = HOUR0, HOUR0 + 3600 * (HOURS - 1)
+    return magnitude.hourly_grid(e, "value", start if low is None else min(start, low), end if high is None else max(end, high))
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -264,6 +268,11 @@ kw AS (SELECT time_bin, word, abs(v / nullif(b, 0)) AS tf, abs(v / nullif(b, 0))
 keywords = lambda s, d: magnitude.event_keywords(e := events(s, d), e.where(F.col("time_bin") % 86400 == 0), "value", threshold=0.05)
 add("event_keywords", keywords, f"WITH {KEYWORDS} SELECT * FROM kw WHERE tfidf > 0.05", "tf tfidf")
 add("event_labels", lambda s, d: magnitude.event_labels(keywords(s, d)), f"WITH {KEYWORDS} SELECT time_bin, string_agg(word || ' (' || round(tf * 100)::INT || '%)', ', ' ORDER BY tfidf DESC, word) AS label FROM kw WHERE tfidf > 0.05 GROUP BY time_bin")
+# the two above have the midnight bins as events; these have the bins found by magnitude, at any hour
+MAGNITUDE_KEYWORDS = KEYWORDS.replace(", per AS (", f", {_magnitude_sql(169)}, per AS (", 1).replace("time_bin % 86400 = 0", "time_bin IN (SELECT time_bin FROM mag WHERE magnitude > 2)")
+magnitude_keywords = lambda s, d: magnitude.event_keywords(events(s, d), magnitude.magnitude_events(magnitude.as_magnitude(grid(s, d)), 2.0), "value", threshold=0.05)
+add("magnitude_event_keywords", magnitude_keywords, f"WITH {MAGNITUDE_KEYWORDS} SELECT * FROM kw WHERE tfidf > 0.05", "tf tfidf")
+add("magnitude_event_labels", lambda s, d: magnitude.event_labels(magnitude_keywords(s, d)), f"WITH {MAGNITUDE_KEYWORDS} SELECT time_bin, string_agg(word || ' (' || round(tf * 100)::INT || '%)', ', ' ORDER BY tfidf DESC, word) AS label FROM kw WHERE tfidf > 0.05 GROUP BY time_bin")
 add("as_bin_stats", lambda s, d: magnitude.as_bin_stats(events(s, d), "value", "user_id"),
     f"WITH {EVENTS} SELECT asn, time_bin, avg(value) AS mean, median(value) AS median, sum(value) AS total, stddev_samp(value) AS std, count(DISTINCT user_id) AS n_ips, count(DISTINCT CASE WHEN value > 10 THEN user_id END) AS n_big_ips FROM ev GROUP BY ALL", "mean median total std")
 add("signed_as_groups", lambda s, d: magnitude.signed_as_groups(events(s, d).select("asn", "time_bin", (F.col("value") - 20).alias("resp"))),
