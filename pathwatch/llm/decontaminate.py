@@ -50,17 +50,33 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two arrays of hashes, each weighted by its number of occurrences."""
     count = lambda of, x: F.size(F.filter(of, lambda y: y == x))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    once = lambda of: F.size(F.array_distinct(of)) == F.size(of)
+    repeats = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    common = F.when(once(a) | once(b), F.size(F.array_intersect(a, b))).otherwise(repeats)
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _starts(least: float) -> Column:
+    """Where the windows begin that can be an item's best one with a similarity of ``least`` at least.
+
+    From columns p (sorted places in the text of the item's shingles), n and m (shingles of text and item) and size (of
+    a window). Such a window has ``enough`` of these places. If its first shingle is none of them, the window one further
+    on has no fewer common shingles, so only windows that begin at one, and the text's last window, need be looked at.
+    """
+    enough = F.greatest(F.lit(1), F.ceil(F.lit(least) * (F.col("size") + F.col("m")) / (1 + least) - 1e-9).cast("int"))
+    last, there = F.col("n") - F.col("size"), F.size("p")
+    full = F.filter("p", lambda x, i: (x <= last) & (F.coalesce(F.get("p", i + enough - 1), F.col("n") + F.col("size")) < x + F.col("size")))
+    at_end = F.get("p", there - enough) >= last
+    return F.when(there >= enough, F.array_distinct(F.concat(full, F.when(at_end, F.array(last)).otherwise(F.array().cast("array<int>"))))).otherwise(F.array().cast("array<int>"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity) for every row of ``docs`` and item whose best window reaches ``least``.
 
-    A window is a run of as many words as the item has (the whole text, if that is shorter), placed so that at least
-    one shingle lies where it lies in the item (moved inside the text, where it would stick out); a window without a
-    common shingle has similarity 0. Items of fewer words than a shingle are one shingle. Windows are fingerprinted,
-    joined by length and block with the items' fingerprints, kept within the radius, and verified exactly.
+    A window is a run of as many words as the item has (the whole text, if that is shorter), anywhere in the text and
+    with the shingles in any order. Items of fewer words than a shingle are one shingle. Windows with enough shingles
+    of an item (see ``_starts``) are fingerprinted, joined by length and block with the items' fingerprints, kept
+    within the radius, and verified exactly.
 
     Texts are looked at by content, so copies are examined once and ids may be null or repeated (each row of ``docs``
     gets its rows). Null, empty and blank texts have none; other columns are not read; empty tables give none.
@@ -70,7 +86,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     known = w.select("item_id", F.size("w").alias("len"), width.alias("width"), reduce(
         lambda rest, k: F.when(F.size("w") == k, shingles(F.col("w"), k)).otherwise(rest), range(1, SHINGLE_WORDS), shingles(F.col("w"), SHINGLE_WORDS)).alias("sh"))
     known = written(known.withColumn("fp", simhash(F.col("sh"))), "items")
-    places = known.select("width", "len", F.posexplode("sh").alias("off", "h")).distinct()
+    places = known.select("width", "item_id", "len", F.explode("sh").alias("h")).distinct()
     # at most SHINGLE_WORDS rows
     sizes = {r["width"]: r["n"] for r in places.groupBy("width").agg(F.count("*").alias("n")).collect()}
     key = F.xxhash64(F.col(text))
@@ -80,9 +96,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         own = places.where(F.col("width") == k).drop("width")
         at = body.select(key.alias("key"), words(F.col(text)).alias("w")).select("key", shingles(F.col("w"), k).alias("sh")).select("key", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))  # outer: else an inferred filter makes the shingles once more
         hit = at.join(F.broadcast(own) if n <= BROADCAST else own, "h")
-        # shingles in the text and in the item decide how far a window can be moved
-        inside = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - (F.col("len") - k + 1)))
-        found.append(hit.select("key", F.lit(k).alias("width"), "len", inside.alias("start")).distinct())
+        # a set: copies of a text give the same places
+        spots = hit.groupBy("key", "item_id", "len", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+        spots = spots.withColumn("m", F.col("len") - k + 1).withColumn("size", F.least("m", "n"))
+        found.append(spots.select("key", F.lit(k).alias("width"), "len", F.explode(_starts(least)).alias("start")).distinct())
     if not found:
         return docs.select(F.col(doc_id).alias("doc_id")).crossJoin(known.select("item_id")).withColumn("similarity", F.lit(0.0)).limit(0)
     windows = written(reduce(DataFrame.union, found), "windows")
