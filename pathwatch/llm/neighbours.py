@@ -167,12 +167,15 @@ def _best(k: int):
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if q.empty or c.empty:
             return none
-        x, ids = np.stack(c["v"].to_numpy()).astype(np.float64), c["vec_id"].to_numpy()
+        c = c.sort_values("vec_id", kind="stable")
+        x = np.stack(c["v"].to_numpy()).astype(np.float64)
+        # an id with several vectors is one candidate with the nearest of them
+        ids, first = np.unique(c["vec_id"].to_numpy(), return_index=True)
         y, own = np.stack(q["v"].to_numpy()).astype(np.float64), q["query_id"].to_numpy()
         out = []
         step = max(1, (1 << 22) // x.size)
         for at in range(0, len(y), step):
-            d = distances(y[at : at + step], x)
+            d = np.minimum.reduceat(distances(y[at : at + step], x), first, axis=1)
             for i, row in enumerate(d):
                 row[ids == own[at + i]] = np.inf
                 near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
@@ -200,7 +203,8 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str = "
     if not lengths:
         return rows.limit(0).select(F.col("vec_id").cast("long").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
     d, n, nq = lengths[0]
-    rows = rows.where(F.size("v") == d)
+    # repeated rows are one candidate before anything is counted, drawn or indexed
+    rows = rows.where(F.size("v") == d).groupBy("vec_id", "v").agg(F.max("q").alias("q"))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 2_000_000 * SAMPLE / n).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     router = learn(np.array([r["v"] for r in drawn.collect()], dtype=np.float64).reshape(-1, d), n)
     sent = spark.sparkContext.broadcast(router)
