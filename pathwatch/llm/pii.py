@@ -35,7 +35,7 @@ LOOSE = {
     "phone": r"(?<![0-9+(])\(?[0-9](?:[\x20().-]{0,2}[0-9]){8,14}(?![0-9])",
 }
 #: Without this a text has no match of the kind, base or loose.
-SIGN = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][\x20.-]{0,2}[0-9]", "phone": r"[0-9][\x20().-]{0,2}[0-9]"}
+SIGN = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][\x20.-]{0,2}[0-9]", "phone": r"[0-9][\x20().-]*+[0-9]"}
 CUE = {"email": r"mail|contact|write", "ip": r"\bip\b|server|host|addr|login", "card": r"card|visa|credit|pay|account", "phone": r"phone|tel|call|fax|mobile"}
 FEATURES = ("kind", "digits", "marks", "bracket", "first", "cue", "before", "after")
 CANDIDATE = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
