@@ -81,6 +81,15 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     Texts are looked at by content, so copies are examined once and ids may be null or repeated (each row of ``docs``
     gets its rows). Null, empty and blank texts have none; other columns are not read; empty tables give none.
     """
+    best, key = _leaks(docs, items, text, least, radius), F.xxhash64(F.col(text))
+    if best is None:
+        none = items.select("item_id").limit(0)
+        return docs.select(F.col(doc_id).alias("doc_id")).crossJoin(none).withColumn("similarity", F.lit(0.0)).limit(0)
+    return docs.select(F.col(doc_id).alias("doc_id"), key.alias("key")).join(best, "key").select("doc_id", "item_id", "similarity")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, text: str, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame | None:
+    """(key, item_id, similarity) for every text, by its hash, and item; None if there are no items."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
     known = w.select("item_id", F.size("w").alias("len"), width.alias("width"), reduce(
@@ -101,7 +110,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         spots = spots.withColumn("m", F.col("len") - k + 1).withColumn("size", F.least("m", "n"))
         found.append(spots.select("key", F.lit(k).alias("width"), "len", F.explode(_starts(least)).alias("start")).distinct())
     if not found:
-        return docs.select(F.col(doc_id).alias("doc_id")).crossJoin(known.select("item_id")).withColumn("similarity", F.lit(0.0)).limit(0)
+        return None
     windows = written(reduce(DataFrame.union, found), "windows")
     texts = body.select(key.alias("key"), F.col(text).alias("body")).join(windows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
     cut = []
@@ -114,14 +123,16 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     pairs = left.join(right, ["len", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "len", "start", "item_id").distinct()
     scored = pairs.join(prints.drop("fp"), ["key", "len", "start"]).join(known.select("item_id", F.col("sh").alias("item_sh")), "item_id").select(
         "key", "item_id", similarity(F.col("sh"), F.col("item_sh")).alias("similarity")).where(F.col("similarity") >= least)
-    best = written(scored.groupBy("key", "item_id").agg(F.max("similarity").alias("similarity")), "leaks")
-    return docs.select(F.col(doc_id).alias("doc_id"), key.alias("key")).join(best, "key").select("doc_id", "item_id", "similarity")
+    return written(scored.groupBy("key", "item_id").agg(F.max("similarity").alias("similarity")), "leaks")
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; all columns stay. Rows with a null id stay."""
-    gone = contaminated(docs, items, text, doc_id).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark passage, whatever their id; all columns stay."""
+    best = _leaks(docs, items, text)
+    if best is None:
+        return docs
+    gone = best.select(F.col("key").alias("_gone")).distinct()
+    return docs.join(gone, F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))) == F.col("_gone"), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

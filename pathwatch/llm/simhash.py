@@ -178,22 +178,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ship_code(docs.sparkSession)
     # repeated fingerprints (groups of copies, however large) are one node, found with partial aggregation
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), radius))
-    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = _members(prints, F.min("doc_id"), radius)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     of = written(member.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _members(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+    """(fp, first, root) for every distinct fingerprint: an aggregate over its rows, and the component's label."""
+    nodes = written(prints.groupBy("fp").agg(first.alias("first")), "nodes")
+    roots = components(fingerprint_links(nodes.select("fp"), radius))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the near-duplicates: of each component the row with the smallest id stays, all columns kept.
+    """``docs`` without the near-duplicates: of each component one row stays, all columns kept.
 
-    Rows with a null id can't be told apart; they stay.
+    It is the row with the smallest id (null ids last), among these the one with the smallest hash of all columns.
+    Rows are told apart by their content, so null and repeated ids neither protect a row nor drop another component's.
     """
-    found = near_duplicates(docs, text, doc_id, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    ship_code(docs.sparkSession)
+    row = F.xxhash64(*[F.col(c) for c in docs.columns])
+    prints = written(docs.select(F.col(doc_id).alias("doc_id"), row.alias("row"), simhash(F.col(text)).alias("fp")), "prints")
+    # equal rows are counted: most rows that stay occur once and need not be compared with any other
+    rows = prints.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n"))
+    member = _members(rows, F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row", "n")), radius)
+    stay = member.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_stay_id"), F.col("first.row").alias("_stay_row"), F.col("first.n").alias("_stay_n"))
+    stay = written(stay, "stay")
+    marked = docs.withColumn("_row", row)
+
+    def kept(of: DataFrame) -> DataFrame:
+        return marked.join(of, marked[doc_id].eqNullSafe(F.col("_stay_id")) & (F.col("_row") == F.col("_stay_row")), "left_semi")
+
+    single, equal = kept(stay.where("_stay_n = 1")), kept(stay.where("_stay_n > 1"))
+    return single.unionByName(equal.dropDuplicates([doc_id, "_row"])).drop("_row")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
