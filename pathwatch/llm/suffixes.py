@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,8 @@ from pathwatch.session import ship_code, written
 
 #: Length of a repeat in bytes, and of the seeds by whose hashes strings are dealt out.
 REPEAT, SEED_BYTES = 200, 48
-#: Distinct strings of one seed up to which they are sorted together; beyond it their repeats are counted one by one.
-TOGETHER = 128
+#: Widest block of leads by which strings are dealt out, and the different strings of a group above which the block is halved.
+BLOCK, GROUP = 32, 256
 #: Bytes whose hashes are made at once.
 PIECE = 1 << 22
 _INDEX_BITS = np.uint64(24)
@@ -29,7 +30,9 @@ _U64 = (1 << 64) - 1
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Suffix array of a string of integers, in linear time and without recursion or renaming.
+    """Suffix array of a string of small integers, without recursion or renaming.
+
+    The steps are linear but for one: a group's members are put in the order of their places by sorting them.
 
     First the suffixes are put into groups by their first symbol. From the highest group down, every suffix of a group
     finds the nearest suffix before it that is in a lower group; that one's known beginning is followed by as many
@@ -39,7 +42,10 @@ def suffix_array(text: list[int]) -> list[int]:
     pointers, fixes the next place in the groups of the suffixes before it.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    buckets: list[list[int]] = [[] for _ in range(max(text, default=-1) + 1)]
+    for i, symbol in enumerate(text):
+        buckets[symbol].append(i)
+    order = [i for bucket in buckets for i in bucket]
     group = [0] * n
     start = 0
     for k, i in enumerate(order):
@@ -194,95 +200,64 @@ def seed_runs(data: bytes, ends: np.ndarray, length: int = REPEAT, seed: int = S
     return start, np.diff(np.r_[new, len(s)]), at[start] - start, h[at[start]].view(np.int64), text[start]
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
-    """The texts in pieces of bounded size: bytes, and for each text in it its number and where in the text it begins.
+def _pieces(texts: list[bytes], piece: int = PIECE) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
+    """The texts in pieces of bounded size: bytes, and for each text in it its number, where in the text the piece begins, and its end.
 
     A longer text is cut; its pieces overlap by one byte less than a repeat.
     """
     held, of, size = [], [], 0
     for k, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - REPEAT + 1), PIECE):
-            part = t[at : at + PIECE + REPEAT - 1]
-            if size and size + len(part) > PIECE + REPEAT:
+        for at in range(0, max(1, len(t) - REPEAT + 1), piece):
+            part = t[at : at + piece + REPEAT - 1]
+            if size and size + len(part) > piece + REPEAT:
                 yield b"".join(held), of
                 held, of, size = [], [], 0
             held.append(part)
-            of.append((k, at))
-            of[-1] = (k, at - size)  # place in the text less place in the piece
+            of.append((k, at - size, size + len(part)))
             size += len(part)
-            of[-1] = (*of[-1], size)
     if held:
         yield b"".join(held), of
 
 
-RUNS = "t1 long, t2 long, pos long, count int, lead int, key long, c long, n long"
+RUNS = "t1 long, t2 long, pos long, count int, lead int, key long, c1 long, c2 long, n long"
+RUN = ["key", "c1", "c2"]
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        # copies within a batch are one text with a count
-        g = pdf.groupby(["t1", "t2"], sort=False).agg(text=("text", "first"), n=("text", "size")).reset_index()
-        texts = [t.encode("utf-8", "surrogatepass") for t in g["text"]]
-        for data, of in _pieces(texts):
-            number, shift = np.array([x[0] for x in of]), np.array([x[1] for x in of])
-            start, count, lead, key, text = seed_runs(data, np.array([x[2] for x in of]))
-            c = [xxhash.xxh3_64_intdigest(data[a : a + e]) for a, e in zip(start.tolist(), (count + REPEAT - 1).tolist())]
-            own = number[text] if len(start) else start
-            yield pd.DataFrame({
-                "t1": g["t1"].to_numpy()[own], "t2": g["t2"].to_numpy()[own], "pos": start + (shift[text] if len(start) else 0), "count": count.astype(np.int32),
-                "lead": lead.astype(np.int32), "key": key, "c": np.array(c, dtype=np.uint64).view(np.int64), "n": g["n"].to_numpy()[own]})
-
-
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the common beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n
-    while high - low > 1:
-        mid = (low + high) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid
-    return low
+def _runs(piece: int):
+    """The seed runs of texts (t1, t2, text), each with the 128-bit hash of its bytes; copies within a batch are one text with a count n."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            g = pdf.groupby(["t1", "t2"], sort=False).agg(text=("text", "first"), n=("text", "size")).reset_index()
+            texts = [t.encode("utf-8", "surrogatepass") for t in g["text"]]
+            for data, of in _pieces(texts, piece):
+                number, shift = np.array([x[0] for x in of]), np.array([x[1] for x in of])
+                start, count, lead, key, text = seed_runs(data, np.array([x[2] for x in of]))
+                if not len(start):
+                    continue
+                digests = b"".join([xxhash.xxh3_128_digest(data[a : a + e]) for a, e in zip(start.tolist(), (count + REPEAT - 1).tolist())])
+                c = np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
+                own = number[text]
+                yield pd.DataFrame({
+                    "t1": g["t1"].to_numpy()[own], "t2": g["t2"].to_numpy()[own], "pos": start + shift[text], "count": count.astype(np.int32),
+                    "lead": lead.astype(np.int32), "key": key, "c1": c[:, 0], "c2": c[:, 1], "n": g["n"].to_numpy()[own]})
 
-def _most_shared(parts: list[bytes]) -> list[int]:
-    """For each string the longest beginning that it shares with another one: with a neighbour in sorted order."""
-    order = sorted(range(len(parts)), key=parts.__getitem__)
-    best = [0] * len(parts)
-    for i, j in zip(order, order[1:]):
-        n = _shared(parts[i], parts[j])
-        best[i], best[j] = max(best[i], n), max(best[j], n)
-    return best
+    return run
 
 
-def decide(strings: list[tuple[bytes, int, int]]) -> list[set[int]]:
-    """The repeated starts of each of the strings (bytes, lead, occurrences) of one seed.
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """Texts with their identity, two hashes of the content."""
+    body = F.col(text)
+    return docs.select(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"), body.alias("text"))
 
-    A string is cut to what it can share with another one, going left and right from the seed; what is too short then
-    has no repeat. Equal remains are one string with several owners, repeated as a whole; different ones are sorted.
-    """
-    left = _most_shared([x[:lead][::-1] for x, lead, _ in strings])
-    right = _most_shared([x[lead:] for x, lead, _ in strings])
-    cut = [(max(0, lead - a), lead + b) for (_, lead, _), a, b in zip(strings, left, right)]
-    owners: dict[bytes, list[int]] = defaultdict(list)
-    for k, ((x, _, _), (a, b)) in enumerate(zip(strings, cut)):
-        if b - a >= REPEAT:
-            owners[x[a:b]].append(k)
-    whole = list(owners)
-    starts = repeated_starts(whole) if len(whole) > 1 else [set() for _ in whole]
-    found: list[set[int]] = [set() for _ in strings]
-    for x, s in zip(whole, starts):
-        if len(owners[x]) > 1:
-            s = set(range(len(x) - REPEAT + 1))
-        for k in owners[x]:
-            found[k] = {cut[k][0] + o for o in s}
-    return found
+
+# ---- strings of one seed that differ
 
 
-FOUND = "key long, c long, first int, last int"
+def decide(strings: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]:
+    """For each of the different strings (bytes, occurrences) of a group the first and last of each run of repeated starts."""
+    found = repeated_starts([x for x, _ in strings])
+    return [[(0, len(x) - REPEAT)] if n > 1 else _intervals(s) for (x, n), s in zip(strings, found)]
 
 
 def _intervals(starts: set[int]) -> list[tuple[int, int]]:
@@ -294,77 +269,105 @@ def _intervals(starts: set[int]) -> list[tuple[int, int]]:
     return list(zip(s[np.r_[0, b + 1]].tolist(), s[np.r_[b, len(s) - 1]].tolist()))
 
 
+DEAL = ["key", "block", "core"]
+DECIDED = "key long, block int, core long, p1 long, p2 long, first int, last int"
+
+
 def _decide_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """decide() for every seed of a partition that is sorted by seed; holds one seed's strings at a time."""
-    held: list[tuple[int, bytes, int]] = []
-    seed = None
+    """decide() for every group of a partition that is sorted by group; holds one group's strings, at most GROUP, at a time."""
+    held: list[tuple[bytes, int, int, int]] = []
+    group = None
 
-    def rows() -> list[tuple[int, int, int, int]]:
-        found = decide([(x, lead, 1) for _, x, lead in held])
-        return [(seed, c, a, b) for (c, _, _), starts in zip(held, found) for a, b in _intervals(starts)]
+    def rows() -> list[tuple]:
+        found = decide([(x, n) for x, n, _, _ in held])
+        return [(*group, p1, p2, a, b) for (_, _, p1, p2), spans in zip(held, found) for a, b in spans]
 
     def frame(made: list) -> pd.DataFrame:
-        return pd.DataFrame(made, columns=["key", "c", "first", "last"]).astype({"key": "int64", "c": "int64", "first": "int32", "last": "int32"})
+        return pd.DataFrame(made, columns=[*DEAL, "p1", "p2", "first", "last"]).astype({"key": "int64", "core": "int64", "p1": "int64", "p2": "int64", "block": "int32", "first": "int32", "last": "int32"})
 
     for pdf in batches:
         made = []
-        for key, c, x, lead in zip(pdf["key"].tolist(), pdf["c"].tolist(), pdf["bytes"], pdf["lead"].tolist()):
-            if key != seed:
+        for *deal, p1, p2, n, x in zip(*[pdf[c].tolist() for c in (*DEAL, "p1", "p2", "n")], pdf["bytes"]):
+            if deal != group:
                 made += rows()
-                held, seed = [], key
-            held.append((c, bytes(x), lead))
+                held, group = [], deal
+            held.append((bytes(x), n, p1, p2))
         yield frame(made)
     yield frame(rows())
 
 
-def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each repeat-long substring: its 128-bit hash in two longs."""
-    for pdf in batches:
-        strings = [bytes(x) for x in pdf["bytes"]]
-        n = np.array([len(x) - REPEAT + 1 for x in strings], dtype=np.int64)
-        digests = b"".join([xxhash.xxh3_128_digest(x[i : i + REPEAT]) for x in strings for i in range(len(x) - REPEAT + 1)])
-        two = np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
-        first = np.repeat(np.cumsum(n) - n, n)
-        yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), n), "c": np.repeat(pdf["c"].to_numpy(), n), "o": (np.arange(len(two)) - first).astype(np.int32), "h1": two[:, 0], "h2": two[:, 1]})
-
+def slices(strings: DataFrame, width: int) -> DataFrame:
+    """Strings (bytes, whose starts have the leads hi down to lo) cut by blocks of ``width`` leads, each with the hash of its core.
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    """Texts with their identity, two hashes of the content."""
-    body = F.col(text)
-    return docs.select(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"), body.alias("text"))
-
-
-def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    The core of a block is what every repeat-long string with a lead in it has in common, wherever its string ends: the
+    REPEAT + 1 - width bytes from the block's least lead on. Equal repeats have equal seeds and leads, so they are in
+    the same block with the same core. All columns but block, core, hi, lo, bytes, p1 and p2 (a hash of the bytes) stay.
+    """
+    n = lambda x: F.lit(x).cast("int")
+    low = F.col("block") * width
+    at = strings.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("int"), F.floor(F.col("hi") / width).cast("int"))))
+    core = F.substring("bytes", F.col("hi") - low + 1, n(REPEAT + 1 - width))
+    top, end = F.least("hi", low + (width - 1)), F.greatest("lo", low)
+    keep = [c for c in strings.columns if c not in ("block", "core", "hi", "lo", "bytes", "p1", "p2")]
+    cut = at.select(*keep, "block", F.xxhash64(core).alias("core"), top.alias("hi"), end.alias("lo"), F.substring("bytes", F.col("hi") - top + 1, top - end + REPEAT).alias("bytes"))
+    return cut.withColumns({"p1": F.xxhash64("bytes"), "p2": F.xxhash64(F.lit(1), F.col("bytes"))})
+
+
+def shared_starts(strings: DataFrame, group: int = GROUP) -> DataFrame:
+    """(key, c1, c2, first, last): the repeated starts of different strings with the same seed.
+
+    strings: key, c1, c2, n (occurrences), lead, hi, lo, bytes. They are cut by blocks of leads and grouped by seed,
+    block and core; whatever is alone there has no repeat. The different strings of a group are sorted by linear
+    grouping. A group of more than ``group`` different strings (the edge of a passage that very many texts share) is
+    dealt out again by blocks of half the width, whose cores are longer, down to single starts, which are equal in a
+    group: so no group is unbounded and none is counted start by start unless it has to be.
+    """
+    width, found = BLOCK, []
+    while True:
+        cut = slices(strings, width)
+        sizes = cut.groupBy(*DEAL).agg(F.count_distinct("p1", "p2").alias("m"), F.count("*").alias("o")).where("o > 1")
+        cut = written(cut.join(sizes, DEAL), f"slices_{width}")
+        # a run that occurs twice is repeated as a whole: it is here only as a partner
+        once = cut.where("n = 1")
+        found.append(once.where("m = 1").select(*RUN, (F.col("lead") - F.col("hi")).alias("first"), (F.col("lead") - F.col("lo")).alias("last")))
+        few = F.col("m").between(2, group if width > 1 else 1 << 30)
+        different = cut.where(few).groupBy(*DEAL, "p1", "p2").agg(F.count("*").alias("n"), F.any_value("bytes").alias("bytes"))
+        decided = different.repartition(*DEAL).sortWithinPartitions(*DEAL, "p1", "p2").mapInPandas(_decide_sorted, DECIDED)
+        found.append(once.where(few).join(decided, [*DEAL, "p1", "p2"]).select(*RUN, (F.col("lead") - F.col("hi") + F.col("first")).alias("first"), (F.col("lead") - F.col("hi") + F.col("last")).alias("last")))
+        strings, width = cut.where(F.col("m") > group).drop("m", "o"), width // 2
+        if not width or strings.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+def repeats(docs: DataFrame, text: str = "text", piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """(t1, t2, spans): the byte ranges of every distinct text that repeated strings cover.
 
-    Strings of REPEAT bytes are dealt out by their seed, in runs. A run that occurs twice is repeated as a whole. Where a
-    seed has several different runs, these are sorted together by ``decide``; a seed with more than TOGETHER of them
-    (a passage that very many texts share, with different surroundings) is instead counted string by string, with
-    partial aggregation, so no group grows without bound.
+    Strings of REPEAT bytes are dealt out by their seed, in runs of consecutive starts. A run is told by its seed and a
+    128-bit hash of its bytes; one that occurs twice is repeated as a whole. Where a seed has several different runs,
+    ``shared_starts`` finds what these share. ``piece`` bounds the bytes that are hashed at once.
     """
     ship_code(docs.sparkSession)
     long_enough = _texts(docs, text).where(F.octet_length("text") >= REPEAT)
-    runs = long_enough.mapInPandas(_runs, RUNS)
-    seeds = written(runs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "seeds")
+    runs = written(long_enough.mapInPandas(_runs(piece), RUNS), "runs")
+    seeds = runs.groupBy("key").agg(F.sum("n").alias("m")).where("m > 1").select("key")
     # a seed can be one of very many texts: a plain join, whose skewed partitions are split
-    seen = written(runs.join(seeds, "key"), "runs")
-    rows = written(seen.groupBy("key", "c").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "pos", "count", "lead")).alias("r")), "strings")
-    several = rows.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
-    mixed = rows.join(several, "key").select("key", "c", "d", "r.*")
-    of_text = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "c", "d", "pos", "count", "lead")).alias("m"))
-    cut = long_enough.join(of_text, ["t1", "t2"]).select(F.col("text").cast("binary").alias("b"), F.explode("m").alias("m"))
-    strings = cut.select("m.key", "m.c", "m.d", "m.lead", F.substring("b", F.col("m.pos").cast("int") + 1, F.col("m.count") + REPEAT - 1).alias("bytes"))
-    strings = written(strings.groupBy("key", "c").agg(F.first("d").alias("d"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes")), "mixed")
-    # a seed has few strings: streaming over sorted partitions spares a table for each
-    sorted_ = strings.where(F.col("d") <= TOGETHER).repartition("key").sortWithinPartitions("key", "c").mapInPandas(_decide_sorted, FOUND)
-    single = strings.where(F.col("d") > TOGETHER).mapInPandas(_single, "key long, c long, o int, h1 long, h2 long")
-    twice = single.groupBy("key", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = single.join(twice, ["key", "h1", "h2"]).select("key", "c", F.col("o").alias("first"), F.col("o").alias("last"))
-    whole = rows.where("n > 1").select("key", "c", F.lit(0).alias("first"), (F.col("r.count") - 1).alias("last"))
-    found = written(whole.unionByName(sorted_).unionByName(counted), "found")
-    spans = seen.select("t1", "t2", "pos", "key", "c").join(found, ["key", "c"]).select("t1", "t2", (F.col("pos") + F.col("first")).alias("s"), (F.col("pos") + F.col("last") + REPEAT).alias("e"))
-    # a set: copies of a text have the same spans
-    return written(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    seen = written(runs.join(seeds, "key"), "seen")
+    strings = written(seen.groupBy(*RUN).agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "pos", "count", "lead")).alias("r")), "strings")
+    several = strings.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key")
+    mixed = strings.join(several, "key").select(*RUN, "n", "r.*")
+    of_text = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct(*RUN, "n", "pos", "count", "lead")).alias("m"))
+    # one copy of each text: sorted by its hashes, copies are merged before they are sent
+    once = long_enough.groupBy("t1", "t2").agg(F.any_value("text").alias("text"))
+    cut = once.join(of_text, ["t1", "t2"]).select(F.col("text").cast("binary").alias("b"), F.explode("m").alias("m"))
+    different = cut.select("m.key", "m.c1", "m.c2", "m.n", "m.lead", F.col("m.lead").alias("hi"), (F.col("m.lead") - F.col("m.count") + 1).alias("lo"),
+                           F.substring("b", F.col("m.pos").cast("int") + 1, F.col("m.count") + (REPEAT - 1)).alias("bytes"))
+    whole = strings.where("n > 1").select(*RUN, F.lit(0).alias("first"), (F.col("r.count") - 1).alias("last"))
+    starts = whole.unionByName(shared_starts(written(different, "different"), group))
+    found = written(starts.groupBy(*RUN).agg(F.collect_list(F.struct("first", "last")).alias("found")), "found")
+    # a set: copies of a text have the same runs
+    spans = seen.select("t1", "t2", "pos", *RUN).join(found, RUN).groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "found")).alias("at"))
+    placed = F.flatten(F.transform("at", lambda x: F.transform(x["found"], lambda f: F.struct((x["pos"] + f["first"]).alias("s"), (x["pos"] + f["last"] + REPEAT).alias("e")))))
+    return written(spans.select("t1", "t2", placed.alias("spans")), "spans")
 
 
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -384,6 +387,14 @@ def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"n_bytes": "int64", "n_removed": "int64", "n_spans": "int64"})
 
 
+def without(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``, whose spans ``found`` are cut out."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"), body.alias("text"))
+    cut = pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return ids.join(found, ["t1", "t2"], "left").select("doc_id", cut("text", "spans").alias("k")).select("doc_id", "k.*")
+
+
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
 
@@ -391,11 +402,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     null ids and repeated rows are kept (a repeated row is a copy, so its text goes); other columns are not read; an
     empty table gives none.
     """
-    found = repeats(docs, text)
-    body = F.coalesce(F.col(text), F.lit(""))
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"), body.alias("text"))
-    cut = pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return ids.join(found, ["t1", "t2"], "left").select("doc_id", cut("text", "spans").alias("k")).select("doc_id", "k.*")
+    return without(docs, repeats(docs, text), text, doc_id)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

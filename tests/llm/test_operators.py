@@ -253,16 +253,23 @@ def plain_removal(texts):
     return out
 
 
-@pytest.mark.parametrize("together", [128, 1])
-def test_repeats_against_brute_force(spark, monkeypatch, together):
-    monkeypatch.setattr(suffixes, "TOGETHER", together)
+@pytest.mark.parametrize("piece, group", [(suffixes.PIECE, suffixes.GROUP), (300, 2)])
+def test_repeats_against_brute_force(spark, piece, group):
+    """Also with texts cut into very small pieces, and with groups halved down to single starts."""
     rng = np.random.default_rng(6)
     word = lambda n: " ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(n))
     passage, other = word(60), word(90)
     texts = [word(40) + passage + word(30), word(50) + passage[5:] + word(10), passage[:230], other + word(20) + other, "ab" * 400, "x" * 199, "x" * 200, "x" * 201, None, "", word(100), other[100:290] + word(3)]
     texts += [word(5) + passage[:210] + word(5) for _ in range(10)] + [texts[10], texts[10]]
+    # the edges of a passage with many surroundings, and copies with scattered changes
+    texts += [word(5) + " " + other[:197] + rng.choice(list("ab")) + rng.choice(list("cd")) + word(4) for _ in range(30)]
+    copies = [list(passage + other) for _ in range(25)]
+    for c in copies:
+        c[rng.integers(0, len(c))] = "#"
+    texts += ["".join(c) for c in copies]
     rows = [(k, t, "en") for k, t in enumerate(texts)]
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.without_repeats(docs(spark, rows)).collect()}
+    spans = suffixes.repeats(docs(spark, rows), piece=piece, group=group)
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.without(docs(spark, rows), spans).collect()}
     assert [got[k] for k in range(len(texts))] == plain_removal(texts)
     assert suffixes.without_repeats(docs(spark, [])).count() == 0
 
@@ -279,10 +286,12 @@ def test_decontamination(spark):
     far = item[1].split()
     far[5] = far[15] = far[25] = far[35] = "changed"
     filler = lambda: " ".join(rng.choice(words, 50))
-    rows = ODD + [(20, f"{filler()} {item[0].upper()} {filler()}", "en"), (21, " ".join([filler(), *near]), "en"), (22, " ".join(far), "en"), (23, item[2], "en"), (24, item[2], "en"), (None, item[2], "en"), (25, f"a {item[3]} b", "en"), (26, filler(), "en")]
+    rows = ODD + [(20, f"{filler()} {item[0].upper()} {filler()}", "en"), (21, " ".join([filler(), *near]), "en"), (22, " ".join(far), "en"), (23, item[2], "en"), (24, item[2], "en"), (None, item[2], "en"), (25, f"a {item[3]} b", "en"), (26, filler(), "en"), (27, " ".join([*item[2].split()[:30], "changed", *item[2].split()[31:]]), "en")]
     items = spark.createDataFrame([(k, t) for k, t in enumerate(item)] + [(9, None), (10, " ")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
-    assert set(got) == {(20, 0), (21, 0), (23, 2), (24, 2), (None, 2), (25, 3)} and got[20, 0] == 1.0 and got[21, 0] == pytest.approx(31 / 41) or (21, 0) not in got
+    # one changed word of 40 leaves 31 of 36 shingles: 31 / 41 is under 0.8, and one of 60 leaves 51 / 61
+    assert set(got) == {(20, 0), (23, 2), (24, 2), (None, 2), (25, 3), (27, 2)}
+    assert got[20, 0] == 1.0 and got[27, 2] == pytest.approx(51 / 61)
     left = decontaminate.without_benchmark(docs(spark, rows), items)
-    assert {20, 23, 24, 25}.isdisjoint({r.doc_id for r in left.collect()}) and len(left.columns) == 8
+    assert {20, 23, 24, 25, 27}.isdisjoint({r.doc_id for r in left.collect()}) and len(left.columns) == 8
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0 == decontaminate.contaminated(docs(spark, rows), items.limit(0)).count()
