@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from pathwatch.llm.graph import components
 from pathwatch.session import ship_code, written
@@ -42,14 +42,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for t in texts:
-        yield pd.Series(np.array([fingerprint(x) for x in t], dtype=np.uint64).view(np.int64))
+        yield pa.array(np.array([fingerprint(x.as_py()) for x in t], dtype=np.uint64).view(np.int64))
 
 
 def simhash(text: Column) -> Column:
     """The 64-bit fingerprint of a text column, as a signed long."""
-    return pandas_udf(_fingerprints, "long")(text)
+    return arrow_udf(_fingerprints, "long")(text)
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -119,52 +119,84 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray
 
 
 def _compare(radius: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        def side(s: str) -> np.ndarray:
-            return np.concatenate([np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf.loc[pdf["side"] == s, "fps"]] or [np.empty(0, np.uint64)])
-
-        a = side("a")
-        b = a if (pdf["p"].iloc[0] == pdf["q"].iloc[0]) else side("b")
+    def run(pair: pa.Table) -> pa.Table:
+        sides = {"a": [], "b": []}
+        for side, fps in zip(pair["side"].to_pylist(), pair["fps"]):
+            sides[side].append(fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in sides.values())
+        if pair["p"][0].equals(pair["q"][0]):
+            b = a
         e = tile_links(a, b, radius) if len(a) and len(b) else np.empty((0, 2), np.uint64)
-        return pd.DataFrame({"a": e[:, 0].view(np.int64), "b": e[:, 1].view(np.int64)})
+        return pa.table({"a": e[:, 0].copy().view(np.int64), "b": e[:, 1].copy().view(np.int64)})
 
     return run
 
 
-def _tiles_of(pop: Column, chunks: Column) -> Column:
-    """All tiles of one population count."""
-    numbers = F.sequence(F.lit(0), F.coalesce(chunks[pop], F.lit(1)) - 1)
-    return F.transform(numbers, lambda c: F.struct(pop.cast("int").alias("pop"), c.cast("int").alias("chunk")))
+def cut_tiles(counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where fingerprints go, from (q1, q2, q3, q4, n): how many have these populations of their four quarters.
+
+    Gives (bin, chunks) of each row, and the bins' boxes: the least and the greatest population of each quarter in a bin,
+    and the population count. A bin is a run of rows, in order, of one population count and about ``tile`` fingerprints;
+    a row of more is a bin that is cut into chunks by a hash.
+    """
+    order = np.lexsort((*counts[:, 3::-1].T, counts[:, :4].sum(axis=1)))
+    c = counts[order]
+    pop, bins, chunks, held = c[:, :4].sum(axis=1), np.zeros(len(c), np.int64), np.ones(len(c), np.int64), 0
+    for k, n in enumerate(c[:, 4].tolist()):
+        new = k > 0 and (pop[k] != pop[k - 1] or held + n > tile)
+        held = n if new or k == 0 else held + n
+        bins[k] = bins[k - 1] + new if k else 0
+        chunks[k] = max(1, -(-n // tile))
+    first = np.flatnonzero(np.r_[True, np.diff(bins) != 0][: len(c)])
+    boxes = np.concatenate([np.minimum.reduceat(c[:, :4], first), np.maximum.reduceat(c[:, :4], first), pop[first, None]], axis=1) if len(c) else np.empty((0, 9), np.int64)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return np.stack([bins, chunks], axis=1)[back], boxes, np.array([chunks[bins == k].max() for k in range(len(first))], np.int64)
+
+
+def near_bins(boxes: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs of bins (a <= b) that can hold fingerprints within the radius: their boxes are no farther apart."""
+    pop, pairs = boxes[:, 8], []
+    for a in range(len(boxes)):
+        # bins are in order of population counts
+        b = np.arange(a, np.searchsorted(pop, pop[a] + radius, side="right"))
+        apart = np.maximum(0, np.maximum(boxes[b, :4] - boxes[a, 4:8], boxes[a, :4] - boxes[b, 4:8])).sum(axis=1)
+        pairs.append(np.stack([np.full((apart <= radius).sum(), a), b[apart <= radius]], axis=1))
+    return np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fps`` (one column fp) exactly as all links within the radius do.
 
-    A tile holds up to about ``tile`` fingerprints of one population count. A tile meets the tiles of its own and of
-    the next ``radius`` counts, two at a time in one task; no other pair can be within the radius. The number of tile
-    pairs grows with the square of the number of tiles: this is an exact comparison of all with all, made cheap by
-    the skipping, not an index.
+    A tile holds up to about ``tile`` fingerprints of one population count and of similar populations of their four
+    quarters. Two tiles meet in one task, unless their populations differ by more than the radius: a differing bit
+    changes one quarter's population by one, so skipped pairs of tiles, which are never shuffled, can't be within the
+    radius. This is an exact comparison of all with all, made cheap by the skipping, not an index.
     """
     spark = fps.sparkSession
-    with_count = fps.select("fp", F.bit_count("fp").cast("int").alias("pop"))
-    # at most 65 rows: one for each population count
-    sizes = {r["pop"]: r["n"] for r in with_count.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    chunks = F.create_map(*[F.lit(x) for k in range(65) for x in (k, max(1, -(-sizes.get(k, 0) // tile)))])
-    tiles = written(
-        with_count.select("fp", "pop", F.pmod(F.xxhash64("fp"), chunks[F.col("pop")]).cast("int").alias("chunk"))
-        .groupBy("pop", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
-    me = F.struct("pop", "chunk")
-    there = [k for k, n in sizes.items() if n]
-    pairs = []
-    for side, sign in (("a", 1), ("b", -1)):
-        other = F.explode(F.flatten(F.array(*[_tiles_of(F.col("pop") + sign * d, chunks) for d in range(radius + 1)])))
-        x = tiles.select(me.alias("me"), "fps", other.alias("other")).where(F.col("other.pop").isin(there))
-        own, far = ("me", "other") if side == "a" else ("other", "me")
-        # within one count a pair is met from both ends: keep one
-        x = x.where((F.col("me.pop") != F.col("other.pop")) | (F.col(own) <= F.col(far) if side == "a" else F.col(own) < F.col(far)))
-        pairs.append(x.select(F.col(own).alias("p"), F.col(far).alias("q"), F.lit(side).alias("side"), "fps"))
+    part = lambda s: F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(0xFFFF)).cast("int")
+    quarters = ["q1", "q2", "q3", "q4"]
+    described = fps.select("fp", *[part(16 * k).alias(q) for k, q in enumerate(quarters)])
+    # at most 17 ** 4 = 83,521 rows, whatever the input: each quarter has a population of 0 to 16
+    counts = described.groupBy(*quarters).agg(F.count("*").alias("n")).collect()
+    counts = np.array([tuple(r) for r in counts], dtype=np.int64).reshape(-1, 5)
+    place, boxes, chunks = cut_tiles(counts, tile)
+    where = spark.createDataFrame(np.concatenate([counts[:, :4], place], axis=1).tolist(), "q1 int, q2 int, q3 int, q4 int, bin int, chunks int")
+    tiles = described.join(F.broadcast(where), quarters).select("fp", "bin", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"))
+    tiles = written(tiles.groupBy("bin", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
+    near = [(a, b, int(chunks[a]), int(chunks[b])) for a, b in near_bins(boxes, radius).tolist()]
+    near = spark.createDataFrame(near, "bin_a int, bin_b int, chunks_a int, chunks_b int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = near.withColumn("chunk_a", upto("chunks_a")).withColumn("chunk_b", upto("chunks_b")).where("bin_a < bin_b OR chunk_a <= chunk_b")
+    p, q = F.struct("bin_a", "chunk_a").alias("p"), F.struct("bin_b", "chunk_b").alias("q")
+    sides = [
+        tiles.join(pairs.select("p", "q", F.lit(side).alias("side"), F.col(f"{own}.bin_{side}").alias("bin"), F.col(f"{own}.chunk_{side}").alias("chunk")), ["bin", "chunk"]).select("p", "q", "side", "fps")
+        for pairs in [pairs.select(p, q)] for side, own in (("a", "p"), ("b", "q"))]
     ship_code(spark)
-    return pairs[0].unionByName(pairs[1]).groupBy("p", "q").applyInPandas(_compare(radius), "a long, b long")
+    # struct names differ between the sides of a pair
+    same = "struct<bin:int,chunk:int>"
+    both = sides[0].unionByName(sides[1]).select(F.col("p").cast(same).alias("p"), F.col("q").cast(same).alias("q"), "side", "fps")
+    return both.groupBy("p", "q").applyInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:

@@ -63,7 +63,9 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_tiles(spark):
+@pytest.mark.parametrize("tile", [16, 1])
+def test_tiles(spark, tile):
+    """A tile of one fingerprint: those with equal populations of their quarters are in chunks."""
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     fp = np.unique(np.concatenate([centre, *[centre ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(8)]]))
@@ -72,7 +74,7 @@ def test_tiles(spark):
     for _ in range(len(fp)):
         label = np.array([label[r].min() for r in near])
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    roots = dict(map(tuple, graph.components(simhash.fingerprint_links(df, tile=16)).select("node", "root").collect()))
+    roots = dict(map(tuple, graph.components(simhash.fingerprint_links(df, tile=tile)).select("node", "root").collect()))
     groups = lambda of: sorted(sorted(g) for g in _groups(of))
     assert groups({int(x): roots.get(int(x), int(x)) for x in fp.view(np.int64)}) == groups(dict(zip(map(int, fp.view(np.int64)), label.tolist())))
 
