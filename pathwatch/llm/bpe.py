@@ -25,12 +25,38 @@ END = ""
 #: Encoded pieces of text that a task keeps, and the longest that it keeps.
 KEPT, KEPT_CHARS = 3 << 17, 48
 
+#: What a later Unicode version than the library's (16.0) has made a letter or a number, or may make one. It is neither here.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    "\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capital letters newer than the standard library's tables, and their small letters.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: The one composition that is newer than the library's tables.
+UNCOMPOSED, COMPOSED = "\U00011935\U00011930", "\U00011938"
+
 _words = regex.compile(WORDS)
+_later = regex.compile(f"[{LATER}]")
+_words_without_later = regex.compile(WORDS.replace(r"[\p{L}]+", rf"[\p{{L}}--[{LATER}]]+").replace(r"[\p{N}]", rf"[\p{{N}}--[{LATER}]]").replace(r"[^\p{White_Space}\p{L}\p{N}]+", rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{LATER}]]+"), regex.V1)
+_capitals = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
 #: str.split() takes these for space, the pattern doesn't.
 _not_space = regex.compile("[\x1c-\x1f]")
 _space = regex.compile(r"\p{White_Space}+")
 
 
+def nfc(text: str) -> str:
+    """Canonical composition as the library has it."""
+    if UNCOMPOSED[0] not in text:
+        return unicodedata.normalize("NFC", text)
+    return COMPOSED.join([unicodedata.normalize("NFC", x).replace(COMPOSED, UNCOMPOSED) for x in text.split(COMPOSED)])
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on, in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -144,8 +170,9 @@ class Vocabulary:
         """Ids of a piece of normalized text without white space."""
         ids = self.encoded.get(piece)
         if ids is None:
-            words = _words.findall(piece)
-            ids = self.encode_word(piece) if len(words) == 1 else tuple([i for w in words for i in self.encode_piece(w)])
+            spelled = piece.translate(CAPITALS) if not piece.isascii() and _capitals.search(piece) else piece
+            words = (_words_without_later if not spelled.isascii() and _later.search(spelled) else _words).findall(spelled)
+            ids = self.encode_word(spelled) if len(words) == 1 else tuple([i for w in words for i in self.encode_piece(w)])
             if len(piece) <= KEPT_CHARS:
                 if len(self.encoded) >= KEPT:
                     self.encoded.clear()
@@ -161,7 +188,7 @@ class Vocabulary:
     def pieces(text: str) -> list[str]:
         """Normalized pieces between white space."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+            text = nfc(text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
         text = text.lower()
         return [x for x in _space.split(text) if x] if _not_space.search(text) else text.split()
 
