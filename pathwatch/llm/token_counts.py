@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ SPACE = "▁"
 LIMIT = 4096
 #: Characters whose state map is made at once.
 CHUNK = 1 << 15
-#: Compiled words and states that a task keeps, and the longest word that it keeps them for.
+#: Words whose counts a task keeps, prefixes whose states it keeps, and the longest of either that it keeps.
 KEPT, KEPT_STATES, KEPT_CHARS = 1 << 19, 1 << 20, 48
 
 
@@ -53,17 +54,21 @@ class Transducer:
     piece holds. Inside a word a state is what has been read of it, and the transition over one more character is
     annotated with the change of the emitted tokens' number: the last token of the longer prefix is the one that ends
     there and is compatible with the last token before it, that is, whose letters and the other's merge into just these
-    two. States are compiled when first entered and shared by all words with that prefix. Runs of spaces (pieces of one
-    score, where the order of merges counts) and very long words are compiled by merging.
+    two. States are compiled when first entered; those of short prefixes are kept and shared by all words that begin
+    so. Words of any length go this way, but for those that begin with several spaces (pieces of one score, where the
+    order of merges counts): they are compiled by merging.
     """
 
     def __init__(self, pieces: dict[str, float]):
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece goes on over the start of a word")
         self.pieces = {p.replace(SPACE, " "): s for p, s in pieces.items()}
-        self.longest = max(map(len, self.pieces), default=1)
         line = "" if any("\n" in p and len(p) > 1 for p in pieces) else "\n"
         self.words = re.compile(f" *[^ {line}]+| +" + "|\n" * bool(line)).findall
+        self.matcher = ahocorasick.Automaton()
+        for p in self.pieces:
+            self.matcher.add_word(p, len(p))
+        self.matcher.make_automaton()
         self.emits: dict[str, int] = {}
         self.states: dict[str, tuple[int, str]] = {"": (0, "")}  # prefix -> tokens so far, the last of them
         self.fits: dict[tuple[str, str], bool] = {}
@@ -110,24 +115,32 @@ class Transducer:
 
     def compile(self, word: str) -> int:
         """Tokens of one word: from the longest known prefix, one transition for each further character."""
-        if len(word) > KEPT_CHARS or word.startswith("  "):
+        if word.startswith("  "):
             return sum(map(self.weight, self.merged(word)))
-        states, pieces = self.states, self.pieces
-        if len(states) >= KEPT_STATES:
-            states.clear()
-            states[""] = (0, "")
-        at = len(word)
-        while word[:at] not in states:
-            at -= 1
-        for end in range(at + 1, len(word) + 1):
-            for size in range(min(end, self.longest), 0, -1):
+        kept = self.states
+        if len(kept) >= KEPT_STATES:
+            kept.clear()
+            kept[""] = (0, "")
+        known = min(len(word), KEPT_CHARS)
+        while word[:known] not in kept:
+            known -= 1
+        states = [kept.get(word[:k]) for k in range(known + 1)]  # None: left out when the table was full
+        if None in states:
+            known, states = 0, states[:1]
+        # pieces by where they end, the longest first; a character that no piece holds is a token of its own
+        ending: list[list[int]] = [[] for _ in range(len(word) + 1)]
+        for end, size in self.matcher.iter(word):
+            ending[end + 1].append(size)
+        for end in range(known + 1, len(word) + 1):
+            for size in (*sorted(ending[end], reverse=True), 1):
                 token = word[end - size : end]
-                if size == 1 or token in pieces:
-                    n, before = states[word[: end - size]]
-                    if self.compatible(before, token):
-                        states[word[:end]] = (n + self.weight(token), token)
-                        break
-        return states[word][0]
+                n, before = states[end - size]
+                if self.compatible(before, token):
+                    states.append((n + self.weight(token), token))
+                    break
+            if end <= KEPT_CHARS:
+                kept[word[:end]] = states[end]
+        return states[-1][0]
 
     def emitted(self, word: str) -> int:
         """The count on the path over ``word``."""
