@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathwatch.session import written
@@ -74,54 +74,69 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     """(doc_id, item_id, similarity) for every row of ``docs`` and item whose best window reaches ``least``.
 
     A window is a run of as many words as the item has (the whole text, if that is shorter), anywhere in the text and
-    with the shingles in any order. Items of fewer words than a shingle are one shingle. Windows with enough shingles
-    of an item (see ``_starts``) are fingerprinted, joined by length and block with the items' fingerprints, kept
-    within the radius, and verified exactly.
+    with the shingles in any order. Items of fewer words than a shingle are one shingle. Texts with one of an item's
+    rarest shingles (see ``_rarest``) are looked at; their windows with enough shingles of that item (see ``_starts``)
+    are fingerprinted, joined by item and block with its fingerprint, kept within the radius, and verified exactly.
 
     Texts are looked at by content, so copies are examined once and ids may be null or repeated (each row of ``docs``
     gets its rows). Null, empty and blank texts have none; other columns are not read; empty tables give none.
     """
     best, key = _leaks(docs, items, text, least, radius), F.xxhash64(F.col(text))
     if best is None:
-        none = items.select("item_id").limit(0)
-        return docs.select(F.col(doc_id).alias("doc_id")).crossJoin(none).withColumn("similarity", F.lit(0.0)).limit(0)
+        item = F.lit(None).cast(items.schema["item_id"].dataType)
+        return docs.select(F.col(doc_id).alias("doc_id"), item.alias("item_id"), F.lit(0.0).alias("similarity")).where(F.lit(False))
     return docs.select(F.col(doc_id).alias("doc_id"), key.alias("key")).join(best, "key").select("doc_id", "item_id", "similarity")
 
 
+def _rarest(known: DataFrame, least: float) -> DataFrame:
+    """(width, h, item): of each item the shingles that fewest items have, so many that a window cannot do without all of them.
+
+    A window with a similarity of ``least`` has at least ``least`` times the item's shingles in common with it; so with
+    one shingle more than the others are, one of them is in the window. A phrase that many items share is left to
+    the rarer ones beside it.
+    """
+    each = known.select("item", "width", F.size("sh").alias("m"), F.explode("sh").alias("h")).groupBy("item", "width", "m", "h").agg(F.count("*").alias("c"))
+    shared = each.groupBy("width", "h").agg(F.count("*").alias("items"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("item").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = each.join(shared, ["width", "h"]).withColumn("before", before)
+    return ranked.where(F.col("before") <= F.col("m") - F.ceil(least * F.col("m") - 1e-9)).select("width", "h", "item")
+
+
 def _leaks(docs: DataFrame, items: DataFrame, text: str, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame | None:
     """(key, item_id, similarity) for every text, by its hash, and item; None if there are no items."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
-    known = w.select("item_id", F.size("w").alias("len"), width.alias("width"), reduce(
+    known = w.select("item_id", F.xxhash64("item_id", "w").alias("item"), width.alias("width"), reduce(
         lambda rest, k: F.when(F.size("w") == k, shingles(F.col("w"), k)).otherwise(rest), range(1, SHINGLE_WORDS), shingles(F.col("w"), SHINGLE_WORDS)).alias("sh"))
-    known = written(known.withColumn("fp", simhash(F.col("sh"))), "items")
-    places = known.select("width", "item_id", "len", F.explode("sh").alias("h")).distinct()
+    # repeated items are one
+    known = written(known.dropDuplicates(["item"]).withColumn("fp", simhash(F.col("sh"))), "items")
+    rare = written(_rarest(known, least), "rare")
     # at most SHINGLE_WORDS rows
-    sizes = {r["width"]: r["n"] for r in places.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["width"]: r["n"] for r in rare.groupBy("width").agg(F.count("*").alias("n")).collect()}
     key = F.xxhash64(F.col(text))
     body = docs.where(F.col(text).isNotNull())
     found = []
     for k, n in sorted(sizes.items()):
-        own = places.where(F.col("width") == k).drop("width")
-        at = body.select(key.alias("key"), words(F.col(text)).alias("w")).select("key", shingles(F.col("w"), k).alias("sh")).select("key", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))  # outer: else an inferred filter makes the shingles once more
-        hit = at.join(F.broadcast(own) if n <= BROADCAST else own, "h")
-        # a set: copies of a text give the same places
-        spots = hit.groupBy("key", "item_id", "len", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-        spots = spots.withColumn("m", F.col("len") - k + 1).withColumn("size", F.least("m", "n"))
-        found.append(spots.select("key", F.lit(k).alias("width"), "len", F.explode(_starts(least)).alias("start")).distinct())
+        own = rare.where(F.col("width") == k)
+        at = body.select(key.alias("key"), words(F.col(text)).alias("w")).select("key", shingles(F.col("w"), k).alias("sh")).select("key", F.explode_outer("sh").alias("h"))  # outer: else an inferred filter makes the shingles once more
+        found.append(at.join(F.broadcast(own) if n <= BROADCAST else own, "h").select("key", "width", "item").distinct())
     if not found:
         return None
-    windows = written(reduce(DataFrame.union, found), "windows")
-    texts = body.select(key.alias("key"), F.col(text).alias("body")).join(windows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
+    pairs = written(reduce(DataFrame.union, found), "text_items")
+    texts = body.select(key.alias("key"), F.col(text).alias("body")).join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
     cut = []
     for k in sorted(sizes):
-        sh = texts.select("key", words(F.col("body")).alias("w")).select("key", shingles(F.col("w"), k).alias("sh"))
-        cut.append(windows.where(F.col("width") == k).join(sh, "key").select("key", "len", "start", F.slice("sh", F.col("start") + 1, F.col("len") - k + 1).alias("sh")))
-    prints = written(reduce(DataFrame.union, cut).where(F.size("sh") > 0).withColumn("fp", simhash(F.col("sh"))), "window_prints")
-    left = prints.select("key", "len", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    right = known.select("item_id", "len", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    pairs = left.join(right, ["len", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "len", "start", "item_id").distinct()
-    scored = pairs.join(prints.drop("fp"), ["key", "len", "start"]).join(known.select("item_id", F.col("sh").alias("item_sh")), "item_id").select(
+        sh = texts.select("key", words(F.col("body")).alias("w")).select("key", shingles(F.col("w"), k).alias("sh")).where(F.size("sh") > 0)
+        x = pairs.where(F.col("width") == k).join(sh, "key").join(known.select("item", F.col("sh").alias("item_sh")), "item")
+        x = x.withColumns({"n": F.size("sh"), "m": F.size("item_sh"), "size": F.least(F.size("sh"), F.size("item_sh"))})
+        x = x.withColumn("p", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains("item_sh", F.get("sh", i))))
+        x = x.select("key", "item", "m", "sh", F.explode(_starts(least)).alias("start"))
+        cut.append(x.select("key", "item", "start", F.slice("sh", F.col("start") + 1, F.col("m")).alias("sh")))
+    prints = written(reduce(DataFrame.union, cut).withColumn("fp", simhash(F.col("sh"))), "window_prints")
+    left = prints.select("key", "item", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
+    right = known.select("item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
+    near = left.join(right, ["item", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "item", "start").distinct()
+    scored = near.join(prints.drop("fp"), ["key", "item", "start"]).join(known.select("item", "item_id", F.col("sh").alias("item_sh")), "item").select(
         "key", "item_id", similarity(F.col("sh"), F.col("item_sh")).alias("similarity")).where(F.col("similarity") >= least)
     return written(scored.groupBy("key", "item_id").agg(F.max("similarity").alias("similarity")), "leaks")
 
