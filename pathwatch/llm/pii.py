@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwatch.llm import boosting
-from pathwatch.llm.spans import find_spans, listed
+from pathwatch.llm.spans import find_spans, listed, span_sql
 from pathwatch.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,9 +36,10 @@ LOOSE = {
 }
 #: Without this a text has no match of the kind, base or loose.
 SIGN = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][\x20.-]{0,2}[0-9]", "phone": r"[0-9][\x20().-]*+[0-9]"}
+#: Words before a candidate that speak for it. They label candidates for learning, so they are no feature.
 CUE = {"email": r"mail|contact|write", "ip": r"\bip\b|server|host|addr|login", "card": r"card|visa|credit|pay|account", "phone": r"phone|tel|call|fax|mobile"}
-FEATURES = ("kind", "digits", "marks", "bracket", "first", "cue", "before", "after")
-CANDIDATE = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
+FEATURES = ("kind", "digits", "marks", "bracket", "first", "before", "after")
+CANDIDATE = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean,cue:int," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
 
 
 def _digits(match: Column) -> Column:
@@ -75,11 +76,11 @@ def _candidates(text: Column, kind: str) -> Column:
         first = F.regexp_extract(m, "[0-9]", 0)
         return F.struct(
             F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), base.alias("base"),
+            F.lower(left).rlike(CUE[kind]).cast("int").alias("cue"),
             F.least(F.char_length(_digits(m)), F.lit(20)).alias("digits"),
             F.least(F.char_length(F.regexp_replace(m, r"[^\x20.-]", "")), F.lit(5)).alias("marks"),
             m.contains("(").cast("int").alias("bracket"),
             F.when(first == "", -1).otherwise(first.cast("int")).alias("first"),
-            F.lower(left).rlike(CUE[kind]).cast("int").alias("cue"),
             around(F.regexp_extract(left, r"(?s).$", 0)).alias("before"), around(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"))
 
     strict = F.transform(find_spans(text, BASE[kind]), lambda s: described(s, _valid(kind, s["match"])))
@@ -87,7 +88,10 @@ def _candidates(text: Column, kind: str) -> Column:
     none = F.array().cast(CANDIDATE)
     # base matches of one or two digits and the like are no candidates unless they are valid
     worth = F.filter(strict.cast(CANDIDATE), lambda c: c["base"] | (c["digits"] >= 9))
-    return F.when(text.rlike(SIGN[kind]), F.concat(worth, loose.cast(CANDIDATE))).otherwise(none)
+    # what both generators propose is one candidate: sorted by place, it has an equal one just before it
+    both = F.array_sort(F.concat(worth, loose.cast(CANDIDATE)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).otherwise(b["base"].cast("int") - a["base"].cast("int")))
+    same = lambda c, i: F.coalesce((F.get(both, i - 1)["start"] == c["start"]) & (F.get(both, i - 1)["end"] == c["end"]) & (i > 0), F.lit(False))
+    return F.when(text.rlike(SIGN[kind]), F.filter(both, lambda c, i: ~same(c, i))).otherwise(none)
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -110,17 +114,36 @@ class Model:
         return p >= least
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """(held_out, label, candidate's fields): 1 for personal data, 0 for something else, as far as can be told without the features.
+
+    Valid base spans are personal data, and so are candidates with a cue word before them. Others are not, above all
+    those on a valid base span of another kind. Candidates on a valid base span of their own kind say nothing.
+    """
+    base = F.filter("candidates", lambda c: c["base"])
+
+    def of(c: Column, base: Column) -> Column:
+        own = F.exists(base, lambda b: _overlap(b, c) & (b["rank"] == c["rank"]))
+        return F.when(c["base"], 1).when(own, F.lit(None)).when(F.exists(base, lambda b: _overlap(b, c)), 0).otherwise(c["cue"])
+
+    with_base = found.select("held_out", "candidates", base.alias("base"))
+    return with_base.select("held_out", F.explode(F.transform("candidates", lambda c: F.struct(of(c, F.col("base")).alias("label"), c.alias("c")))).alias("x")).select("held_out", "x.label", "x.c.*").where("label IS NOT NULL")
+
+
 def fit(found: DataFrame) -> Model:
-    """Learn which formats and contexts the valid spans have.
+    """Learn which formats and surroundings personal data has, from the labels that ``labelled`` gives.
 
-    Valid base spans are the positive class, all other candidates the rest; what decides on validity (the check digit,
-    the leading plus) is no feature, so a candidate that only lacks that scores like the valid ones. All candidates
-    count: Spark sums them by feature vector, and only that histogram comes to the driver (every feature has at most
-    21 values; the vectors that occur are a few hundred). A kind's threshold is the lowest probability above which
-    the held-out candidates are valid with the given precision; kinds without one add nothing.
+    What labels rest on (the check digit, the leading plus, cue words) is no feature, so a candidate that only lacks
+    that scores like the valid ones. All candidates count: Spark sums them by feature vector, and only that histogram
+    comes to the driver (every feature has at most 21 values; the vectors that occur are a few hundred). A kind's
+    threshold is the lowest probability above which the held-out candidates have label 1 with the given precision;
+    kinds without one add nothing.
     """
-    c = found.select("held_out", F.explode("candidates").alias("c")).select("held_out", "c.*")
-    counts = c.groupBy("held_out", "rank", *FEATURES[1:]).agg(F.sum(F.col("base").cast("long")).alias("yes"), F.count("*").alias("n")).collect()
+    counts = labelled(found).groupBy("held_out", "rank", *FEATURES[1:]).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
     rows = np.array([[r["held_out"], r["yes"], r["n"] - r["yes"], r["rank"], *[r[f] for f in FEATURES[1:]]] for r in counts], dtype=np.int64).reshape(-1, 3 + len(FEATURES))
     # rows come in any order; sums of floats should not depend on it
     rows = rows[np.lexsort(rows.T[::-1])] if len(rows) else rows
@@ -152,9 +175,8 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     cut = lambda a: F.transform(a, lambda c: F.struct(*[c[x].alias(x) for x in ("rank", "start", "end", "kind", "base")])).cast(slim)
     picked = F.filter("candidates", lambda c: ~c["base"] & model.selects(c))
     both = found.select("doc_id", cut(base).alias("base"), F.when(F.size("candidates") > 0, cut(picked)).otherwise(F.array().cast(slim)).alias("picked"))
-    overlaps = lambda c, s: (c["start"] < s["end"]) & (s["start"] < c["end"])
-    free = F.filter("picked", lambda c: ~F.exists("base", lambda s: overlaps(c, s)))
-    first = F.aggregate(free, F.array().cast(slim), lambda acc, c: F.when(F.exists(acc, lambda s: overlaps(c, s)), acc).otherwise(F.concat(acc, F.array(c)).cast(slim)))
+    free = F.filter("picked", lambda c: ~F.exists("base", lambda s: _overlap(c, s)))
+    first = F.aggregate(free, F.array().cast(slim), lambda acc, c: F.when(F.exists(acc, lambda s: _overlap(c, s)), acc).otherwise(F.concat(acc, F.array(c)).cast(slim)))
     return both.select("doc_id", F.array_sort(F.concat("base", first)).alias("spans"))
 
 
@@ -167,3 +189,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind)))
+
+
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_pii that SQL can express."""
+    return op1_pii(spark, sf_dir).drop("spans")
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE c::INT * 2 - CASE WHEN c::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+BASE_SQL = span_sql({
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda part: len(ltrim(part, '0')) > 3 OR ('0' || right(part, 3))::INT > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15"),
+}, by_kind=True)

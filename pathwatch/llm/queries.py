@@ -1,5 +1,6 @@
 """Queries of the training-data operators, with their SQL twins where SQL can express them."""
 
+from pathwatch.llm import pii, secrets
 from pathwatch.llm.bpe import op9_bpe_encode_decode
 from pathwatch.llm.decontaminate import OP10_SQL, op10_decontamination
 from pathwatch.llm.language import op2_language_id
@@ -22,5 +23,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_decontamination": op10_decontamination,
+    # the columns of op1 and op4 that SQL can express
+    "pii_base_columns": pii.base_columns,
+    "secret_base_columns": secrets.base_columns,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL, "pii_base_columns": pii.BASE_SQL, "secret_base_columns": secrets.BASE_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathwatch.llm.spans import find_spans, listed
+from pathwatch.llm.spans import find_spans, listed, span_sql
 from pathwatch.session import written
 
 #: Kinds in order: version, pattern, a pattern whose group 1 must have 8 characters in the match, and the cheap sign without which a text has none.
@@ -99,16 +99,18 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     Overlapping findings are replaced once. The ledger is joined by content, so ids may repeat or be null.
     """
     new = written(scan_new(docs, None, text), "ledger")
-    found = new.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = docs.withColumn("_key", blob_id(F.col(text))).join(found, F.col("_key") == F.col("_blob"), "left")
+    # all of a row's columns in one, so that no name can clash
+    packed = docs.select(F.struct(*docs.columns).alias("row"), blob_id(F.col(text)).alias("blob"))
+    joined = packed.join(new.where(F.size("findings") > 0).select("blob", "findings"), "blob", "left")
+    body = F.col("row")[text]
     cut = F.aggregate(
-        F.col("_findings"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.col("findings"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, f: F.when(f["end"] <= acc["at"], acc).when(
             f["start"] < acc["at"], F.struct(f["end"].alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(f["end"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, f["start"] - acc["at"]), F.lit("[secret]")).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.lit(2**31 - 1))))
-    clean = F.when(F.col("_findings").isNull(), F.col(text)).otherwise(cut)
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+            F.struct(f["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, f["start"] - acc["at"]), F.lit("[secret]")).alias("out"))),
+        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.lit(2**31 - 1))))
+    clean = F.when(F.col("findings").isNull(), body).otherwise(cut)
+    return joined.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,3 +124,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _count(kind: str) -> Column:
     return F.size(F.filter("findings", lambda f: f["kind"] == kind))
+
+
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_secret_scan that SQL can express."""
+    return op4_secret_scan(spark, sf_dir).drop("spans")
+
+
+_NAME = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_ASSIGN = _NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+BASE_SQL = span_sql({
+    "assign": (_ASSIGN, "len(regexp_extract(x, '" + _ASSIGN.replace("'", "''") + "', 1)) >= 8"),
+    "access": ("AKIA[A-Z0-9]+", "len(x) >= 16"),
+    "hex": ("[0-9a-f]{32,}", "true"),
+}, by_kind=False)

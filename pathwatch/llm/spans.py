@@ -32,3 +32,20 @@ def find_spans(text: Column, pattern: str) -> Column:
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined, in the array's order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def span_sql(kinds: dict[str, tuple[str, str]], by_kind: bool) -> str:
+    """DuckDB SQL for (doc_id, n_<kind> ..., base_sha256) of ``documents``, from the pattern of each kind and a condition on a match x.
+
+    The digest's spans are ordered by kind, then start, or the other way round.
+    """
+    each = []
+    for rank, (kind, (pattern, holds)) in enumerate(kinds.items()):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        each.append(f"""SELECT r, {rank} AS rank, '{kind}' AS kind, unnest(list_filter(list_transform(m, lambda x, i: {{'s': list_sum(list_transform(g[1:i], lambda y: len(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0), 'x': x}}), lambda h: list_filter([h.x], lambda x: {holds}) <> [])) AS h
+          FROM (SELECT r, regexp_extract_all(body, {quoted}) AS m, string_split_regex(body, {quoted}) AS g FROM d)""")
+    order = "rank, h.s" if by_kind else "h.s, rank"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+    f AS ({" UNION ALL ".join(each)})
+    SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || h.s::BIGINT || ':' || (h.s + len(h.x))::BIGINT, ',' ORDER BY {order}), '')) AS base_sha256 FROM d LEFT JOIN f USING (r) GROUP BY r"""
