@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pathwatch.functions.addresses import with_asn
 from pathwatch.functions.expand import differential_rtts
-from pathwatch.operators.statistics import asn_entropy, median_ci, trim_to_diversity
+from pathwatch.operators.statistics import entropy_of, median_ci, trim_plan, trimmed_samples
 from pathwatch.schema import DELAY_REFERENCE, Params
-from pathwatch.session import ship_code
+from pathwatch.session import ship_code, written
 
 LINK = ["time_bin", "ip1", "ip2"]
 
@@ -54,15 +54,46 @@ def link_filter(links: DataFrame, prefix: str) -> DataFrame:
 
 
 def delay_stats(samples: DataFrame, rib: DataFrame, p: Params, trim: bool = True) -> DataFrame:
-    """One row for each bin and link that enough networks see: n, median, lo, hi, n_asn, entropy, trimmed."""
-    s = with_asn(samples, "probe_ip", rib)
-    if trim:
-        kept = trim_to_diversity(s, LINK, order=["probe_ip", "msm_id", "prb_id", "rtt_diff"], min_asn=p.min_asn, min_entropy=p.min_entropy)
-        flags = kept.groupBy(*LINK).agg(F.max("trimmed").alias("trimmed"))
-        ent = asn_entropy(kept, LINK).drop("n")
-        return median_ci(kept, LINK, "rtt_diff", p.confidence).join(ent, LINK).join(flags, LINK)
-    ent = asn_entropy(s, LINK).drop("n").where((F.col("n_asn") >= p.min_asn) & (F.col("entropy") >= p.min_entropy))
-    return median_ci(s, LINK, "rtt_diff", p.confidence).join(ent, LINK)
+    """One row for each bin and link that enough networks see: n, median, lo, hi, n_asn, entropy, nb_probes, asns, trimmed.
+
+    The samples are written once, so that traces are expanded once. Networks come from a table of samples for each
+    probe, where each distinct probe is looked up; diversity and trimming are decided on counts. nb_probes are all
+    distinct probes of the link, trimmed or not; asns are the networks left.
+    """
+    s = written(samples.select(*LINK, "rtt_diff", "probe_ip", "msm_id", "prb_id"), "samples")
+    probes = written(with_asn(s.groupBy(*LINK, "probe_ip").agg(F.count("*").alias("c")), "probe_ip", rib), "probes")
+    counts = probes.groupBy(*LINK, "asn").agg(F.sum("c").alias("c"), F.count("*").alias("p"))
+    if not trim:
+        seen = counts.groupBy(*LINK).agg(F.sum("p").alias("nb_probes"), F.array_sort(F.collect_list("asn")).alias("asns"))
+        ent = entropy_of(counts, LINK).drop("n").where((F.col("n_asn") >= p.min_asn) & (F.col("entropy") >= p.min_entropy))
+        return median_ci(s, LINK, "rtt_diff", p.confidence).join(ent.join(seen, LINK), LINK).withColumn("trimmed", F.lit(False))
+    plan = written(trim_plan(counts.select(*LINK, "asn", "c"), LINK, "asn", p.min_asn, p.min_entropy), "trim_plan")
+    groups = plan.groupBy(*LINK).agg(F.max("trimmed").alias("trimmed"), F.max("n_asn").alias("n_asn"), F.max("entropy").alias("entropy"), F.array_sort(F.collect_list(F.when(F.col("keep") > 0, F.col("asn")))).alias("asns"))
+    groups = groups.join(probes.groupBy(*LINK).agg(F.count("*").alias("nb_probes")), LINK)
+    known = s.join(probes.select(*LINK, "probe_ip", "asn"), [*LINK, "probe_ip"])
+    kept = trimmed_samples(known, plan, LINK, "asn", ["probe_ip", "msm_id", "prb_id"], ["rtt_diff"])
+    return median_ci(kept, LINK, "rtt_diff", p.confidence).join(groups, LINK)
+
+
+def with_measurements(alarms: DataFrame, samples: DataFrame) -> DataFrame:
+    """Alarms with ``msm``, the map from each measurement to its probes, of all samples of their link and bin.
+
+    Samples of other links are dropped before anything is grouped.
+    """
+    own = samples.select(*LINK, "msm_id", "prb_id").join(alarms.select(*LINK).distinct(), LINK, "left_semi")
+    return alarms.join(msm_probe_map(own, LINK), LINK, "left")
+
+
+def link_probes(samples: DataFrame, stats: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """(ip1, ip2, probe_ip): every probe that has seen a link in a bin with statistics; ``old`` are those of earlier runs."""
+    now = samples.select(*LINK, "probe_ip").distinct().join(stats.select(*LINK), LINK, "left_semi").select("ip1", "ip2", "probe_ip")
+    return (now if old is None else now.unionByName(old.select("ip1", "ip2", "probe_ip"))).distinct()
+
+
+def msm_probe_map(samples: DataFrame, keys: list[str], msm: str = "msm_id", prb: str = "prb_id") -> DataFrame:
+    """(*keys, msm): a map from measurement to its sorted distinct probes."""
+    one = samples.groupBy(*keys, msm).agg(F.array_sort(F.collect_set(prb)).alias("_p"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(msm).alias("m"), F.col("_p").alias("p"))))).alias("msm"))
 
 
 def deviation_columns(med: Column, lo: Column, hi: Column, mean: Column, low: Column, high: Column) -> dict[str, Column]:
@@ -80,22 +111,22 @@ def delay_deviation(stats: DataFrame, ref: DataFrame) -> DataFrame:
     return x.withColumns(deviation_columns(F.col("median"), F.col("lo"), F.col("hi"), F.col("mean"), F.col("low"), F.col("high")))
 
 
-STEP = "time_bin long, ip1 string, ip2 string, n long, median double, lo double, hi double, ref double, ref_low double, ref_high double, nb_seen int, alarm boolean, diff double, diff_med double, deviation double, dev_bound double, mean double, low double, high double, boot array<struct<med:double,hi:double,lo:double>>, first_seen long, last_seen long, nb_reported int, is_last boolean"
+STEP = "time_bin long, ip1 string, ip2 string, n long, median double, lo double, hi double, ref double, ref_low double, ref_high double, nb_seen int, alarm boolean, diff double, diff_med double, deviation double, dev_bound double, mean double, low double, high double, boot array<struct<med:double,hi:double,lo:double>>, first_seen long, last_seen long, nb_reported int, nb_trimmed int, is_last boolean"
 
 
 def _fold(p: Params):
     def run(key, now: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         ip1, ip2 = key
-        boot, mean, low, high, seen, told, first, last = [], None, None, None, 0, 0, None, None
+        boot, mean, low, high, seen, told, cut, first, last = [], None, None, None, 0, 0, 0, None, None
         if len(old):
             o = old.iloc[0]
-            seen, told, first, last = int(o.nb_seen), int(o.nb_reported), int(o.first_seen), int(o.last_seen)
+            seen, told, cut, first, last = int(o.nb_seen), int(o.nb_reported), int(o.nb_trimmed), int(o.first_seen), int(o.last_seen)
             boot = [(b["med"], b["hi"], b["lo"]) for b in (o.boot if o.boot is not None else [])]
             mean, low, high = (None if pd.isna(v) else float(v) for v in (o["mean"], o["low"], o["high"]))
         out = []
         for r in now.sort_values("time_bin").itertuples(index=False):
             if p.expire_days is not None and last is not None and r.time_bin - p.window - last > p.expire_days * 86400:
-                boot, mean, low, high, seen, told, first = [], None, None, None, 0, 0, None
+                boot, mean, low, high, seen, told, cut, first = [], None, None, None, 0, 0, 0, None
             row = dict(time_bin=r.time_bin, ip1=ip1, ip2=ip2, n=r.n, median=r.median, lo=r.lo, hi=r.hi, ref=mean, ref_low=low, ref_high=high, nb_seen=seen, alarm=False, diff=None, diff_med=None, deviation=None, dev_bound=None)
             if seen >= p.min_seen and mean is not None:
                 down = r.median < mean
@@ -104,6 +135,7 @@ def _fold(p: Params):
                 if div:
                     row |= dict(deviation=(r.median - mean) / div, dev_bound=diff / div)
             told += row["alarm"]
+            cut += r.trimmed
             seen += 1
             first, last = (r.time_bin if first is None else first), r.time_bin
             if mean is None:
@@ -113,7 +145,7 @@ def _fold(p: Params):
                     boot = []
             else:
                 mean, high, low = ((1 - p.alpha) * a + p.alpha * b for a, b in ((mean, r.median), (high, r.hi), (low, r.lo)))
-            out.append(row | dict(mean=mean, low=low, high=high, boot=[dict(med=a, hi=b, lo=c) for a, b, c in boot], first_seen=first, last_seen=last, nb_reported=told, is_last=False))
+            out.append(row | dict(mean=mean, low=low, high=high, boot=[dict(med=a, hi=b, lo=c) for a, b, c in boot], first_seen=first, last_seen=last, nb_reported=told, nb_trimmed=cut, is_last=False))
         if out:
             out[-1]["is_last"] = True
         elif len(old):
@@ -129,19 +161,21 @@ def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params) ->
     A link's bins are folded in order: a bin is compared with the reference as it was before (once that has seen
     ``min_seen`` bins), which then takes it in, first as a median of ``min_seen`` bins, then as an exponential average.
     A task holds the bins of one link, a row each, never its samples. References of links not seen stay as they are.
+    Alarms keep the other columns of their bin's statistics.
     """
     spark = stats.sparkSession
     ship_code(spark)
     ref0 = spark.createDataFrame([], DELAY_REFERENCE) if ref0 is None else ref0
     cols = ["time_bin", "ip1", "ip2", "n", "median", "lo", "hi"]
-    steps = stats.select(*cols).groupBy("ip1", "ip2").cogroup(ref0.groupBy("ip1", "ip2")).applyInPandas(_fold(p), STEP)
-    from pathwatch.session import written
-
+    trimmed = F.col("trimmed") if "trimmed" in stats.columns else F.lit(False)
+    steps = stats.select(*cols, trimmed.alias("trimmed")).groupBy("ip1", "ip2").cogroup(ref0.groupBy("ip1", "ip2")).applyInPandas(_fold(p), STEP)
     steps = written(steps, "delay_steps")
     names = [c.name for c in ref0.schema]
     ref = steps.where("is_last").withColumn("nb_seen", (F.col("nb_seen") + 1).cast("int")).select(*names)
     kept = ref0.join(ref.select("ip1", "ip2"), ["ip1", "ip2"], "left_anti").select(*names)
-    return steps.where("alarm").drop("mean", "low", "high", "boot", "first_seen", "last_seen", "is_last"), ref.unionByName(kept)
+    told = steps.where("alarm").drop("mean", "low", "high", "boot", "first_seen", "last_seen", "nb_trimmed", "is_last")
+    more = [c for c in ("n_asn", "entropy", "asns", "nb_probes", "trimmed") if c in stats.columns]
+    return (told.join(stats.select(*LINK, *more), LINK) if more else told), ref.unionByName(kept)
 
 
 def expire_reference(ref: DataFrame, now: int, days: int = 7) -> DataFrame:

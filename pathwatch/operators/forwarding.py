@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pathwatch.functions.addresses import with_asn
 from pathwatch.functions.expand import LOST, next_hop_packets
-from pathwatch.operators.delay import time_bin, time_range, valid_traces
-from pathwatch.operators.statistics import pearson, trim_counts
+from pathwatch.operators.delay import msm_probe_map, time_bin, time_range, valid_traces
+from pathwatch.operators.statistics import pearson, trim_plan
 from pathwatch.schema import FORWARDING_REFERENCE, Params
 from pathwatch.session import ship_code, written
 
@@ -23,12 +23,6 @@ def next_hop_counts(traces: DataFrame, p: Params) -> DataFrame:
     return next_hop_packets(t, "time_bin").groupBy("time_bin", "dst", "ip0", "ip1", "probe").agg(F.sum("weight").alias("weight"))
 
 
-def msm_probe_map(samples: DataFrame, keys: list[str], msm: str = "msm_id", prb: str = "prb_id") -> DataFrame:
-    """(*keys, msm): a map from measurement to its sorted distinct probes."""
-    one = samples.groupBy(*keys, msm).agg(F.array_sort(F.collect_set(prb)).alias("_p"))
-    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(msm).alias("m"), F.col("_p").alias("p"))))).alias("msm"))
-
-
 def backfill_msm_probe_ids(alarms: DataFrame, children: DataFrame) -> DataFrame:
     """Alarms whose msm_prb_ids is null get the JSON map of their (alarm_id, msmid, probeid) child rows."""
     made = msm_probe_map(children, ["alarm_id"], "msmid", "probeid").select("alarm_id", F.to_json("msm").alias("_made"))
@@ -53,34 +47,16 @@ def _fold(p: Params):
             ref = dict(o.ref)
             seen, told, first, last = int(o.nb_seen), int(o.nb_reported), int(o.first_seen), int(o.last_seen)
         out = []
-        for t, g in now.groupby("time_bin", sort=True):
-            if p.expire_days is not None and last is not None:
-                before = g["prev_bin"].iloc[0]
-                if not pd.isna(before) and before - last > p.expire_days * 86400:
-                    ref, seen, told, first = {}, 0, 0, None
-            g = g.assign(units=np.floor(g["weight"] + 1e-6).astype(int))
-            by_asn = g.groupby("asn")["units"].sum()
-            by_asn = by_asn[by_asn > 0]
-            keep = trim_counts(by_asn.tolist(), p.min_asn, p.min_entropy) if len(by_asn) >= p.min_asn else None
-            if keep is None:
-                continue
-            kept = dict(zip(by_asn.index, keep))
-            # which of a network's units go is drawn with a seed that depends on the group alone
-            rows = g.sort_values(["asn", "ip1", "probe"])
-            count: dict[str, float] = {}
-            rng = np.random.default_rng(1)
-            for asn, part in rows.groupby("asn", sort=True):
-                hops = np.repeat(part["ip1"].to_numpy(), part["units"].to_numpy())
-                if len(hops) > kept.get(asn, 0):
-                    hops = hops[np.sort(rng.permutation(len(hops))[: kept.get(asn, 0)])]
-                for h in hops:
-                    count[h] = count.get(h, 0.0) + 1
+        for t, before, hops in now.sort_values("time_bin")[["time_bin", "prev_bin", "hops"]].itertuples(index=False):
+            if p.expire_days is not None and last is not None and not pd.isna(before) and before - last > p.expire_days * 86400:
+                ref, seen, told, first = {}, 0, 0, None
+            count = {h["ip1"]: float(h["units"]) for h in hops if h["units"] > 0}
+            raw = {h["ip1"]: h["raw"] for h in hops}
             names = sorted(set(count) | {h for h, v in ref.items() if v > 0} | {ZERO})
             x, y = np.array([count.get(h, 0.0) for h in names]), np.array([ref.get(h, 0.0) for h in names])
             corr = _pearson(x, y)
             alarm = bool(corr is not None and seen >= p.min_seen and corr < p.min_corr)
             told += alarm
-            raw = g.groupby("ip1")["weight"].sum().to_dict()
             prior = dict(ref)
             ref = {h: (1 - p.alpha) * ref.get(h, 0.0) + p.alpha * count.get(h, 0.0) for h in {*names, *ref}}
             first, last = (t if first is None else first), t
@@ -96,24 +72,46 @@ def _fold(p: Params):
 def detect_forwarding_changes(counts: DataFrame, rib: DataFrame, ref0: DataFrame | None, p: Params) -> tuple[DataFrame, DataFrame]:
     """Every qualified (bin, destination, router) with its correlation and alarm flag, and the reference after the last bin.
 
-    Packets are truncated to units for each next hop and probe; groups seen from too few networks are dropped before
-    anything is shuffled to the fold, which goes over the bins of one (destination, router) in order. The vector holds
-    the observed and referenced next hops and an artificial hop of zero.
+    Packets are truncated to units for each next hop and probe. Groups seen from too few networks are dropped, and the
+    units of too frequent networks are thinned out evenly over their next hops and probes, on Spark; the fold over one
+    (destination, router) gets a row for each bin, which holds its next hops, never probes. The vector holds the
+    observed and referenced next hops and an artificial hop of zero.
     """
     spark = counts.sparkSession
     ship_code(spark)
     ref0 = spark.createDataFrame([], FORWARDING_REFERENCE) if ref0 is None else ref0
+    key = ["time_bin", "dst", "ip0"]
+    # traces are expanded once
+    counts = written(counts, "packets")
     bins = counts.select("dst", "time_bin").distinct().withColumn("prev_bin", F.lag("time_bin").over(Window.partitionBy("dst").orderBy("time_bin")))
-    c = with_asn(counts, "probe", rib)
-    many = c.where(F.floor(F.col("weight") + 1e-6) > 0).groupBy("time_bin", "dst", "ip0").agg(F.countDistinct("asn").alias("_k")).where(F.col("_k") >= p.min_asn).drop("_k")
-    c = c.join(many, ["time_bin", "dst", "ip0"]).join(bins, ["dst", "time_bin"])
-    steps = written(c.groupBy("dst", "ip0").cogroup(ref0.groupBy("dst", "ip0")).applyInPandas(_fold(p), STEP), "forwarding_steps")
+    units = with_asn(counts, "probe", rib).withColumn("u", F.floor(F.col("weight") + 1e-6).cast("long"))
+    plan = written(trim_plan(units.where("u > 0").groupBy(*key, "asn").agg(F.sum("u").alias("c")), key, "asn", p.min_asn, p.min_entropy).select(*key, "asn", "c", "keep"), "forwarding_plan")
+    planned = units.where("u > 0").join(plan, [*key, "asn"])
+    whole, cut = planned.where("keep = c"), planned.where("keep < c")
+    upto = F.sum("u").over(Window.partitionBy(*key, "asn").orderBy("ip1", "probe").rowsBetween(Window.unboundedPreceding, 0))
+    cut = cut.withColumn("upto", upto).withColumn("u", (F.expr("upto * keep div c") - F.expr("(upto - u) * keep div c")))
+    kept = whole.select(*key, "ip1", "u").unionByName(cut.select(*key, "ip1", "u")).groupBy(*key, "ip1").agg(F.sum("u").alias("units"))
+    raw = counts.join(plan.select(*key).distinct(), key, "left_semi").groupBy(*key, "ip1").agg(F.sum("weight").alias("raw"))
+    hops = raw.join(kept, [*key, "ip1"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ip1", F.coalesce("units", F.lit(0)).alias("units"), "raw"))).alias("hops"))
+    steps = written(hops.join(bins, ["dst", "time_bin"]).groupBy("dst", "ip0").cogroup(ref0.groupBy("dst", "ip0")).applyInPandas(_fold(p), STEP), "forwarding_steps")
     names = [f.name for f in ref0.schema]
     ref = steps.where("is_last").withColumn("nb_seen", (F.col("nb_seen") + 1).cast("int")).select(*names)
     kept = ref0.join(ref.select("dst", "ip0"), ["dst", "ip0"], "left_anti").select(*names)
     return steps.drop("ref", "first_seen", "last_seen", "is_last"), ref.unionByName(kept)
 
 
+def with_measurements(alarms: DataFrame, traces: DataFrame, p: Params) -> DataFrame:
+    """Alarms with ``msm``: for each next hop the map from each measurement to the probes that have seen it there.
+
+    Edges of routers without an alarm in the bin are dropped before anything is grouped.
+    """
+    key = ["time_bin", "dst", "ip0"]
+    t = time_range(valid_traces(traces), p.start, p.end).withColumn("time_bin", time_bin(F.col("timestamp"), p.start, p.window))
+    edges = next_hop_packets(t, "time_bin", "msm_id", "prb_id").join(alarms.select(*key).distinct(), key, "left_semi")
+    hops = msm_probe_map(edges, [*key, "ip1"]).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ip1", "msm")), lambda a, b: F.when(a["ip1"] < b["ip1"], -1).otherwise(1))).alias("msm"))
+    return alarms.join(hops, key, "left")
+
+
 def next_hop_correlation(obs: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, corr): Pearson correlation of (hop, packets) tables over the union of their hops and the zero hop; null if a side is constant."""
     zero = obs.select(*keys).distinct().withColumns({"hop": F.lit(ZERO), "packets": F.lit(0.0)})
@@ -129,9 +127,10 @@ def responsibility(alarms: DataFrame) -> DataFrame:
     """
     diffs = F.transform(F.map_entries("obs"), lambda e: F.struct(e["key"].alias("ip"), (e["value"] - F.coalesce(F.try_element_at("prior", e["key"]), F.lit(0.0))).alias("d")))
     a = alarms.withColumn("_d", diffs).withColumn("_s", F.aggregate("_d", F.lit(0.0), lambda s, x: s + F.abs(x["d"])))
-    x = a.select("time_bin", "dst", "ip0", "corr", "_s", F.explode("_d").alias("e")).where(~F.col("e.ip").isin(ZERO, LOST))
+    msm = ["msm"] if "msm" in alarms.columns else []
+    x = a.select("time_bin", "dst", "ip0", "corr", *msm, "_s", F.explode("_d").alias("e")).where(~F.col("e.ip").isin(ZERO, LOST))
     resp = F.try_divide(F.abs("corr") * F.col("e.d"), F.col("_s"))
-    return x.select("time_bin", "dst", "ip0", F.col("e.ip").alias("ip"), F.col("e.d").alias("pkt_diff"), resp.alias("resp"), F.abs(resp).alias("resp_abs"), F.when(F.col("e.d") < 0, "-").otherwise("+").alias("label"))
+    return x.select("time_bin", "dst", "ip0", *msm, F.col("e.ip").alias("ip"), F.col("e.d").alias("pkt_diff"), resp.alias("resp"), F.abs(resp).alias("resp_abs"), F.when(F.col("e.d") < 0, "-").otherwise("+").alias("label"))
 
 
 def prune_small_targets(ref: DataFrame, min_routers: int = 500) -> DataFrame:

@@ -45,10 +45,14 @@ def delay_alarm_rows(alarms: DataFrame, rib: DataFrame) -> DataFrame:
 
 
 def forwarding_alarm_rows(resp: DataFrame, rib: DataFrame) -> DataFrame:
-    """One row for each forwarding alarm with its most and least responsible next hop (ties: the smaller address) and their networks."""
+    """One row for each forwarding alarm with its most and least responsible next hop and their networks.
+
+    Responsibilities that agree to nine digits are ties, of which the smaller address counts.
+    """
+    r = F.round("resp", 9)
     g = resp.groupBy("time_bin", "dst", "ip0").agg(
-        F.min(F.struct((-F.col("resp")).alias("r"), F.col("ip"))).alias("top"), F.min(F.struct(F.col("resp").alias("r"), F.col("ip"))).alias("low"))
-    g = g.select("time_bin", "dst", "ip0", F.col("top.ip").alias("ip_most"), (-F.col("top.r")).alias("resp_most"), F.col("low.ip").alias("ip_least"), F.col("low.r").alias("resp_least"))
+        F.min(F.struct((-r).alias("k"), F.col("ip"), F.col("resp").alias("r"))).alias("top"), F.min(F.struct(r.alias("k"), F.col("ip"), F.col("resp").alias("r"))).alias("low"))
+    g = g.select("time_bin", "dst", "ip0", F.col("top.ip").alias("ip_most"), F.col("top.r").alias("resp_most"), F.col("low.ip").alias("ip_least"), F.col("low.r").alias("resp_least"))
     return with_asn(with_asn(g, "ip_most", rib, "asn_most"), "ip_least", rib, "asn_least")
 
 

@@ -118,12 +118,6 @@ def delay_reference_stats(ref: DataFrame) -> DataFrame:
                    F.count("*").alias("links"), F.count_if(F.col("nb_reported") > 0).alias("reported"), F.try_divide(F.count_if(F.col("nb_reported") > 0), F.count("*")).alias("reported_share"))
 
 
-def average_rank(value: str, series: list[str]) -> Column:
-    """Rank with ties averaged, as Spearman's correlation needs it; partitioned by ``series``."""
-    w = Window.partitionBy(*series)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*series, value)) - 1) / 2
-
-
 def delay_reference_correlation(ref: DataFrame, min_seen: int = 24, min_probes: int = 3) -> DataFrame:
     """One row: Pearson and Spearman correlation of interval size and number of probes.
 

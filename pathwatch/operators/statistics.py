@@ -37,9 +37,7 @@ def median_ci(samples: DataFrame, keys: list[str], value: str, confidence: float
 
 def asn_entropy(samples: DataFrame, keys: list[str], asn: str = "asn") -> DataFrame:
     """(*keys, n, n_asn, entropy): samples, networks, and the entropy of their shares over its maximum (null for one network)."""
-    c = samples.groupBy(*keys, asn).agg(F.count("*").alias("c"))
-    g = c.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("n_asn"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    return g.select(*keys, "n", "n_asn", F.try_divide(F.log("n") - F.col("s") / F.col("n"), F.log("n_asn")).alias("entropy"))
+    return entropy_of(samples.groupBy(*keys, asn).agg(F.count("*").alias("c")), keys)
 
 
 def trim_counts(counts: list[int], min_asn: int, min_entropy: float) -> list[int] | None:
@@ -65,27 +63,55 @@ def trim_counts(counts: list[int], min_asn: int, min_entropy: float) -> list[int
     return None if k < min_asn or not entropy() >= min_entropy else c
 
 
-def trim_to_diversity(samples: DataFrame, keys: list[str], asn: str = "asn", order: list[str] | None = None, min_asn: int = 3, min_entropy: float = 0.5, seed: int = 1) -> DataFrame:
-    """The samples that are kept in groups that are, or can be trimmed to be, diverse enough; with column ``trimmed``.
+def entropy_of(counts: DataFrame, keys: list[str], count: str = "c") -> DataFrame:
+    """(*keys, n, n_asn, entropy) from one row for each key and network with its ``count``."""
+    g = counts.groupBy(*keys).agg(F.sum(count).alias("n"), F.count("*").alias("n_asn"), F.sum(F.col(count) * F.log(count)).alias("s"))
+    return g.select(*keys, "n", "n_asn", F.try_divide(F.log("n") - F.col("s") / F.col("n"), F.log("n_asn")).alias("entropy"))
+
+
+def trim_plan(counts: DataFrame, keys: list[str], asn: str = "asn", min_asn: int = 3, min_entropy: float = 0.5) -> DataFrame:
+    """(*keys, asn, c, keep, trimmed, n_asn, entropy): how many of each network's ``c`` samples are kept, and the diversity that is left.
 
     Groups that are diverse already, and those that can't be, are decided with built-in functions; only the count
-    vectors of the rest (a few numbers for each group) go through the trimming helper. Which of a network's samples
-    stay is drawn by a seeded hash of the ``order`` columns.
+    vectors of the rest (a few numbers for each group) go through the trimming helper. Groups that are not diverse
+    enough and can't be trimmed to be so have no rows.
     """
-    ship_code(samples.sparkSession)
-    counts = samples.groupBy(*keys, asn).agg(F.count("*").alias("_c"))
-    groups = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(asn).alias("a"), F.col("_c").alias("c")))).alias("_v"), F.sum("_c").alias("_n"), F.count("*").alias("_k"), F.sum(F.col("_c") * F.log("_c")).alias("_s"))
+    ship_code(counts.sparkSession)
+    groups = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(asn).alias("a"), F.col("c")))).alias("_v"), F.sum("c").alias("_n"), F.count("*").alias("_k"), F.sum(F.col("c") * F.log("c")).alias("_s"))
     entropy = F.try_divide(F.log("_n") - F.col("_s") / F.col("_n"), F.log("_k"))
     groups = groups.where(F.col("_k") >= min_asn).withColumn("_e", entropy).where((F.col("_k") > min_asn) | (F.col("_e") >= min_entropy))
 
     def trim(v: pd.Series) -> pd.Series:
         return v.map(lambda x: trim_counts([r["c"] for r in x], min_asn, min_entropy), na_action="ignore")
 
-    kept = groups.withColumn("_keep", F.when(F.col("_e") >= min_entropy, F.transform("_v", lambda x: x["c"])).otherwise(F.pandas_udf(trim, "array<long>")(F.when(F.col("_e") < min_entropy, F.col("_v")))))
-    kept = kept.where("_keep IS NOT NULL").select(*keys, (F.col("_e") < min_entropy).alias("trimmed"), F.explode(F.arrays_zip(F.transform("_v", lambda x: x["a"]).alias("a"), F.col("_keep").alias("k"))).alias("_z"))
-    kept = kept.select(*keys, "trimmed", F.col("_z.a").alias(asn), F.col("_z.k").alias("_keep"))
-    draw = F.row_number().over(Window.partitionBy(*keys, asn).orderBy(F.xxhash64(F.lit(seed), *(order or [asn])), *(order or [])))
-    return samples.withColumn("_d", draw).join(kept, [*keys, asn]).where(F.col("_d") <= F.col("_keep")).drop("_d", "_keep")
+    low = F.col("_e") < min_entropy
+    kept = groups.withColumn("keep", F.when(~low, F.transform("_v", lambda x: x["c"])).otherwise(F.pandas_udf(trim, "array<long>")(F.when(low, F.col("_v"))))).where("keep IS NOT NULL")
+    total = F.aggregate("keep", F.lit(0).cast("long"), lambda a, x: a + x)
+    logs = F.aggregate("keep", F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log(x)).otherwise(0.0))
+    left = F.size(F.filter("keep", lambda x: x > 0)).cast("long")
+    kept = kept.select(*keys, low.alias("trimmed"), left.alias("n_asn"), F.try_divide(F.log(total) - logs / total, F.log(left)).alias("entropy"), F.explode(F.arrays_zip("_v", "keep")).alias("_z"))
+    return kept.select(*keys, F.col("_z._v.a").alias(asn), F.col("_z._v.c").alias("c"), F.col("_z.keep").alias("keep"), "trimmed", "n_asn", "entropy")
+
+
+def trimmed_samples(samples: DataFrame, plan: DataFrame, keys: list[str], asn: str, order: list[str], ties: list[str] = (), seed: int = 1) -> DataFrame:
+    """The samples that a plan keeps, with its columns trimmed, n_asn and entropy.
+
+    Which of a network's samples stay is drawn by a seeded hash of the ``order`` columns (and ``ties`` among equals);
+    only networks that lose samples are sorted for it.
+    """
+    both = samples.join(plan, [*keys, asn])
+    whole, cut = both.where("keep = c"), both.where("keep < c")
+    draw = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(x).cast("string") for x in order]).cast("binary"))
+    place = F.row_number().over(Window.partitionBy(*keys, asn).orderBy(draw, *order, *ties))
+    cut = cut.withColumn("_d", place).where(F.col("_d") <= F.col("keep")).drop("_d")
+    return whole.unionByName(cut).drop("c", "keep")
+
+
+def trim_to_diversity(samples: DataFrame, keys: list[str], asn: str = "asn", order: list[str] | None = None, min_asn: int = 3, min_entropy: float = 0.5, seed: int = 1) -> DataFrame:
+    """The samples that are kept in groups that are, or can be trimmed to be, diverse enough; with column ``trimmed``."""
+    counts = samples.groupBy(*keys, asn).agg(F.count("*").alias("c"))
+    plan = trim_plan(counts, keys, asn, min_asn, min_entropy)
+    return trimmed_samples(samples, plan, keys, asn, order or [asn], seed=seed).drop("n_asn", "entropy")
 
 
 def pearson(x: str, y: str) -> Column:

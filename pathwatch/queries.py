@@ -72,6 +72,48 @@ fh AS (SELECT tid, hp, row_number() OVER (PARTITION BY tid ORDER BY hp) AS q, m
 fn AS (SELECT fr.tid, q, ip, count(*) AS c, any_value(m) AS m FROM fr JOIN fh USING (tid, hp) GROUP BY ALL),
 fp AS (SELECT tid, 0 AS q, probe AS ip, 3 AS c, 3 AS m FROM t UNION ALL SELECT tid, q, ip, c, m FROM fn),
 e AS (SELECT t.time_bin, t.dst, a.ip AS ip0, b.ip AS ip1, t.probe, sum(a.c * b.c / a.m) AS weight FROM fp a JOIN fn b ON a.tid = b.tid AND b.q = a.q + 1 JOIN t ON t.tid = a.tid GROUP BY ALL)"""
+_ent = "((ln(list_sum({v})) - list_sum(list_transform({v}, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / list_sum({v})) / ln(len(list_filter({v}, lambda x: x > 0))))"
+
+
+def _trim_sql(name: str, counts: str, keys: str) -> str:
+    """<name>_k: what trim_plan gives, by taking one sample after the other from the most frequent network; needs WITH RECURSIVE."""
+    more = "len(list_filter(keep, lambda x: x > 0))"
+    return f"""{name}_g AS (SELECT {keys}, list(asn ORDER BY asn) AS asns, list(c ORDER BY asn) AS cs FROM {counts} GROUP BY ALL HAVING count(*) >= 3),
+{name}_t AS (SELECT *, cs AS keep FROM {name}_g UNION ALL SELECT {keys}, asns, cs, list_transform(keep, lambda x, i: CASE WHEN i = list_position(keep, list_max(keep)) THEN x - 1 ELSE x END) FROM {name}_t WHERE {more} > 3 AND {_ent.format(v='keep')} < 0.5),
+{name}_k AS (SELECT {keys}, keep <> cs AS trimmed, {more} AS n_asn, {_ent.format(v='keep')} AS entropy, unnest(asns) AS asn, unnest(cs) AS c, unnest(keep) AS keep FROM {name}_t WHERE {_ent.format(v='keep')} >= 0.5)"""
+
+
+_skewed = "CASE WHEN probe LIKE '20.%' THEN 64500 + greatest(0, split_part(probe, '.', 2)::INT - 19) ELSE 0 END"
+TRIMMED = "RECURSIVE " + SAMPLES + f""",
+sk AS (SELECT *, {_skewed} AS asn FROM s), skc AS (SELECT time_bin, ip1, ip2, asn, count(*) AS c FROM sk GROUP BY ALL),
+{_trim_sql('tm', 'skc', 'time_bin, ip1, ip2')},
+tr0 AS (SELECT time_bin, ip1, ip2, asn, d, row_number() OVER (PARTITION BY time_bin, ip1, ip2, asn ORDER BY md5(concat_ws('|', 1, probe, msm, prb)), probe, msm, prb, d) AS draw FROM sk),
+tr1 AS (SELECT time_bin, ip1, ip2, trimmed, n_asn, entropy, count(*) AS n, median(d) AS median, list_sort(list(d)) AS l FROM tr0 JOIN tm_k USING (time_bin, ip1, ip2, asn) WHERE draw <= keep GROUP BY ALL),
+tr AS (SELECT time_bin, ip1, ip2, n, median, l[1 + floor(n * (0.5 - {Z} / (2 * sqrt(n + {Z} * {Z}))))::INT] AS lo, l[1 + floor(n * (0.5 + {Z} / (2 * sqrt(n + {Z} * {Z}))))::INT] AS hi, n_asn, entropy, trimmed FROM tr1)"""
+_first = ", ".join(f"median({c}) FILTER (WHERE k < 24) OVER l AS b_{c}, sum(CASE WHEN k > 24 THEN 0.01 * {c} * power(0.99, -k) ELSE 0 END) OVER (l ORDER BY time_bin ROWS UNBOUNDED PRECEDING) AS s_{c}" for c in ("median", "lo", "hi"))
+_smooth = ", ".join(f"CASE WHEN bins > 24 THEN CASE WHEN k <= 24 THEN b_{c} ELSE power(0.99, k - 24) * b_{c} + power(0.99, k) * s_{c} END END AS r_{c}" for c in ("median", "lo", "hi"))
+HISTORY = SAMPLES + f""",
+h0 AS (SELECT time_bin, ip1, ip2, count(*) AS n, median(d) AS median, list_sort(list(d)) AS l FROM s SEMI JOIN (SELECT ip1, ip2 FROM s GROUP BY ALL HAVING count(*) > 20) big USING (ip1, ip2) GROUP BY ALL HAVING count(*) >= 3),
+h1 AS (SELECT ip1, ip2, time_bin, n, median, l[1 + floor(n * (0.5 - {Z} / (2 * sqrt(n + {Z} * {Z}))))::INT] AS lo, l[1 + floor(n * (0.5 + {Z} / (2 * sqrt(n + {Z} * {Z}))))::INT] AS hi, row_number() OVER (PARTITION BY ip1, ip2 ORDER BY time_bin) - 1 AS k FROM h0),
+h2 AS (SELECT *, count(*) OVER l AS bins, {_first} FROM h1 WINDOW l AS (PARTITION BY ip1, ip2)),
+h3 AS (SELECT *, {_smooth} FROM h2),
+h AS (SELECT ip1, ip2, time_bin, n, median, r_median AS smooth, r_lo AS smooth_lo, r_hi AS smooth_hi, coalesce(k > 24 AND (lo > r_hi OR hi < r_lo) AND abs(median - r_median) > 1, false) AS alarm FROM h3)"""
+FORWARD = "RECURSIVE " + COUNTS + f""",
+fu AS (SELECT *, floor(weight + 1e-6)::BIGINT AS u, {asn_sql('probe')} AS asn FROM e),
+fa AS (SELECT time_bin, dst, ip0, asn, sum(u)::BIGINT AS c FROM fu WHERE u > 0 GROUP BY ALL),
+{_trim_sql('fp2', 'fa', 'time_bin, dst, ip0')},
+fc AS (SELECT fu.time_bin, fu.dst, fu.ip0, ip1, u, c, keep, sum(u) OVER (PARTITION BY fu.time_bin, fu.dst, fu.ip0, fu.asn ORDER BY ip1, probe ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM fu JOIN fp2_k USING (time_bin, dst, ip0, asn) WHERE u > 0),
+fk AS (SELECT time_bin, dst, ip0, ip1, sum((upto * keep) // c - ((upto - u) * keep) // c) AS n FROM fc GROUP BY ALL),
+fw AS (SELECT time_bin, dst, ip0, ip1, sum(weight) AS raw FROM e SEMI JOIN fp2_k USING (time_bin, dst, ip0) GROUP BY ALL),
+fs AS (SELECT *, row_number() OVER (PARTITION BY dst, ip0 ORDER BY time_bin) - 1 AS k FROM (SELECT DISTINCT time_bin, dst, ip0 FROM fp2_k)),
+fd AS (SELECT fs.time_bin, dst, ip0, k, ip1, coalesce(n, 0) AS n FROM fs JOIN (SELECT DISTINCT dst, ip0, ip1 FROM fk WHERE n > 0) hu USING (dst, ip0) LEFT JOIN fk USING (time_bin, dst, ip0, ip1)),
+fref AS (SELECT *, coalesce(sum(0.01 * n * power(0.99, -k - 1)) OVER (PARTITION BY dst, ip0, ip1 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * power(0.99, k) AS prior FROM fd),
+fm AS (SELECT * FROM fref WHERE n > 0 OR prior > 0),
+fv AS (SELECT time_bin, dst, ip0, k, n, prior FROM fm UNION ALL SELECT time_bin, dst, ip0, k, 0, 0 FROM fs),
+fx AS (SELECT time_bin, dst, ip0, CASE WHEN stddev_pop(n) > 0 AND stddev_pop(prior) > 0 THEN corr(n, prior) END AS corr, sum(n)::INT AS nb_samples, count(*)::INT AS nb_peers, k::INT AS nb_seen FROM fv GROUP BY ALL),
+fy AS (SELECT time_bin, dst, ip0, ip1 AS ip, coalesce(raw, 0) - coalesce(prior, 0) AS pkt_diff FROM fm FULL JOIN fw USING (time_bin, dst, ip0, ip1)),
+fz AS (SELECT fy.*, abs(corr) * pkt_diff / sum(abs(pkt_diff)) OVER (PARTITION BY time_bin, dst, ip0) AS resp FROM fy JOIN fx USING (time_bin, dst, ip0) WHERE corr < 0.9 AND nb_seen >= 3),
+rs AS (SELECT time_bin, dst, ip0, ip, pkt_diff, resp, abs(resp) AS resp_abs, CASE WHEN pkt_diff < 0 THEN '-' ELSE '+' END AS label FROM fz WHERE ip <> 'x')"""
 EVENTS = """
 ev AS (SELECT user_id % 10 AS asn, floor(epoch(ts))::BIGINT // 3600 * 3600 AS time_bin, value, json_extract_string(props, '$.k') AS word, user_id FROM events),
 grid AS (SELECT asn, time_bin, coalesce(sum(value), 0) AS value FROM (SELECT DISTINCT asn FROM ev) CROSS JOIN (SELECT 1704067200 + 3600 * range AS time_bin FROM range(720)) LEFT JOIN ev USING (asn, time_bin) GROUP BY ALL)"""
@@ -90,16 +132,20 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return delay.link_samples(fx.traces(spark, d), P)
 
 
-def stats(spark: SparkSession, d: str) -> DataFrame:
+def full_stats(spark: SparkSession, d: str) -> DataFrame:
     return delay.delay_stats(samples(spark, d), fx.rib(spark), P, trim=False)
 
 
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    return full_stats(spark, d).drop("nb_probes", "asns", "trimmed")
+
+
 def reference(spark: SparkSession, d: str) -> DataFrame:
     return stats(spark, d).groupBy("ip1", "ip2").agg(F.avg("median").alias("mean"), F.avg("lo").alias("low"), F.avg("hi").alias("high"), F.max("n_asn").alias("nb_probes"), F.min("time_bin").alias("first_seen"), F.max("time_bin").alias("last_seen"), F.count("*").alias("nb_seen"), F.count_if(F.col("median") > 20).alias("nb_reported"))
 
 
 def alarms(spark: SparkSession, d: str) -> DataFrame:
-    return delay.detect_delay_changes(stats(spark, d), None, P)[0].drop("alarm", "nb_reported")
+    return delay.detect_delay_changes(stats(spark, d).drop("n_asn", "entropy"), None, P)[0].drop("alarm", "nb_reported")
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
@@ -145,15 +191,19 @@ META = "meta AS (SELECT c_custkey AS id, c_custkey % 3 + 1 AS status, CASE WHEN
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits without a negative zero; not a number becomes null."""
-    return df.select(*[F.when(~F.isnan(c), F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to six digits without a negative zero; not a number becomes null.
+
+    They are rounded to nine digits first, and what then ends in a five is moved off it: neither the order of a sum nor
+    the nearest binary fraction must decide where a tie at the sixth digit goes.
+    """
+    return df.select(*[F.when(~F.isnan(c), F.round(F.round(c, 9) + F.signum(c) * 1e-10, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None = None, doubles: str = "") -> None:
     """Register a query; ``sql`` is its twin, ``doubles`` the columns to be rounded in it."""
     QUERIES[name] = lambda spark, d: rounded(make(spark, d))
     if sql:
-        ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+        ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(round({c}, 9) + sign({c}) * 1e-10, 6) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
 
 
 def rib_of(s: SparkSession) -> DataFrame:
@@ -165,17 +215,21 @@ add("differential_rtts", lambda s, d: samples(s, d).select("time_bin", "ip1", "i
     f"WITH {SAMPLES} SELECT time_bin, ip1, ip2, d AS rtt_diff, probe AS probe_ip, msm AS msm_id, prb AS prb_id FROM s", "rtt_diff")
 add("link_delay_stats", stats, f"WITH {STATS} SELECT * FROM st", "median lo hi entropy")
 add("asn_entropy", lambda s, d: statistics.asn_entropy(A.with_asn(samples(s, d), "probe_ip", fx.rib(s)), delay.LINK), f"WITH {STATS} SELECT time_bin, ip1, ip2, n::BIGINT AS n, n_asn, entropy FROM ent", "entropy")
-add("trimmed_link_delay_stats", lambda s, d: delay.delay_stats(samples(s, d), fx.rib(s, skewed=True), P))
+add("trimmed_link_delay_stats", lambda s, d: delay.delay_stats(samples(s, d), fx.rib(s, skewed=True), P).drop("nb_probes", "asns"), f"WITH {TRIMMED} SELECT * FROM tr", "median lo hi entropy")
+add("link_diversity", lambda s, d: full_stats(s, d).select("time_bin", "ip1", "ip2", "nb_probes", F.array_join(F.col("asns").cast("array<string>"), ",").alias("asns")),
+    f"WITH {STATS}, dv AS (SELECT time_bin, ip1, ip2, count(DISTINCT probe) AS nb_probes, array_to_string(list_sort(list(DISTINCT asn)), ',') AS asns FROM sa GROUP BY ALL) SELECT dv.* FROM dv SEMI JOIN st USING (time_bin, ip1, ip2)")
+add("link_probes", lambda s, d: delay.link_probes(m := samples(s, d), delay.delay_stats(m, fx.rib(s), P, trim=False)).groupBy("ip1", "ip2").agg(F.count("*").alias("nb_probes")),
+    f"WITH {STATS} SELECT ip1, ip2, count(DISTINCT probe) AS nb_probes FROM s SEMI JOIN st USING (time_bin, ip1, ip2) GROUP BY ALL")
 add("delay_alarms", alarms, f"WITH {FOLD} SELECT time_bin, ip1, ip2, n, median, lo, hi, ref, ref_low, ref_high, nb_seen::INT AS nb_seen, diff, diff_med, deviation, dev_bound FROM al", "median lo hi ref ref_low ref_high diff diff_med deviation dev_bound")
 add("delay_reference", lambda s, d: delay.detect_delay_changes(stats(s, d), None, P)[1].where("nb_seen >= 3").select("ip1", "ip2", "mean", "high", "low", "first_seen", "last_seen", "nb_seen"),
     f"WITH {FOLD} SELECT ip1, ip2, arg_max(r_median, k) AS mean, arg_max(r_hi, k) AS high, arg_max(r_lo, k) AS low, min(time_bin) AS first_seen, max(time_bin) AS last_seen, max(k)::INT AS nb_seen FROM k3 GROUP BY ALL HAVING max(k) >= 3", "mean high low")
 add("delay_deviation", lambda s, d: delay.delay_deviation(stats(s, d).where(F.col("time_bin") == NOW), reference(s, d)).select("time_bin", "ip1", "ip2", "alarm", "diff", "diff_med", "deviation", "dev_bound"),
     f"""WITH {REF}, x AS (SELECT time_bin, ip1, ip2, high < lo OR low > hi AS alarm, median - mean AS diff_med, CASE WHEN median < mean THEN hi - low ELSE lo - high END AS diff, CASE WHEN median < mean THEN low - mean ELSE high - mean END AS div FROM st JOIN ref USING (ip1, ip2) WHERE time_bin = {NOW})
     SELECT time_bin, ip1, ip2, alarm, diff, diff_med, CASE WHEN div <> 0 THEN diff_med / div END AS deviation, CASE WHEN div <> 0 THEN diff / div END AS dev_bound FROM x""", "diff diff_med deviation dev_bound")
-add("link_history", lambda s, d: delay.link_history(samples(s, d), P))
+add("link_history", lambda s, d: delay.link_history(samples(s, d), P), f"WITH {HISTORY} SELECT * FROM h", "median smooth smooth_lo smooth_hi")
 add("next_hop_counts", counts, f"WITH {COUNTS} SELECT * FROM e", "weight")
-add("forwarding_detection", lambda s, d: forwarding_steps(s, d).drop("obs", "prior"))
-add("responsibility", shares)
+add("forwarding_detection", lambda s, d: forwarding_steps(s, d).drop("obs", "prior"), f"WITH {FORWARD} SELECT *, sum(alarm::INT) OVER (PARTITION BY dst, ip0 ORDER BY nb_seen ROWS UNBOUNDED PRECEDING)::INT AS nb_reported FROM (SELECT *, coalesce(corr < -0.25 AND nb_seen >= 3, false) AS alarm FROM fx)", "corr")
+add("responsibility", shares, f"WITH {FORWARD} SELECT * FROM rs", "pkt_diff resp resp_abs")
 add("next_hop_correlation", lambda s, d: forwarding.next_hop_correlation(
         (c := counts(s, d)).where(F.col("time_bin") == NOW).groupBy("dst", "ip0", F.col("ip1").alias("hop")).agg(F.sum("weight").alias("packets")),
         c.where(F.col("time_bin") < NOW).groupBy("dst", "ip0", F.col("ip1").alias("hop")).agg(F.sum("weight").alias("packets")), ["dst", "ip0"]),
@@ -183,7 +237,7 @@ add("next_hop_correlation", lambda s, d: forwarding.next_hop_correlation(
     f AS (SELECT dst, ip0, ip1, sum(weight) AS y FROM e WHERE time_bin < {NOW} GROUP BY ALL),
     j AS (SELECT dst, ip0, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM o0 FULL JOIN f USING (dst, ip0, ip1))
     SELECT dst, ip0, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS corr FROM j SEMI JOIN o USING (dst, ip0) GROUP BY ALL""", "corr")
-add("msm_probe_map", lambda s, d: forwarding.msm_probe_map(samples(s, d), delay.LINK).select(*delay.LINK, F.explode("msm").alias("msm_id", "p")).select(*delay.LINK, "msm_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("probes")),
+add("msm_probe_map", lambda s, d: delay.msm_probe_map(samples(s, d), delay.LINK).select(*delay.LINK, F.explode("msm").alias("msm_id", "p")).select(*delay.LINK, "msm_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("probes")),
     f"WITH {SAMPLES} SELECT time_bin, ip1, ip2, msm AS msm_id, array_to_string(list_sort(list(DISTINCT prb)), ',') AS probes FROM s GROUP BY ALL")
 add("prefix24_private", lambda s, d: fx.traces(s, d).select(F.explode_outer("result").alias("h")).select(F.explode_outer("h.result").alias("r")).where("r.from IS NOT NULL").groupBy(A.prefix24(F.col("r.from")).alias("prefix"), A.is_private_ip(F.col("r.from")).alias("private")).agg(F.count("*").alias("n")),
     f"WITH {TRACES} SELECT regexp_replace(ip, '[.][0-9]+$', '.0/24') AS prefix, ip = '192.168.0.1' AS private, count(*) AS n FROM r WHERE ip IS NOT NULL GROUP BY ALL")
@@ -248,10 +302,42 @@ add("outlier_share", lambda s, d: references.outlier_share(samples(s, d)),
 add("anomaly_graph", lambda s, d: references.anomaly_graph(alarms(s, d), NOW), f"WITH {FOLD} SELECT ip1, ip2, deviation, diff_med FROM al WHERE diff_med > 1 AND time_bin = {NOW}", "deviation diff_med")
 add("publishable_delay_alarms", lambda s, d: publish.publishable_delay_alarms(alarms(s, d), fx.rib(s), P.window).select("ts", "ip", "asn", "dev_bound", "diff_med"),
     f"WITH {FOLD} SELECT time_bin + {P.window // 2} AS ts, ip, ({asn_sql('ip')})::BIGINT AS asn, dev_bound, diff_med FROM (SELECT *, unnest([ip1, ip2]) AS ip FROM al WHERE dev_bound >= 5 AND abs(diff_med) >= 5)", "dev_bound diff_med")
-add("publishable_forwarding_alarms", lambda s, d: publish.publishable_forwarding_alarms(shares(s, d), fx.rib(s), s.createDataFrame([(65000 + k,) for k in range(5)], "asn long"), P.window, NOW).select("ts", "ip", "asn", "resp"))
+add("publishable_forwarding_alarms", lambda s, d: publish.publishable_forwarding_alarms(shares(s, d), fx.rib(s), s.createDataFrame([(65000 + k,) for k in range(5)], "asn long"), P.window, NOW).select("ts", "ip", "asn", "resp"),
+    f"WITH {FORWARD} SELECT time_bin + {P.window // 2} AS ts, ip, ({asn_sql('ip')})::BIGINT AS asn, resp FROM rs WHERE resp > 0.1 AND time_bin = {NOW} AND {asn_sql('ip')} BETWEEN 65000 AND 65004", "resp")
+
+
+def published_delay_alarms(s: SparkSession, d: str) -> DataFrame:
+    """The published delay alarms with the measurements and probes behind them."""
+    m = samples(s, d)
+    told = delay.detect_delay_changes(delay.delay_stats(m, fx.rib(s), P, trim=False), None, P)[0]
+    clear = told.where((F.col("dev_bound") >= 5) & (F.abs("diff_med") >= 5))
+    return publish.publishable_delay_alarms(delay.with_measurements(clear, m), fx.rib(s), P.window).select("ts", "ip", "ip1", "ip2", "asn", "median", "nb_probes", "diff_med", "dev_bound", "msm_prb_ids")
+
+
+def published_forwarding_alarms(s: SparkSession, d: str) -> DataFrame:
+    """The published forwarding alarms with the measurements and probes behind each next hop."""
+    now = forwarding_steps(s, d).where((F.col("corr") < 0.9) & (F.col("nb_seen") >= 3) & (F.col("time_bin") == NOW))
+    resp = forwarding.responsibility(forwarding.with_measurements(now, fx.traces(s, d), P))
+    registry = s.createDataFrame([(65000 + k,) for k in range(5)], "asn long")
+    return publish.publishable_forwarding_alarms(resp, fx.rib(s), registry, P.window, NOW).select("ts", "dst", "ip0", "ip", "asn", "resp", "msm_prb_ids")
+
+
+_ids = """'{' || string_agg('"' || msm || '":[' || ids || ']', ',' ORDER BY msm) || '}'"""
+add("published_delay_alarms", published_delay_alarms,
+    f"""WITH {FOLD}, pm AS (SELECT time_bin, ip1, ip2, msm, array_to_string(list_sort(list(DISTINCT prb)), ',') AS ids FROM s GROUP BY ALL), pj AS (SELECT time_bin, ip1, ip2, {_ids} AS msm_prb_ids FROM pm GROUP BY ALL),
+    pn AS (SELECT time_bin, ip1, ip2, count(DISTINCT probe) AS nb_probes FROM s GROUP BY ALL)
+    SELECT time_bin + {P.window // 2} AS ts, ip, ip1, ip2, ({asn_sql('ip')})::BIGINT AS asn, median, nb_probes, diff_med, dev_bound, msm_prb_ids FROM (SELECT *, unnest([ip1, ip2]) AS ip FROM al WHERE dev_bound >= 5 AND abs(diff_med) >= 5) JOIN pj USING (time_bin, ip1, ip2) JOIN pn USING (time_bin, ip1, ip2)""", "median diff_med dev_bound")
+add("published_forwarding_alarms", published_forwarding_alarms,
+    f"""WITH {FORWARD}, pe AS (SELECT DISTINCT t.time_bin, t.dst, a.ip AS ip0, b.ip AS ip1, t.msm, t.prb FROM fp a JOIN fn b ON a.tid = b.tid AND b.q = a.q + 1 JOIN t ON t.tid = a.tid WHERE t.time_bin = {NOW}),
+    pm AS (SELECT time_bin, dst, ip0, ip1, msm, array_to_string(list_sort(list(prb)), ',') AS ids FROM pe GROUP BY ALL), pj AS (SELECT time_bin, dst, ip0, ip1 AS ip, {_ids} AS msm_prb_ids FROM pm GROUP BY ALL)
+    SELECT time_bin + {P.window // 2} AS ts, dst, ip0, ip, ({asn_sql('ip')})::BIGINT AS asn, resp, msm_prb_ids FROM rs LEFT JOIN pj USING (time_bin, dst, ip0, ip) WHERE resp > 0.1 AND time_bin = {NOW} AND {asn_sql('ip')} BETWEEN 65000 AND 65004""", "resp")
 add("delay_alarm_export", lambda s, d: publish.delay_alarm_rows(alarms(s, d), fx.rib(s)).select("time_bin", "asn0", "asn1", "ip0", "ip1", "label"),
     f"WITH {FOLD} SELECT strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') || '+00' AS time_bin, ({asn_sql('ip1')})::VARCHAR AS asn0, ({asn_sql('ip2')})::VARCHAR AS asn1, ip1 AS ip0, ip2 AS ip1, 'none' AS label FROM al WHERE diff_med > 1")
-add("forwarding_alarm_export", lambda s, d: publish.forwarding_alarm_rows(shares(s, d), fx.rib(s)))
+_end = lambda name, way: f"first(ip ORDER BY round(resp, 9) {way}, ip) AS ip_{name}, first(resp ORDER BY round(resp, 9) {way}, ip) AS resp_{name}"
+add("forwarding_alarm_export", lambda s, d: publish.forwarding_alarm_rows(shares(s, d), fx.rib(s)),
+    f"WITH {FORWARD}, x AS (SELECT time_bin, dst, ip0, {_end('most', 'DESC')}, {_end('least', 'ASC')} FROM rs GROUP BY ALL) SELECT *, ({asn_sql('ip_most')})::BIGINT AS asn_most, ({asn_sql('ip_least')})::BIGINT AS asn_least FROM x", "resp_most resp_least")
+add("delay_alarm_values", lambda s, d: publish.delay_alarm_rows(rounded(alarms(s, d)), fx.rib(s)).select("time_bin", "ip0", "ip1", *[F.col(c).cast("double").alias(c) for c in ("dev_bound", "diff_med", "ref", "median")]),
+    f"WITH {FOLD} SELECT strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') || '+00' AS time_bin, ip1 AS ip0, ip2 AS ip1, coalesce(dev_bound, 0) AS dev_bound, diff_med, ref, median FROM al WHERE diff_med > 1", "dev_bound diff_med ref median")
 add("hourly_grid", grid, f"WITH {EVENTS} SELECT asn, time_bin, value FROM grid", "value")
 add("as_magnitude", lambda s, d: magnitude.as_magnitude(grid(s, d)), f"WITH {EVENTS}, {_magnitude_sql(169)} SELECT asn, time_bin, value, magnitude FROM mag", "value magnitude")
 add("as_magnitude_notnull", lambda s, d: magnitude.as_magnitude(grid(s, d), mad="notnull"), f"WITH {EVENTS}, {_magnitude_sql(169, False)} SELECT asn, time_bin, value, magnitude FROM mag", "value magnitude")
@@ -279,7 +365,8 @@ add("signed_as_groups", lambda s, d: magnitude.signed_as_groups(events(s, d).sel
     f"WITH {EVENTS} SELECT time_bin, CASE WHEN value - 20 < 0 THEN '-' ELSE '+' END || asn AS label, sum(value - 20) AS resp FROM ev GROUP BY ALL", "resp")
 add("delay_magnitude", lambda s, d: magnitude.delay_magnitude(alarms(s, d), fx.rib(s), NOW),
     f"WITH {FOLD}, ends AS (SELECT {asn_sql('ip')} AS asn, dev_bound FROM (SELECT unnest([ip1, ip2]) AS ip, dev_bound FROM al WHERE diff_med > 1 AND time_bin > {NOW} - 604800 AND time_bin <= {NOW})) SELECT asn::BIGINT AS asn, {NOW}::BIGINT AS time_bin, coalesce(sum(dev_bound), 0) AS value, coalesce(sum(dev_bound), 0) AS magnitude FROM ends GROUP BY asn", "value magnitude")
-add("forwarding_magnitude", lambda s, d: magnitude.forwarding_magnitude(shares(s, d), fx.rib(s), NOW))
+add("forwarding_magnitude", lambda s, d: magnitude.forwarding_magnitude(shares(s, d), fx.rib(s), NOW),
+    f"WITH {FORWARD} SELECT ({asn_sql('ip')})::BIGINT AS asn, {NOW}::BIGINT AS time_bin, sum(resp) AS value, sum(resp) AS magnitude FROM rs WHERE time_bin = {NOW} GROUP BY ALL", "value magnitude")
 add("derived_alarm_columns", lambda s, d: magnitude.derived_alarm_columns(alarms(s, d), fx.rib(s)).select("time_bin", "ip", "prefix", "asn", "diff_med_abs", "diff_abs", "dev_bound_pkt"),
     f"WITH {FOLD} SELECT time_bin, ip, regexp_replace(ip, '[.][0-9]+$', '.0/24') AS prefix, ({asn_sql('ip')})::BIGINT AS asn, abs(diff_med) AS diff_med_abs, abs(diff) AS diff_abs, dev_bound * n AS dev_bound_pkt FROM (SELECT *, unnest([ip1, ip2]) AS ip FROM al)", "diff_med_abs diff_abs dev_bound_pkt")
 add("expired_reference", lambda s, d: delay.expire_reference(reference(s, d), NOW + 7 * 86400).select("ip1", "ip2", "last_seen"), f"WITH {REF} SELECT ip1, ip2, last_seen FROM ref WHERE last_seen >= {NOW}")

@@ -8,9 +8,8 @@ REPLY = "struct<`from`:string,rtt:double,ttl:int,size:int,err:string,x:string>"
 HOPS = f"array<struct<hop:int,error:string,result:array<{REPLY}>>>"
 #: One traceroute. Never inferred: rare keys would change the schema from file to file.
 TRACEROUTE = f"timestamp long, endtime long, af int, msm_id long, prb_id long, `from` string, src_addr string, dst_addr string, dst_name string, proto string, type string, msm_name string, paris_id int, size int, fw int, lts int, result {HOPS}"
-MEASUREMENT = "id long, status int, type string, af int, interval int, participant_count int, target_ip string"
 PREFIXES = "prefix string, masklen int, asn long, asname string, country string"
-DELAY_REFERENCE = "ip1 string, ip2 string, mean double, high double, low double, boot array<struct<med:double,hi:double,lo:double>>, first_seen long, last_seen long, nb_seen int, nb_reported int"
+DELAY_REFERENCE = "ip1 string, ip2 string, mean double, high double, low double, boot array<struct<med:double,hi:double,lo:double>>, first_seen long, last_seen long, nb_seen int, nb_reported int, nb_trimmed int"
 FORWARDING_REFERENCE = "dst string, ip0 string, ref map<string,double>, first_seen long, last_seen long, nb_seen int, nb_reported int"
 
 

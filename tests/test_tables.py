@@ -56,7 +56,7 @@ def test_references_and_experiments(spark, tmp_path):
     path = str(tmp_path / "ref")
     assert tables.load_reference(spark, path, DELAY_REFERENCE).count() == 0
     for t in (1, 2):
-        tables.save_reference(spark.createDataFrame([("a", "b", float(t), None, None, [], t, t, t, 0)], DELAY_REFERENCE), path, t)
+        tables.save_reference(spark.createDataFrame([("a", "b", float(t), None, None, [], t, t, t, 0, 0)], DELAY_REFERENCE), path, t)
     assert tables.load_reference(spark, path, DELAY_REFERENCE).first()["mean"] == 2.0
     assert tables.load_reference(spark, path, DELAY_REFERENCE, before=2).first()["mean"] == 1.0
     p = Params(exp_id="x", alpha=0.02, stream=True, expire_days=7)
