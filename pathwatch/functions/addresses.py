@@ -11,8 +11,17 @@ from pyspark.sql.functions import pandas_udf
 
 #: Loopback and the private IPv4 ranges.
 PRIVATE = r"^(?:127\.|10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
-#: Prefix-table rows up to which the table is broadcast (about 60 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Prefix-table rows up to which the table is broadcast (at most 200 bytes each); larger ones are joined by shuffle.
+BROADCAST_ROWS = 250_000
+_rows_of: dict[tuple[str, int], int] = {}
+
+
+def _rows(table: DataFrame) -> int:
+    """Rows of a prefix table, counted once for each table of an application."""
+    key = (table.sparkSession.sparkContext.applicationId, table.semanticHash())
+    if key not in _rows_of:
+        _rows_of[key] = table.count()
+    return _rows_of[key]
 
 
 def is_private_ip(ip: Column) -> Column:
@@ -58,7 +67,7 @@ def prefix_lookup(ips: DataFrame, table: DataFrame, ip: str, values: list[str],
     lengths = F.broadcast(table.select("masklen").distinct())  # at most 129 rows
     own = ips.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("_bits", address_bits(F.col(ip), v6))
     keys = own.crossJoin(lengths).withColumn("_key", F.concat(F.col("masklen").cast("string"), F.lit("/"), F.substring("_bits", F.lit(1), F.col("masklen") + 2))).drop("masklen")
-    if table.count() <= BROADCAST_ROWS:
+    if _rows(table) <= BROADCAST_ROWS:
         known = F.broadcast(known)
     return keys.join(known, "_key").groupBy(ip).agg(*[F.max_by(v, "masklen").alias(v) for v in values])
 

@@ -1,0 +1 @@
+"""Jobs to be given to spark-submit."""

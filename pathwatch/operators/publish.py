@@ -61,6 +61,12 @@ def as_series_rows(series: DataFrame, label: str) -> DataFrame:
     return series.select("magnitude", "value", F.lit(label).alias("label"), F.date_format(F.timestamp_seconds("time_bin"), "yyyy-MM-dd HH:mm:ss").alias("time_bin"), F.col("asn").cast("string").alias("asn"))
 
 
+def as_names(asns: DataFrame, table: DataFrame) -> DataFrame:
+    """(asn, asname): the names of networks, from the prefix table (the first in order, if it has several); ``Unk`` without one."""
+    names = table.groupBy("asn").agg(F.min("asname").alias("asname"))
+    return asns.select("asn").distinct().join(names, "asn", "left").select("asn", F.coalesce("asname", F.lit("Unk")).alias("asname"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV without a header."""
     rows.write.mode("overwrite").option("header", False).csv(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pathwatch.functions.addresses import with_asn
 from pathwatch.operators.statistics import normal_scores, pearson, shapiro_of_sums
-from pathwatch.session import ship_code
+from pathwatch.session import ship_code, written
 
 DAY = 86400
 
@@ -99,11 +99,26 @@ def normality(samples: DataFrame, min_n: int = 96, value: str = "rtt_diff") -> D
     return sums.select(*link, "n", F.pandas_udf(p, "double")("n", "mx", "ss", "spread", "first", "second", "before", "last").alias("p"))
 
 
+def running_sum(df: DataFrame, order: str, weight: Column, series: list[str]) -> DataFrame:
+    """``df`` with ``run`` and ``total``: the sum of the weights up to each row, in order, and of all, in each series.
+
+    Rows are dealt out by ranges of the order, so that no series is in one task; the ranges' sums (a row for each range
+    and series) give what lies before. The ranges are written, as they would not be the same if made again.
+    """
+    placed = written(df.withColumn("_w", weight).repartitionByRange(*series, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    keys = [*series, "_p"]
+    w = Window.partitionBy(*series)
+    sums = placed.groupBy(*keys).agg(F.sum("_w").alias("_s"))
+    sums = sums.select(*keys, F.coalesce(F.sum("_s").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_s").over(w).alias("total"))
+    here = F.sum("_w").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_h", here).join(sums, keys).withColumn("run", F.col("_h") + F.col("_b")).drop("_w", "_p", "_h", "_b")
+
+
 def ecdf(df: DataFrame, value: str, series: list[str], complementary: bool = False) -> DataFrame:
     """(*series, value, y): rank over count (from 0) in each series, or one minus that."""
-    w = Window.partitionBy(*series)
-    y = (F.row_number().over(w.orderBy(value)) - 1) / F.count("*").over(w)
-    return df.select(*series, F.col(value).alias("value"), (1 - y if complementary else y).alias("y"))
+    r = running_sum(df.select(*series, F.col(value).alias("value")), "value", F.lit(1), series)
+    y = (F.col("run") - 1) / F.col("total")
+    return r.select(*series, "value", (1 - y if complementary else y).alias("y"))
 
 
 def summary(df: DataFrame, value: Column, name: str) -> list[Column]:
@@ -118,6 +133,14 @@ def delay_reference_stats(ref: DataFrame) -> DataFrame:
                    F.count("*").alias("links"), F.count_if(F.col("nb_reported") > 0).alias("reported"), F.try_divide(F.count_if(F.col("nb_reported") > 0), F.count("*")).alias("reported_share"))
 
 
+def delay_reference_mad(ref: DataFrame) -> DataFrame:
+    """One row over all links: the median absolute deviation of interval above, below and whole, and of the probes."""
+    parts = {"up": F.col("high") - F.col("mean"), "down": F.col("mean") - F.col("low"), "size": F.col("high") - F.col("low"), "probes": F.col("nb_probes").cast("double")}
+    x = ref.select(*[v.alias(k) for k, v in parts.items()])
+    middle = x.agg(*[F.median(k).alias(f"m_{k}") for k in parts])  # one row
+    return x.crossJoin(F.broadcast(middle)).agg(*[F.median(F.abs(F.col(k) - F.col(f"m_{k}"))).alias(f"{k}_mad") for k in parts])
+
+
 def delay_reference_correlation(ref: DataFrame, min_seen: int = 24, min_probes: int = 3) -> DataFrame:
     """One row: Pearson and Spearman correlation of interval size and number of probes.
 
@@ -127,8 +150,7 @@ def delay_reference_correlation(ref: DataFrame, min_seen: int = 24, min_probes:
 
     def ranks(c: str) -> DataFrame:
         n = x.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(c, (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        return running_sum(n, c, F.col("n"), []).select(c, (F.col("run") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     return x.join(ranks("a"), "a").join(ranks("b"), "b").agg(pearson("a", "b").alias("pearson"), pearson("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pathwatch.functions import addresses as A
 from pathwatch.functions import expand
 from pathwatch.operators import delay, forwarding, magnitude, publish, references, statistics
-from pathwatch.schema import Params
-from pathwatch.session import written
+from pathwatch.schema import DELAY_REFERENCE, Params
+from pathwatch.session import work_path, written
 from pathwatch.sources import fixtures as fx
+from pathwatch.sources import tables
+from pathwatch.streaming import jobs
 
 P = Params(window=fx.WINDOW, start=fx.START)
 HOUR0, HOURS = 1704067200, 720  # the events' month
@@ -370,3 +372,83 @@ add("forwarding_magnitude", lambda s, d: magnitude.forwarding_magnitude(shares(s
 add("derived_alarm_columns", lambda s, d: magnitude.derived_alarm_columns(alarms(s, d), fx.rib(s)).select("time_bin", "ip", "prefix", "asn", "diff_med_abs", "diff_abs", "dev_bound_pkt"),
     f"WITH {FOLD} SELECT time_bin, ip, regexp_replace(ip, '[.][0-9]+$', '.0/24') AS prefix, ({asn_sql('ip')})::BIGINT AS asn, abs(diff_med) AS diff_med_abs, abs(diff) AS diff_abs, dev_bound * n AS dev_bound_pkt FROM (SELECT *, unnest([ip1, ip2]) AS ip FROM al)", "diff_med_abs diff_abs dev_bound_pkt")
 add("expired_reference", lambda s, d: delay.expire_reference(reference(s, d), NOW + 7 * 86400).select("ip1", "ip2", "last_seen"), f"WITH {REF} SELECT ip1, ip2, last_seen FROM ref WHERE last_seen >= {NOW}")
+
+
+# ---- written, read back, streamed
+
+
+def _archive(s: SparkSession, d: str) -> str:
+    """A folder with the traceroutes as JSON lines and their measurements as a list."""
+    path = work_path(s, "archive")
+    t = fx.traces(s, d).drop("trace_id")
+    t.write.option("compression", "gzip").json(f"{path}/json")
+    t.select(F.concat(F.lit('"msm_id":'), F.col("msm_id").cast("string"))).write.text(f"{path}/ids")
+    return path
+
+
+def stored_traceroutes(s: SparkSession, d: str) -> DataFrame:
+    """Archive -> measurements of the list, less a blacklisted one -> day partitions -> counts."""
+    path = _archive(s, d)
+    known = tables.select_measurements(tables.read_traceroutes(s, f"{path}/json", af=4), tables.read_msm_ids(s, f"{path}/ids"), (5003,))
+    tables.write_traceroutes(known, f"{path}/days", files_per_day=1)
+    back = s.read.parquet(f"{path}/days")
+    return back.groupBy("af", "msm_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("result"), F.lit(0))).alias("hops"))
+
+
+def streamed_traceroutes(s: SparkSession, d: str) -> DataFrame:
+    path = _archive(s, d)
+    jobs.ingest_stream(s, f"{path}/json", f"{path}/days", f"{path}/state").awaitTermination()
+    return s.read.parquet(f"{path}/days").groupBy("af", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
+def stored_reference(s: SparkSession, d: str) -> DataFrame:
+    """Two versions of the delay reference; the one before the last is loaded."""
+    path, st = work_path(s, "reference"), written(stats(s, d), "stats")
+    for at in (NOW, NOW + 10 * P.window):
+        tables.save_reference(delay.detect_delay_changes(st.where(F.col("time_bin") < at), None, P)[1], path, at)
+    ref = tables.load_reference(s, path, DELAY_REFERENCE, before=NOW + 10 * P.window)
+    return ref.where("nb_seen >= 3").select("ip1", "ip2", "mean", "high", "low", "nb_seen")
+
+
+def stored_alarms(s: SparkSession, d: str) -> DataFrame:
+    """A result table that is written twice holds everything once."""
+    path, told = work_path(s, "alarms"), written(alarms(s, d), "told")
+    for _ in range(2):
+        tables.write_results(told, path, "e")
+    return s.read.parquet(path).groupBy("exp_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
+def stored_experiments(s: SparkSession, d: str) -> DataFrame:
+    """The experiment over the table's time range, saved beside an older version of itself, loaded as the streaming one."""
+    path = work_path(s, "experiments")
+    low, high = fx.traces(s, d).agg(F.min("timestamp"), F.max("timestamp")).first()  # one row
+    for at, end in ((1, low), (2, high + 1)):
+        tables.save_experiment(s, Params(exp_id="stream", stream=True, start=low, end=end, expire_days=7), path, at)
+    p = tables.load_experiment(s, path, stream=True)
+    return s.createDataFrame([(p.exp_id, p.start, p.end, p.alpha, p.expire_days)], "exp_id string, start long, end long, alpha double, expire_days int")
+
+
+def backfilled_msm_ids(s: SparkSession, d: str) -> DataFrame:
+    """Alarms without measurement ids get them from the table of (alarm, measurement, probe)."""
+    m = written(samples(s, d).where(F.col("time_bin") == NOW), "samples_now")
+    alarm = F.concat_ws(" ", "ip1", "ip2").alias("alarm_id")
+    told = m.groupBy("ip1", "ip2").agg(F.count("*").alias("n")).select(alarm, F.when(F.col("n") % 2 == 0, "{}").alias("msm_prb_ids"))
+    return forwarding.backfill_msm_probe_ids(told, m.select(alarm, F.col("msm_id").alias("msmid"), F.col("prb_id").alias("probeid")))
+
+
+add("stored_traceroutes", stored_traceroutes, f"""WITH {TRACES}, nh AS (SELECT tid, count(DISTINCT hop) AS hops FROM r GROUP BY tid)
+    SELECT 4 AS af, msm AS msm_id, strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, count(*) AS n, sum(coalesce(hops, 0))::BIGINT AS hops FROM t LEFT JOIN nh USING (tid) WHERE msm <> 5003 GROUP BY ALL""")
+add("streamed_traceroutes", streamed_traceroutes, f"WITH {TRACES} SELECT 4 AS af, strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, count(*) AS n FROM t GROUP BY ALL")
+add("stored_reference", stored_reference, f"WITH {FOLD} SELECT ip1, ip2, arg_max(r_median, k) AS mean, arg_max(r_hi, k) AS high, arg_max(r_lo, k) AS low, max(k)::INT AS nb_seen FROM k3 WHERE time_bin < {NOW} GROUP BY ALL HAVING max(k) >= 3", "mean high low")
+add("stored_alarms", stored_alarms, f"WITH {FOLD} SELECT 'e' AS exp_id, strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d') AS date, count(*) AS n FROM al GROUP BY ALL")
+add("stored_experiments", stored_experiments, f"WITH {TRACES} SELECT 'stream' AS exp_id, min(ts) AS start, max(ts) + 1 AS \"end\", 0.01::DOUBLE AS alpha, 7 AS expire_days FROM t", "alpha")
+add("backfilled_msm_ids", backfilled_msm_ids, f"""WITH {SAMPLES}, bm AS (SELECT ip1, ip2, msm, count(*) AS c, array_to_string(list_sort(list(DISTINCT prb)), ',') AS ids FROM s WHERE time_bin = {NOW} GROUP BY ALL)
+    SELECT ip1 || ' ' || ip2 AS alarm_id, CASE WHEN sum(c) % 2 = 0 THEN '{{}}' ELSE {_ids} END AS msm_prb_ids FROM bm GROUP BY ip1, ip2""")
+add("as_series_values", lambda s, d: publish.as_series_rows(magnitude.as_magnitude(grid(s, d)), "events"),
+    f"WITH {EVENTS}, {_magnitude_sql(169)} SELECT magnitude, value, 'events' AS label, strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS time_bin, asn::VARCHAR AS asn FROM mag", "value magnitude")
+add("as_names", lambda s, d: publish.as_names(magnitude.link_ends(stats(s, d), fx.rib(s)), fx.rib(s)),
+    f"WITH {STATS} SELECT DISTINCT ({asn_sql('ip')})::BIGINT AS asn, CASE WHEN ip LIKE '30.%' THEN 'R' || split_part(ip, '.', 2) ELSE 'Unk' END AS asname FROM (SELECT ip1 AS ip FROM st UNION SELECT ip2 FROM st)")
+_dev = lambda e, n: f"median(abs({e} - m_{n})) AS {n}_mad"
+_mad_of = {"up": "(high - mean)", "down": "(mean - low)", "size": "(high - low)", "probes": "nb_probes::DOUBLE"}
+add("delay_reference_mad", lambda s, d: references.delay_reference_mad(reference(s, d)),
+    f"WITH {REF}, mm AS (SELECT {', '.join(f'median({e}) AS m_{n}' for n, e in _mad_of.items())} FROM ref) SELECT {', '.join(_dev(e, n) for n, e in _mad_of.items())} FROM ref, mm", " ".join(f"{n}_mad" for n in _mad_of))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a temporary
-    folder is made and set as the session's checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset on one machine (tests), a temporary folder is
+    made and set as the session's checkpoint folder; on a cluster that is an error, as no other machine would see it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="pathwatch-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pathwatch.schema import TRACEROUTE, Params
 
@@ -39,9 +41,20 @@ def write_traceroutes(df: DataFrame, path: str, files_per_day: int = 16) -> None
 
 
 def write_results(df: DataFrame, path: str, exp_id: str, ts: str = "time_bin") -> None:
-    """Replace an experiment's days in a result table; running a day again gives the same table."""
-    out = df.withColumn("exp_id", F.lit(exp_id)).withColumn("date", F.to_date(F.timestamp_seconds(ts)))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exp_id", "date").parquet(path)
+    """Replace an experiment's bins in a result table; running a bin again gives the same table."""
+    out = df.withColumns({"exp_id": F.lit(exp_id), "date": F.to_date(F.timestamp_seconds(ts)), "bin": F.col(ts)})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exp_id", "date", "bin").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: StructType, exp_id: str) -> DataFrame:
+    """The rows of one experiment in a result table; none where there is no table yet."""
+    kept = StructType([*schema.fields, StructField("exp_id", StringType())])
+    try:
+        return spark.read.schema(kept).parquet(path).where(F.col("exp_id") == exp_id).select(*schema.names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def save_reference(ref: DataFrame, path: str, as_of: int) -> None:
@@ -51,8 +64,6 @@ def save_reference(ref: DataFrame, path: str, as_of: int) -> None:
 
 def load_reference(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """The newest version (before a bin, if given); an empty reference where there is none."""
-    from pyspark.errors import AnalysisException
-
     try:
         versions = spark.read.parquet(path)
     except AnalysisException as e:

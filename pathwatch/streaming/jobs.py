@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathwatch.operators.delay import delay_stats, detect_delay_changes, expire_reference, link_samples
-from pathwatch.schema import DELAY_REFERENCE, TRACEROUTE, Params
-from pathwatch.sources.tables import load_reference, save_reference, with_day, write_results
+from pathwatch.functions.expand import differential_rtts
+from pathwatch.operators import forwarding
+from pathwatch.operators.delay import delay_stats, detect_delay_changes, expire_reference, link_samples, with_measurements
+from pathwatch.operators.magnitude import delay_magnitude, forwarding_magnitude
+from pathwatch.schema import DELAY_REFERENCE, FORWARDING_REFERENCE, TRACEROUTE, Params
+from pathwatch.session import written
+from pathwatch.sources.tables import load_reference, read_results, save_experiment, save_reference, with_day, write_results
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -17,29 +21,49 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
     return df.writeStream.partitionBy("af", "date").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def analyse_bin(spark: SparkSession, traces: DataFrame, rib: DataFrame, p: Params, at: int, ref_path: str, out_path: str) -> None:
-    """Analyse one window [at, at + window) against the saved reference, store its alarms and the next reference.
+def analyse_bin(spark: SparkSession, traces: DataFrame, rib: DataFrame, p: Params, at: int, ref_path: str, out_path: str, asns: DataFrame | None = None) -> None:
+    """Analyse one window [at, at + window) against the saved references, for delays and for forwarding.
 
-    Runs over consecutive windows equal one run over all of them. A window that is run again starts from the same
-    version of the reference and replaces its own results.
+    Stores the alarms with their measurements and probes, each network's magnitude of either kind (``asns``: those to
+    be monitored, default: those with alarms), and the next references. Runs over consecutive windows equal one run
+    over all of them. A window that is run again starts from the same version of the references and replaces its results.
     """
     own = Params(**{**p.as_row(), "start": at, "end": at + p.window})
-    ref = load_reference(spark, ref_path, DELAY_REFERENCE, before=at)
-    alarms, new = detect_delay_changes(delay_stats(link_samples(traces, own), rib, own), ref, p)
-    write_results(alarms, out_path, p.exp_id)
+    samples = written(link_samples(traces, own), "samples")
+    alarms, new = detect_delay_changes(delay_stats(samples, rib, own), load_reference(spark, ref_path, DELAY_REFERENCE, before=at), p)
+    told = _stored(with_measurements(alarms, samples), f"{out_path}/delay_alarms", p.exp_id)
+    write_results(delay_magnitude(told, rib, at, asns=asns), f"{out_path}/delay_magnitude", p.exp_id)
     save_reference(expire_reference(new, at, p.expire_days) if p.expire_days else new, ref_path, at)
 
+    ref_path = f"{ref_path}_forwarding"
+    steps, new = forwarding.detect_forwarding_changes(forwarding.next_hop_counts(traces, own), rib, load_reference(spark, ref_path, FORWARDING_REFERENCE, before=at), p)
+    told = _stored(forwarding.with_measurements(steps.where("alarm"), traces, own), f"{out_path}/forwarding_alarms", p.exp_id)
+    write_results(forwarding_magnitude(forwarding.responsibility(told), rib, at, asns=asns), f"{out_path}/forwarding_magnitude", p.exp_id)
+    save_reference(expire_reference(new, at, p.expire_days) if p.expire_days else new, ref_path, at)
+
+
+def _stored(alarms: DataFrame, path: str, exp_id: str) -> DataFrame:
+    """Write a window's alarms; all alarms of the experiment so far."""
+    write_results(alarms, path, exp_id)
+    return read_results(alarms.sparkSession, path, alarms.schema, exp_id)
+
 
-def replay(spark: SparkSession, traces: DataFrame, rib: DataFrame, p: Params, first: int, n: int, ref_path: str, out_path: str) -> None:
-    """The next n windows, one after the other."""
+def replay(spark: SparkSession, traces: DataFrame, rib: DataFrame, p: Params, first: int, n: int, ref_path: str, out_path: str, experiments: str | None = None, analysed_at: int = 0) -> None:
+    """The next n windows, one after the other; ``experiments`` gets a row with each window and the time of its analysis."""
     for k in range(n):
-        analyse_bin(spark, traces, rib, p, first + k * p.window, ref_path, out_path)
+        at = first + k * p.window
+        analyse_bin(spark, traces, rib, p, at, ref_path, out_path)
+        if experiments:
+            save_experiment(spark, Params(**{**p.as_row(), "start": at, "end": at + p.window}), experiments, analysed_at + k)
+
+
+def previous_window(now: int, window: int) -> int:
+    """Start of the last full window before ``now``."""
+    return now // window * window - window
 
 
 def sample_counts_stream(traces: DataFrame, p: Params, delay: str = "1 hour") -> DataFrame:
     """Streaming form of the samples of each link and window: what arrives later than the watermark is left out of detection."""
     t = traces.withColumn("ts", F.timestamp_seconds("timestamp")).withWatermark("ts", delay)
-    from pathwatch.functions.expand import differential_rtts
-
     s = differential_rtts(t.where((F.size("result") > 0) & F.col("result")[0]["error"].isNull()), "ts")
     return s.groupBy(F.window("ts", f"{p.window} seconds"), "ip1", "ip2").agg(F.count("*").alias("n"), F.sum("rtt_diff").alias("total"))
