@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -151,18 +151,20 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, b
 def training_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """(lang, bit): pieces of text of a bounded sample of labelled documents outside the held-out fold.
 
-    About PER_LANGUAGE documents of each language (chosen by a hash of the text, never more than twice as many), and
-    WINDOWS_EACH evenly placed pieces of each.
+    About PER_LANGUAGE different texts of each language (chosen by a hash of the text, never more than twice as many), and
+    WINDOWS_EACH evenly placed pieces of each. Copies of a text count once.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER) & (F.coalesce(fold(F.col(doc_id)), F.lit(1)) != HELD_OUT))
-    # one row for each language
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(PER_LANGUAGE / n)) for k, n in sizes.items()], F.lit(0.0))
-    drawn = F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_000)) < share * 1_000_000
-    size = F.char_length(F.col(text))
+    usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    # one row for each language; a sketch is enough to set the share
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(PER_LANGUAGE / n)) for k, n in sizes.items()], F.lit(0.0))
+    size = F.char_length("text")
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda k: (k * F.greatest(size - WINDOW, F.lit(0)) / WINDOWS_EACH).cast("int") + 1)
-    bits = F.transform(F.array_distinct(places), lambda p: F.substring(F.col(text), p, F.lit(WINDOW)))
-    return usable.where(drawn).select(F.col(lang).alias("lang"), F.explode(bits).alias("bit"), F.xxhash64(F.col(text)).alias("h")).orderBy("h", "bit", "lang").limit(2 * PER_LANGUAGE * WINDOWS_EACH * max(1, len(sizes)))
+    bits = F.transform(F.array_distinct(places), lambda p: F.substring(F.col("text"), p, F.lit(WINDOW)))
+    drawn = usable.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "h", bits.alias("bits")).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return drawn.withColumn("rank", rank).where(F.col("rank") <= 2 * PER_LANGUAGE).select("lang", F.explode("bits").alias("bit"), "h").orderBy("h", "bit", "lang")
 
 
 def fold(doc_id: Column) -> Column:
