@@ -14,10 +14,10 @@ from pyspark.sql.functions import pandas_udf
 from pathwatch.session import ship_code, written
 
 NEAREST = 10
-#: Bound of the sample that the partitions are learned from; every row is indexed.
-SAMPLE = 4096
-#: Rows for each partition that are aimed at, and the most partitions.
-PER_PARTITION, PARTITIONS = 500, 64
+#: The sample that the partitions are learned from, of one row in SHARE: its least and its greatest size. Every row is indexed.
+SHARE, SAMPLE_LEAST, SAMPLE_MOST = 12, 4096, 32_768
+#: Rows for each partition that are aimed at; there are as many partitions as the sample can tell apart, at most.
+PER_PARTITION = 500
 #: Recall that routing must reach on the sample.
 AIM = 0.985
 #: Rows, and queries, that meet in one task: larger partitions are split by a hash.
@@ -135,7 +135,7 @@ def learn(x: np.ndarray, n_rows: int) -> Router:
     """Partitions and router from a sample; the number of probes is the least that reaches AIM on it."""
     # copies of one vector say nothing about neighbourhoods
     x = np.unique(x, axis=0)
-    parts = int(min(PARTITIONS, max(1, n_rows // PER_PARTITION), max(1, len(x) // (4 * GRAPH_K))))
+    parts = int(min(max(1, n_rows // PER_PARTITION), max(1, len(x) // (4 * GRAPH_K))))
     if parts < 2:
         d = x.shape[1]
         return Router([np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], np.zeros(d), 1.0)
@@ -202,10 +202,11 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str = "
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("q").alias("nq")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not lengths:
         return rows.limit(0).select(F.col("vec_id").cast("long").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
-    d, n, nq = lengths[0]
+    d, n, _ = lengths[0]
     # repeated rows are one candidate before anything is counted, drawn or indexed
     rows = rows.where(F.size("v") == d).groupBy("vec_id", "v").agg(F.max("q").alias("q"))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 2_000_000 * SAMPLE / n).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    size = min(SAMPLE_MOST, max(SAMPLE_LEAST, n // SHARE))
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 2_000_000 * size / n).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size)
     router = learn(np.array([r["v"] for r in drawn.collect()], dtype=np.float64).reshape(-1, d), n)
     sent = spark.sparkContext.broadcast(router)
 
@@ -217,20 +218,21 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str = "
         return pandas_udf(run, "array<int>")
 
     index = written(rows.select("vec_id", "v", "q", routed(router.probes)("v").alias("probes")), "index")
-    # one row for each partition, of which there are PARTITIONS at most
+    # one row for each partition, of which there are SAMPLE_MOST / (4 * GRAPH_K) at most
     sizes = {r["part"]: r["n"] for r in index.groupBy(F.col("probes")[0].alias("part")).agg(F.count("*").alias("n")).collect()}
-    splits = F.create_map(*[F.lit(x) for p in range(router.parts) for x in (p, max(1, -(-sizes.get(p, 0) // BLOCK)))])
-    q_splits = max(1, -(-nq // QUERY_BLOCK))
+    each = lambda counts, block: F.create_map(*[F.lit(x) for p in range(router.parts) for x in (p, max(1, -(-counts.get(p, 0) // block)))])
+    splits = each(sizes, BLOCK)
     block = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     candidates = index.select("vec_id", "v", F.col("probes")[0].alias("part")).withColumn("split", block("vec_id", splits[F.col("part")]))
-    candidates = candidates.withColumn("q_split", F.explode(F.sequence(F.lit(0), F.lit(q_splits - 1))))
 
     def look(queries: DataFrame, parts: Column) -> DataFrame:
-        """The best of each block for each query."""
-        asked = queries.select(F.col("vec_id").alias("query_id"), "v", block("vec_id", F.lit(q_splits)).alias("q_split"), F.explode(parts).alias("part"))
-        asked = asked.withColumn("split", F.explode(F.sequence(F.lit(0), splits[F.col("part")] - 1)))
+        """The best of each block for each query. Only partitions that more than a block of queries asks for are sent more than once."""
+        asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.explode(parts).alias("part"))
+        q_splits = each({r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}, QUERY_BLOCK)
+        asked = asked.withColumn("q_split", block("query_id", q_splits[F.col("part")])).withColumn("split", F.explode(F.sequence(F.lit(0), splits[F.col("part")] - 1)))
+        sent_to = candidates.withColumn("q_split", F.explode(F.sequence(F.lit(0), q_splits[F.col("part")] - 1)))
         keys = ["part", "split", "q_split"]
-        return asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+        return asked.groupBy(*keys).cogroup(sent_to.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")
 
     queries = index.where("q")
     found = written(look(queries, F.col("probes")), "found")
