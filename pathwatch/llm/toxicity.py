@@ -108,9 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     if 0 not in sizes or len(sizes) < 2:
         return None
     share = F.coalesce(*[F.when(F.col("y") == k, F.lit(PER_CLASS / n)) for k, n in sizes.items()])
-    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).limit(4 * PER_CLASS)
+    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("_id"), "_id", "y").limit(4 * PER_CLASS)
     as_words = pandas_udf(lambda t: t.map(lambda x: words(x), na_action=None), "array<string>")
-    sample = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").select("_id", "y", as_words("_text").alias("w")), "sample")
+    # repeated ids are one row of the sample
+    once = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").groupBy("_id", "y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    sample = written(once.select("_id", "y", as_words("_text").alias("w")), "sample")
     n = {r["t"]: r["n"] for r in sample.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
