@@ -123,15 +123,19 @@ def _leaks(docs: DataFrame, items: DataFrame, text: str, least: float = SIMILARI
     if not found:
         return None
     pairs = written(reduce(DataFrame.union, found), "text_items")
-    texts = body.select(key.alias("key"), F.col(text).alias("body")).join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
+    texts = written(body.select(key.alias("key"), F.col(text).alias("body")).join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body")), "texts")
+    found = []
+    for k in sorted(sizes):
+        at = texts.select("key", words(F.col("body")).alias("w")).select("key", shingles(F.col("w"), k).alias("sh")).select("key", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))
+        # each text meets the shingles of its own items only, dealt out by text and shingle
+        own = pairs.where(F.col("width") == k).join(known.select("item", F.size("sh").alias("m"), F.explode(F.array_distinct("sh")).alias("h")), "item")
+        spots = at.join(own.drop("width"), ["key", "h"]).groupBy("key", "item", "m", "n").agg(F.sort_array(F.collect_set("pos")).alias("p")).withColumn("size", F.least("m", "n"))
+        found.append(spots.select("key", F.lit(k).alias("width"), "item", "m", F.explode(_starts(least)).alias("start")))
+    windows = written(reduce(DataFrame.union, found), "windows")
     cut = []
     for k in sorted(sizes):
-        sh = texts.select("key", words(F.col("body")).alias("w")).select("key", shingles(F.col("w"), k).alias("sh")).where(F.size("sh") > 0)
-        x = pairs.where(F.col("width") == k).join(sh, "key").join(known.select("item", F.col("sh").alias("item_sh")), "item")
-        x = x.withColumns({"n": F.size("sh"), "m": F.size("item_sh"), "size": F.least(F.size("sh"), F.size("item_sh"))})
-        x = x.withColumn("p", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains("item_sh", F.get("sh", i))))
-        x = x.select("key", "item", "m", "sh", F.explode(_starts(least)).alias("start"))
-        cut.append(x.select("key", "item", "start", F.slice("sh", F.col("start") + 1, F.col("m")).alias("sh")))
+        sh = texts.select("key", words(F.col("body")).alias("w")).select("key", shingles(F.col("w"), k).alias("sh"))
+        cut.append(windows.where(F.col("width") == k).join(sh, "key").select("key", "item", "start", F.slice("sh", F.col("start") + 1, F.col("m")).alias("sh")))
     prints = written(reduce(DataFrame.union, cut).withColumn("fp", simhash(F.col("sh"))), "window_prints")
     left = prints.select("key", "item", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
     right = known.select("item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
