@@ -22,8 +22,8 @@ WORD_END = "</w>"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 #: Stands for WORD_END inside; not a byte's letter.
 END = ""
-#: Encoded pieces of text that a task keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 3 << 17, 48
+#: What a task keeps: encoded pieces of text, pieces with their digests, pairs of the pair table; and the longest piece that it keeps.
+KEPT, KEPT_DIGESTS, KEPT_PAIRS, KEPT_CHARS = 1 << 17, 3 << 17, 1 << 18, 48
 
 #: What a later Unicode version than the library's (16.0) has made a letter or a number, or may make one. It is neither here.
 LATER = (
@@ -121,6 +121,8 @@ class Vocabulary:
         if ok is None:
             both = [b] if a < 0 else [a, b]
             want = ["".join(self.symbols[t]) for t in both]
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits.clear()
             ok = self.fits[key] = self.merged([s for t in both for s in self.symbols[t]]) == want
         return ok
 
@@ -218,7 +220,7 @@ class Digest:
         ids = self.v.encode_piece(x)
         got = (len(ids), " ".join(map(str, ids)), self.v.decode(ids))
         if len(x) <= KEPT_CHARS:
-            if len(self.known) >= KEPT:
+            if len(self.known) >= KEPT_DIGESTS:
                 self.known.clear()
             self.known[x] = got
         return got
