@@ -11,6 +11,7 @@ from pathwatch.llm.simhash import op3_simhash_near_dedup
 from pathwatch.llm.suffixes import op7_suffix_dedup
 from pathwatch.llm.token_counts import op8_token_counts
 from pathwatch.llm.toxicity import op6_toxicity
+from pathwatch.llm.urls import OP13_SQL, op13_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -23,8 +24,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_decontamination": op10_decontamination,
+    "op13_url_filter": op13_url_filter,
     # the columns of op1 and op4 that SQL can express
     "pii_base_columns": pii.base_columns,
     "secret_base_columns": secrets.base_columns,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL, "pii_base_columns": pii.BASE_SQL, "secret_base_columns": secrets.BASE_SQL}
+ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL, "op13_url_filter": OP13_SQL, "pii_base_columns": pii.BASE_SQL, "secret_base_columns": secrets.BASE_SQL}
