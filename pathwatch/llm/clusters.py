@@ -67,7 +67,8 @@ def moved(kept: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 for k in np.unique(best):
                     s[k] += q[best == k].sum(axis=0)
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "s": list(s[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "s": list(s[some])})
 
     parts = kept.select("q").mapInPandas(sums, "cluster int, n long, s array<long>")
     whole = parts.select("cluster", "n", F.posexplode("s").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
