@@ -6,17 +6,19 @@ Built-in functions only; the trees become column expressions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathwatch.llm import boosting
-from pathwatch.llm.spans import find_spans, listed, span_sql
+from pathwatch.llm.spans import find_spans, let, listed, span_sql
 from pathwatch.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
 #: A held-out group of candidates counts from this size on.
 LEAST = 20
+#: Characters before a candidate in which cue words are looked for.
+NEAR = 24
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -72,7 +74,7 @@ def _candidates(text: Column, kind: str) -> Column:
     def described(s: Column, base: Column) -> Column:
         m = s["match"]
         around = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[\p{L}]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
-        left = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
+        left = s["left"]
         first = F.regexp_extract(m, "[0-9]", 0)
         return F.struct(
             F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), base.alias("base"),
@@ -81,25 +83,26 @@ def _candidates(text: Column, kind: str) -> Column:
             F.least(F.char_length(F.regexp_replace(m, r"[^\x20.-]", "")), F.lit(5)).alias("marks"),
             m.contains("(").cast("int").alias("bracket"),
             F.when(first == "", -1).otherwise(first.cast("int")).alias("first"),
-            around(F.regexp_extract(left, r"(?s).$", 0)).alias("before"), around(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"))
+            around(F.regexp_extract(left, r"(?s).$", 0)).alias("before"), around(s["after"]).alias("after"))
 
-    strict = F.transform(find_spans(text, BASE[kind]), lambda s: described(s, _valid(kind, s["match"])))
-    loose = F.transform(find_spans(text, LOOSE[kind]), lambda s: described(s, F.lit(False)))
+    strict = F.transform(find_spans(text, BASE[kind], NEAR), lambda s: described(s, _valid(kind, s["match"])))
+    loose = F.transform(find_spans(text, LOOSE[kind], NEAR), lambda s: described(s, F.lit(False)))
     none = F.array().cast(CANDIDATE)
     # base matches of one or two digits and the like are no candidates unless they are valid
     worth = F.filter(strict.cast(CANDIDATE), lambda c: c["base"] | (c["digits"] >= 9))
     # what both generators propose is one candidate: sorted by place, it has an equal one just before it
     both = F.array_sort(F.concat(worth, loose.cast(CANDIDATE)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).otherwise(b["base"].cast("int") - a["base"].cast("int")))
-    same = lambda c, i: F.coalesce((F.get(both, i - 1)["start"] == c["start"]) & (F.get(both, i - 1)["end"] == c["end"]) & (i > 0), F.lit(False))
-    return F.when(text.rlike(SIGN[kind]), F.filter(both, lambda c, i: ~same(c, i))).otherwise(none)
+    # bound once: the lambda below looks at it for every candidate
+    same = lambda all_, c, i: F.coalesce((F.get(all_, i - 1)["start"] == c["start"]) & (F.get(all_, i - 1)["end"] == c["end"]) & (i > 0), F.lit(False))
+    return F.when(text.rlike(SIGN[kind]), let(both, lambda all_: F.filter(all_, lambda c, i: ~same(all_, c, i)))).otherwise(none)
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, candidates): all proposed spans of every row with their features; null texts count as empty."""
+    """(row, doc_id, held_out, candidates): all proposed spans of every row with their features; null texts count as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = F.concat(*[_candidates(body, k) for k in KINDS])
     # a bucket of the content, so that copies of a text fall on one side
-    return docs.select(F.col(doc_id).alias("doc_id"), (F.crc32(body.cast("binary")) % 5 == 0).alias("held_out"), F.array_sort(spans).alias("candidates"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), (F.crc32(body.cast("binary")) % 5 == 0).alias("held_out"), F.array_sort(spans).alias("candidates"))
 
 
 class Model:
@@ -108,33 +111,43 @@ class Model:
     def __init__(self, trees: list, thresholds: dict[int, float]):
         self.trees, self.thresholds = trees, thresholds
 
-    def selects(self, c: Column) -> Column:
-        p = boosting.probability_of(self.trees, [c["rank"], *[c[f] for f in FEATURES[1:]]])
-        least = F.coalesce(*[F.when(c["rank"] == k, F.lit(t)) for k, t in self.thresholds.items()], F.lit(2.0))
+    def selects(self) -> Column:
+        """Whether a row of candidates is personal data."""
+        p = boosting.probability_of(self.trees, [F.col("rank"), *map(F.col, FEATURES[1:])])
+        least = F.coalesce(*[F.when(F.col("rank") == k, F.lit(t)) for k, t in self.thresholds.items()], F.lit(2.0))
         return p >= least
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def described(found: DataFrame) -> DataFrame:
+    """(row, held_out, own, any, candidate's fields): a row for each candidate; whether it overlaps a base span of its kind, or of any.
 
+    A candidate overlaps one that begins before it if the furthest end so far lies beyond its start, and one that
+    begins after it if the next start lies before its end: two sorted windows for each row, no pairs.
+    """
+    flat = found.select("row", "held_out", F.explode("candidates").alias("c")).select("row", "held_out", "c.*")
+    end, start = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))
+    order = ["start", "end", "rank"]
+
+    def met(*by: str) -> Column:
+        w = Window.partitionBy("row", *by)
+        before = F.max(end).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)) > F.col("start")
+        after = F.min(start).over(w.orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)) < F.col("end")
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
+    return flat.withColumns({"own": met("rank"), "any": met()})
 
-def labelled(found: DataFrame) -> DataFrame:
+
+def labelled(described: DataFrame) -> DataFrame:
     """(held_out, label, candidate's fields): 1 for personal data, 0 for something else, as far as can be told without the features.
 
     Valid base spans are personal data, and so are candidates with a cue word before them. Others are not, above all
     those on a valid base span of another kind. Candidates on a valid base span of their own kind say nothing.
     """
-    base = F.filter("candidates", lambda c: c["base"])
-
-    def of(c: Column, base: Column) -> Column:
-        own = F.exists(base, lambda b: _overlap(b, c) & (b["rank"] == c["rank"]))
-        return F.when(c["base"], 1).when(own, F.lit(None)).when(F.exists(base, lambda b: _overlap(b, c)), 0).otherwise(c["cue"])
-
-    with_base = found.select("held_out", "candidates", base.alias("base"))
-    return with_base.select("held_out", F.explode(F.transform("candidates", lambda c: F.struct(of(c, F.col("base")).alias("label"), c.alias("c")))).alias("x")).select("held_out", "x.label", "x.c.*").where("label IS NOT NULL")
+    label = F.when(F.col("base"), 1).when(F.col("own"), F.lit(None)).when(F.col("any"), 0).otherwise(F.col("cue"))
+    return described.withColumn("label", label).where("label IS NOT NULL")
 
 
-def fit(found: DataFrame) -> Model:
+def fit(described: DataFrame) -> Model:
     """Learn which formats and surroundings personal data has, from the labels that ``labelled`` gives.
 
     What labels rest on (the check digit, the leading plus, cue words) is no feature, so a candidate that only lacks
@@ -143,7 +156,7 @@ def fit(found: DataFrame) -> Model:
     threshold is the lowest probability above which the held-out candidates have label 1 with the given precision;
     kinds without one add nothing.
     """
-    counts = labelled(found).groupBy("held_out", "rank", *FEATURES[1:]).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
+    counts = labelled(described).groupBy("held_out", "rank", *FEATURES[1:]).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
     rows = np.array([[r["held_out"], r["yes"], r["n"] - r["yes"], r["rank"], *[r[f] for f in FEATURES[1:]]] for r in counts], dtype=np.int64).reshape(-1, 3 + len(FEATURES))
     # rows come in any order; sums of floats should not depend on it
     rows = rows[np.lexsort(rows.T[::-1])] if len(rows) else rows
@@ -164,20 +177,21 @@ def fit(found: DataFrame) -> Model:
 def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, spans): array<struct<rank,start,end,kind,base>> for every row, by kind, then start.
 
-    Base spans always stay. The model adds selected candidates that overlap no base span; among overlapping added ones
-    of a kind the first stays. Null texts have no spans, null ids and repeated rows are kept, other columns are not
-    read, an empty table gives none. The candidates are written once and read for fitting and selecting.
+    Base spans always stay. The model adds selected candidates that overlap no base span; of added ones that overlap
+    in a chain, the first stays. Null texts have no spans, null ids and repeated rows are kept, other columns are not
+    read, an empty table gives none. The candidates are written once and read for fitting and selecting. Time is in
+    proportion to a text's matches (but for sorting them).
     """
     found = written(candidates(docs, text, doc_id), "candidates")
-    model = fit(found)
-    base = F.filter("candidates", lambda c: c["base"])
+    each = written(described(found), "described")
+    model = fit(each)
     slim = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean>>"
-    cut = lambda a: F.transform(a, lambda c: F.struct(*[c[x].alias(x) for x in ("rank", "start", "end", "kind", "base")])).cast(slim)
-    picked = F.filter("candidates", lambda c: ~c["base"] & model.selects(c))
-    both = found.select("doc_id", cut(base).alias("base"), F.when(F.size("candidates") > 0, cut(picked)).otherwise(F.array().cast(slim)).alias("picked"))
-    free = F.filter("picked", lambda c: ~F.exists("base", lambda s: _overlap(c, s)))
-    first = F.aggregate(free, F.array().cast(slim), lambda acc, c: F.when(F.exists(acc, lambda s: _overlap(c, s)), acc).otherwise(F.concat(acc, F.array(c)).cast(slim)))
-    return both.select("doc_id", F.array_sort(F.concat("base", first)).alias("spans"))
+    base = F.transform(F.filter("candidates", lambda c: c["base"]), lambda c: F.struct(*[c[x].alias(x) for x in ("rank", "start", "end", "kind", "base")])).cast(slim)
+    reach = F.max("end").over(Window.partitionBy("row").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1))
+    picked = each.where(~F.col("base") & ~F.col("any") & model.selects()).withColumn("reach", reach).where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))
+    added = picked.groupBy("row").agg(F.collect_list(F.struct("rank", "start", "end", "kind", "base")).alias("added"))
+    both = found.select("row", "doc_id", base.alias("base")).join(added, "row", "left")
+    return both.select("doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(slim)))).alias("spans"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

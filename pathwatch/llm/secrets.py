@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathwatch.llm.spans import find_spans, listed, span_sql
+from pathwatch.llm.spans import find_spans, let, listed, running, span_sql
 from pathwatch.session import written
 
 #: Kinds in order: version, pattern, a pattern whose group 1 must have 8 characters in the match, and the cheap sign without which a text has none.
@@ -21,7 +21,7 @@ RULES: dict[str, tuple[int, str, str, str]] = {
     "chat": (1, r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{20,}+", "", "xox[abprs]-"),
 }
 BASE = ("assign", "access", "hex")
-FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
+FINDING = "array<struct<start:int,rank:int,kind:string,end:int,first:int,last:int>>"
 
 
 def rule_versions(rules: dict = RULES) -> list[str]:
@@ -46,7 +46,7 @@ def findings(text: Column, pending: Column, rules: dict = RULES) -> Column:
 
 
 def _named(hits: Column, rank: int, kind: str) -> Column:
-    return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))).cast(FINDING)
+    return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["first"].alias("first"), s["last"].alias("last"))).cast(FINDING)
 
 
 def _long_enough(hits: Column, value: str) -> Column:
@@ -103,12 +103,16 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     packed = docs.select(F.struct(*docs.columns).alias("row"), blob_id(F.col(text)).alias("blob"))
     joined = packed.join(new.where(F.size("findings") > 0).select("blob", "findings"), "blob", "left")
     body = F.col("row")[text]
-    cut = F.aggregate(
-        F.col("findings"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, f: F.when(f["end"] <= acc["at"], acc).when(
-            f["start"] < acc["at"], F.struct(f["end"].alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(f["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, f["start"] - acc["at"]), F.lit("[secret]")).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.lit(2**31 - 1))))
+    # pieces are cut by their places in bytes, which takes no search; ``upto`` is how far the findings so far reach
+    piece = lambda raw, at, end: F.decode(F.substring(raw, at + 1, end - at), "UTF-8")
+
+    def cut(s: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(s["upto"], i - 1)).otherwise(0)
+        parts = F.transform(s["found"], lambda f, i: F.when(f["first"] < before(i), "").otherwise(F.concat(piece(s["raw"], before(i), f["first"]), F.lit("[secret]"))))
+        return F.concat(F.array_join(parts, ""), piece(s["raw"], F.element_at(s["upto"], -1), F.octet_length(s["raw"])))
+
+    upto = running(F.transform("findings", lambda f: f["last"]), F.greatest)
+    cut = let(F.struct(F.col("findings").alias("found"), upto.alias("upto"), F.encode(body, "UTF-8").alias("raw")), cut)
     clean = F.when(F.col("findings").isNull(), body).otherwise(cut)
     return joined.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -2,31 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,match:string>>"
+PLACES = "start:int,end:int,first:int,last:int"
+SPAN = f"array<struct<{PLACES},match:string>>"
+NEAR = f"array<struct<{PLACES},match:string,left:string,after:string>>"
+#: Numbers that are added up one by one; longer arrays are cut into blocks, so that nothing is copied again and again.
+BLOCK = 32
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often and in whatever lambda ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, plus: Callable[[Column, Column], Column], block: int = BLOCK) -> Column:
+    """What ``plus`` (associative, 0 is neutral) makes of each int of an array and all before it.
+
+    Within a block one by one, then over the blocks' totals: the array is copied once, not once for each element.
+    """
+    one = lambda x: F.array(x).cast("array<int>")
+
+    def each(part: Column, start: Column, whole: bool) -> Column:
+        """The running values of a short array; without the last, and with the start, if not ``whole``."""
+        step = lambda acc, x: let(plus(acc["at"], x), lambda now: F.struct(now.alias("at"), F.concat(acc["out"], one(now if whole else acc["at"])).alias("out")))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def of(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), ((F.size(v) - 1) / block).cast("int"))
+        cut = lambda b: F.slice(v, b * block + 1, F.lit(block))
+        totals = F.transform(blocks, lambda b: F.aggregate(cut(b), F.lit(0), lambda a, x: plus(a, x)))
+        return let(each(totals, F.lit(0), False), lambda starts: F.flatten(F.transform(blocks, lambda b: each(cut(b), F.get(starts, b), True))))
 
+    return let(values.cast("array<int>"), lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,match>>: leftmost matches that don't overlap, in code points, end exclusive.
 
-    The text is split at the matches; a match starts where the gaps and matches before it end. The pattern never
-    matches the empty string. Possessive quantifiers keep the work linear and the regex engine's stack flat.
+def find_spans(text: Column, pattern: str, near: int = 0) -> Column:
+    """array<struct<start,end,first,last,match>>: leftmost matches that don't overlap; end and last are exclusive.
+
+    start and end count code points, first and last bytes of UTF-8. The text is split at the matches; a match starts
+    where the gaps and matches before it end. With ``near``, spans also have ``left`` (up to so many characters before
+    them, as far as the match before) and ``after`` (the character that follows, or nothing). The pattern never matches
+    the empty string. Possessive quantifiers keep the work linear and the regex engine's stack flat.
     """
-    found = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
-        lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("gap"), F.char_length(m).alias("n")))
-    none = F.array().cast(SPAN)
-
-    def place(acc: Column, x: Column) -> Column:
-        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-        here = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))).cast(SPAN)
-        return F.struct(end.alias("at"), F.concat(acc["out"], here).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), none.alias("out")).cast(f"struct<at:int,out:{SPAN}>")
-    placed = F.aggregate(F.filter(found, lambda x: x["m"].isNotNull()), start, place, lambda acc: acc["out"])
-    return F.coalesce(placed, none)
+    kind = NEAR if near else SPAN
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    add = lambda a, x: a + x
+
+    def of(s: Column) -> Column:
+        m, g = s["m"], s["g"]
+        ends = running(F.transform(m, lambda x, i: F.char_length(F.get(g, i)) + F.char_length(x)), add)
+        lasts = running(F.transform(m, lambda x, i: F.octet_length(F.get(g, i)) + F.octet_length(x)), add)
+
+        def span(x: Column, i: Column, at: Column) -> Column:
+            end, last = F.get(at["e"], i), F.get(at["l"], i)
+            parts = [(end - F.char_length(x)).alias("start"), end.alias("end"), (last - F.octet_length(x)).alias("first"), last.alias("last"), x.alias("match")]
+            if near:
+                before = F.concat(F.when(i > 0, F.get(m, i - 1)).otherwise(""), F.get(g, i))
+                after = F.concat(F.substring(F.get(g, i + 1), 1, 1), F.coalesce(F.substring(F.get(m, i + 1), 1, 1), F.lit("")))
+                parts += [F.right(before, F.lit(near)).alias("left"), F.substring(after, 1, 1).alias("after")]
+            return F.struct(*parts)
+
+        return let(F.struct(ends.alias("e"), lasts.alias("l")), lambda at: F.transform(m, lambda x, i: span(x, i, at))).cast(kind)
+
+    return F.coalesce(let(both, lambda s: F.when(F.size(s["m"]) > 0, of(s))), F.array().cast(kind))
 
 
 def listed(spans: Column) -> Column:
