@@ -150,8 +150,9 @@ def without_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", doc
     best = _leaks(docs, items, text)
     if best is None:
         return docs
-    gone = best.select(F.col("key").alias("_gone")).distinct()
-    return docs.join(gone, F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))) == F.col("_gone"), "left_anti")
+    # all of a row's columns in one, so that no name can clash
+    packed = docs.select(F.struct(*docs.columns).alias("all"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("key"))
+    return packed.join(best.select("key").distinct(), "key", "left_anti").select("all.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

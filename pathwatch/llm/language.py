@@ -90,6 +90,12 @@ class Network:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Language and mean probability over all windows of each text, a window counting by the text in it."""
+        sums = self.means(texts)
+        best = sums.argmax(axis=1)
+        return [self.languages[i] for i in best], sums[np.arange(len(best)), best]
+
+    def means(self, texts: list[bytes]) -> np.ndarray:
+        """The mean probabilities of each text, (texts, languages)."""
         parts = [windows(t) for t in texts]
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         sums = np.zeros((len(parts), len(self.languages)))
@@ -105,9 +111,7 @@ class Network:
                 q = self.probabilities(np.concatenate(held)) * weight[at : at + kept, None]
                 np.add.at(sums, of[at : at + kept], q)
                 at, kept, held = at + kept, 0, []
-        sums /= np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
-        best = sums.argmax(axis=1)
-        return [self.languages[i] for i in best], sums[np.arange(len(best)), best]
+        return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
 
 
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
@@ -148,13 +152,13 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, b
     return net
 
 
-def training_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """(lang, bit): pieces of text of a bounded sample of labelled documents outside the held-out fold.
+def training_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", held_out: bool = False) -> DataFrame:
+    """(lang, bit): pieces of text of a bounded sample of labelled documents outside (or inside) the held-out fold.
 
     About PER_LANGUAGE different texts of each language (chosen by a hash of the text, never more than twice as many), and
     WINDOWS_EACH evenly placed pieces of each. Copies of a text count once.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER) & (F.coalesce(fold(F.col(doc_id)), F.lit(1)) != HELD_OUT))
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER) & ((F.coalesce(fold(F.col(doc_id)), F.lit(1)) == HELD_OUT) == held_out))
     usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     # one row for each language; a sketch is enough to set the share
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
@@ -182,6 +186,64 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
     return train(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
 
 
+def _pieces(rows: list) -> np.ndarray:
+    return np.stack([windows(r["bit"].encode("utf-8", "surrogatepass")[:WINDOW])[0] for r in rows])
+
+
+def scrambled(x: np.ndarray, seed: int = 5) -> np.ndarray:
+    """The windows with their bytes in a random order, and every second one with random bytes; what lies beyond the text stays empty."""
+    g, out = np.random.default_rng(seed), x.copy()
+    for k, row in enumerate(out):
+        n = int(np.flatnonzero(row).max(initial=-1)) + 1
+        row[:n] = g.permutation(row[:n]) if k % 2 == 0 else g.integers(1, 256, n)
+    return out
+
+
+@dataclass
+class Recognizer:
+    """A network that also knows scrambled text, as UNKNOWN, and the mean probability of that above which a text is rejected."""
+
+    net: Network
+    most: float
+
+
+def fit_recognizer(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", lost: float = 0.001) -> Recognizer | None:
+    """Trained on the sample of training_rows and its scrambled windows.
+
+    The threshold is calibrated on pieces of held-out documents: the least one, from one half up, above which at most a
+    share ``lost`` of them lies. Both samples are bounded and all that comes to the driver; None if there is nothing to learn from.
+    """
+    rows = training_rows(docs, text, doc_id, lang).select("lang", "bit").collect()
+    if not rows:
+        return None
+    languages = [*sorted({r["lang"] for r in rows}), UNKNOWN]
+    x = _pieces(rows)
+    y = np.array([languages.index(r["lang"]) for r in rows])
+    net = train(np.concatenate([x, scrambled(x)]), np.concatenate([y, np.full(len(x), len(languages) - 1)]), languages)
+    test = training_rows(docs, text, doc_id, lang, held_out=True).select("bit").collect()
+    real = net.probabilities(_pieces(test))[:, -1] if test else np.empty(0)
+    return Recognizer(net, max(0.5, float(np.quantile(real, 1 - lost)) if len(real) else 0.5))
+
+
+def recognize(spark: SparkSession, text: Column, known: Recognizer | None) -> Column:
+    """The language of a text, or null if it is rejected: no text, no letter, or like scrambled text."""
+    ship_code(spark)
+    shared = spark.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        r = shared.value
+        for b in batches:
+            out = pd.Series([None] * len(b), dtype=object)
+            some = np.flatnonzero(b.notna().to_numpy())
+            if r is not None and len(some):
+                p = r.net.means([b.iloc[i].encode("utf-8", "surrogatepass") for i in some])
+                best = p[:, :-1].argmax(axis=1)
+                out.loc[some] = [r.net.languages[k] if noise <= r.most else None for k, noise in zip(best, p[:, -1])]
+            yield out
+
+    return pandas_udf(run, "string")(F.when(text.rlike(LETTER), text))
+
+
 def guess(spark: SparkSession, text: Column, net: Network | None) -> Column:
     """Column struct<lang,score> of the predicted language; see predict."""
     ship_code(spark)
@@ -212,10 +274,11 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", doc_id: st
         "doc_id", "held_out", F.col("g.lang").alias("lang_pred"), F.col("g.score").alias("score"))
 
 
-def with_known_language(docs: DataFrame, net: Network | None, least: float, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is recognized with a score of at least ``least``; null languages are filled in."""
-    found = docs.withColumn("_guess", guess(docs.sparkSession, F.col(text), net)).where((F.col("_guess.lang") != UNKNOWN) & (F.col("_guess.score") >= least))
-    return found.select(*[F.coalesce(F.col(c), F.col("_guess.lang")).alias(c) if c == lang else F.col(c) for c in docs.columns])
+def with_known_language(docs: DataFrame, known: Recognizer | None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text is in a recognized language (see ``recognize``); null languages are filled in, all columns stay."""
+    # all of a row's columns in one, so that no name can clash
+    packed = docs.select(F.struct(*docs.columns).alias("all"), recognize(docs.sparkSession, F.col(text), known).alias("found")).where("found IS NOT NULL")
+    return packed.select(*[F.coalesce(F.col("all")[c], F.col("found")).alias(c) if c == lang else F.col("all")[c].alias(c) for c in docs.columns])
 
 
 def crc_fold(doc_id: int) -> int:

@@ -151,7 +151,7 @@ def cut_tiles(counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np
     boxes = np.concatenate([np.minimum.reduceat(c[:, :4], first), np.maximum.reduceat(c[:, :4], first), pop[first, None]], axis=1) if len(c) else np.empty((0, 9), np.int64)
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    return np.stack([bins, chunks], axis=1)[back], boxes, np.array([chunks[bins == k].max() for k in range(len(first))], np.int64)
+    return np.stack([bins, chunks], axis=1)[back], boxes, np.maximum.reduceat(chunks, first) if len(c) else np.empty(0, np.int64)
 
 
 def near_bins(boxes: np.ndarray, radius: int) -> np.ndarray:
@@ -238,13 +238,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius
     stay = member.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("_stay_id"), F.col("first.row").alias("_stay_row"), F.col("first.n").alias("_stay_n"))
     stay = written(stay, "stay")
-    marked = docs.withColumn("_row", row)
+    # all of a row's columns in one, so that no name can clash
+    marked = docs.select(F.struct(*docs.columns).alias("all"), row.alias("row"))
 
     def kept(of: DataFrame) -> DataFrame:
-        return marked.join(of, marked[doc_id].eqNullSafe(F.col("_stay_id")) & (F.col("_row") == F.col("_stay_row")), "left_semi")
+        return marked.join(of, F.col("all")[doc_id].eqNullSafe(F.col("_stay_id")) & (F.col("row") == F.col("_stay_row")), "left_semi")
 
     single, equal = kept(stay.where("_stay_n = 1")), kept(stay.where("_stay_n > 1"))
-    return single.unionByName(equal.dropDuplicates([doc_id, "_row"])).drop("_row")
+    equal = equal.withColumn("id", F.col("all")[doc_id]).dropDuplicates(["id", "row"]).drop("id")
+    return single.unionByName(equal).select("all.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
