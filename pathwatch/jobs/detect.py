@@ -1,6 +1,6 @@
-"""Detection over stored traceroutes: a range at once, the last full window, or the next windows of a replay.
+"""Detection over stored traceroutes (a range at once, the last full window, the next windows of a replay), or over arriving ones.
 
-    spark-submit detect.py --traces DIR --prefixes FILE --out DIR --references DIR --experiments DIR [--exp-id ID] [--replay N | --previous NOW]
+    spark-submit detect.py --traces DIR --prefixes FILE --out DIR --references DIR --experiments DIR [--exp-id ID] [--replay N | --previous NOW | --stream CHECKPOINT]
 """
 
 from __future__ import annotations
@@ -10,23 +10,9 @@ import time
 
 from pyspark.sql import SparkSession
 
-from pathwatch.operators import forwarding
-from pathwatch.operators.delay import delay_stats, detect_delay_changes, link_samples, with_measurements
 from pathwatch.schema import PREFIXES, Params
-from pathwatch.session import written
-from pathwatch.sources.tables import load_experiment, save_experiment, save_reference, write_results
-from pathwatch.streaming.jobs import previous_window, replay
-
-
-def detect_range(spark: SparkSession, traces, rib, p: Params, references: str, out: str) -> None:
-    """All windows of the experiment in one run: everything up to the folds is done for all of them together."""
-    samples = written(link_samples(traces, p), "samples")
-    alarms, ref = detect_delay_changes(delay_stats(samples, rib, p), None, p)
-    write_results(with_measurements(alarms, samples), f"{out}/delay_alarms", p.exp_id)
-    save_reference(ref, references, p.end)
-    steps, ref = forwarding.detect_forwarding_changes(forwarding.next_hop_counts(traces, p), rib, None, p)
-    write_results(forwarding.with_measurements(steps.where("alarm"), traces, p), f"{out}/forwarding_alarms", p.exp_id)
-    save_reference(ref, f"{references}_forwarding", p.end)
+from pathwatch.sources.tables import load_experiment, save_experiment
+from pathwatch.streaming.jobs import analyse, detection_stream, previous_window, replay
 
 
 def main(args: list[str] | None = None) -> None:
@@ -37,15 +23,19 @@ def main(args: list[str] | None = None) -> None:
     way = a.add_mutually_exclusive_group()
     way.add_argument("--replay", type=int, help="how many windows after the last analysed one")
     way.add_argument("--previous", type=int, help="epoch seconds: analyse the last full window before")
+    way.add_argument("--stream", metavar="CHECKPOINT", help="traces is a folder in which files of JSON lines arrive")
+    a.add_argument("--delay", type=int, default=0, help="seconds after its end for which a window of a stream stays open")
     o = a.parse_args(args)
     spark = SparkSession.builder.appName("pathwatch-detect").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    p = load_experiment(spark, o.experiments, o.exp_id, stream=o.exp_id is None and o.previous is not None) or Params(exp_id=o.exp_id or "default")
+    p = load_experiment(spark, o.experiments, o.exp_id, stream=o.exp_id is None and (o.previous is not None or o.stream is not None)) or Params(exp_id=o.exp_id or "default")
+    rib, now = spark.read.schema(PREFIXES).json(o.prefixes), int(time.time())
+    if o.stream:
+        detection_stream(spark, o.traces, rib, p, o.references, o.out, o.stream, o.delay).awaitTermination()
+        return
     traces = spark.read.parquet(o.traces)
     traces = traces.where(traces["af"] == p.af)
-    rib = spark.read.schema(PREFIXES).json(o.prefixes)
-    now = int(time.time())
     if o.replay is None and o.previous is None:
-        detect_range(spark, traces, rib, p, o.references, o.out)
+        analyse(spark, traces, rib, p, p.start, p.end, o.references, o.out)
         save_experiment(spark, p, o.experiments, now)
     else:
         first = p.end if o.replay is not None else previous_window(o.previous, p.window)

@@ -111,6 +111,12 @@ def delay_deviation(stats: DataFrame, ref: DataFrame) -> DataFrame:
     return x.withColumns(deviation_columns(F.col("median"), F.col("lo"), F.col("hi"), F.col("mean"), F.col("low"), F.col("high")))
 
 
+def attach_reference(stats: DataFrame, ref: DataFrame, keys: list[str] = ["ip1", "ip2"], columns: list[str] | None = None) -> DataFrame:  # noqa: B006
+    """Statistics beside the reference of their key (``columns`` of it, default: all); keys that only one side has stay, with nulls."""
+    own = ref.select(*keys, *[c for c in (columns or ref.columns) if c not in keys])
+    return stats.join(own, keys, "full_outer")
+
+
 STEP = "time_bin long, ip1 string, ip2 string, n long, median double, lo double, hi double, ref double, ref_low double, ref_high double, nb_seen int, alarm boolean, diff double, diff_med double, deviation double, dev_bound double, mean double, low double, high double, boot array<struct<med:double,hi:double,lo:double>>, first_seen long, last_seen long, nb_reported int, nb_trimmed int, is_last boolean"
 
 
@@ -155,8 +161,8 @@ def _fold(p: Params):
     return run
 
 
-def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Alarms, and the reference after the last bin.
+def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params, changes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Alarms, and the reference after the last bin (``changes``: only of the links that were seen).
 
     A link's bins are folded in order: a bin is compared with the reference as it was before (once that has seen
     ``min_seen`` bins), which then takes it in, first as a median of ``min_seen`` bins, then as an exponential average.
@@ -172,10 +178,11 @@ def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params) ->
     steps = written(steps, "delay_steps")
     names = [c.name for c in ref0.schema]
     ref = steps.where("is_last").withColumn("nb_seen", (F.col("nb_seen") + 1).cast("int")).select(*names)
-    kept = ref0.join(ref.select("ip1", "ip2"), ["ip1", "ip2"], "left_anti").select(*names)
+    if not changes:
+        ref = ref.unionByName(ref0.join(ref.select("ip1", "ip2"), ["ip1", "ip2"], "left_anti").select(*names))
     told = steps.where("alarm").drop("mean", "low", "high", "boot", "first_seen", "last_seen", "nb_trimmed", "is_last")
     more = [c for c in ("n_asn", "entropy", "asns", "nb_probes", "trimmed") if c in stats.columns]
-    return (told.join(stats.select(*LINK, *more), LINK) if more else told), ref.unionByName(kept)
+    return (told.join(stats.select(*LINK, *more), LINK) if more else told), ref
 
 
 def expire_reference(ref: DataFrame, now: int, days: int = 7) -> DataFrame:

@@ -60,18 +60,20 @@ def _fold(p: Params):
             prior = dict(ref)
             ref = {h: (1 - p.alpha) * ref.get(h, 0.0) + p.alpha * count.get(h, 0.0) for h in {*names, *ref}}
             first, last = (t if first is None else first), t
-            out.append(dict(time_bin=t, dst=dst, ip0=ip0, corr=corr, nb_samples=int(sum(count.values())), nb_peers=len(names), nb_seen=seen, alarm=alarm, obs={h: raw.get(h, 0.0) for h in {*raw, *names}}, prior=prior, ref=ref, first_seen=first, last_seen=last, nb_reported=told, is_last=False))
+            out.append(dict(time_bin=t, dst=dst, ip0=ip0, corr=corr, nb_samples=int(sum(count.values())), nb_peers=len(names), nb_seen=seen, alarm=alarm, obs={h: raw.get(h, 0.0) for h in {*raw, *names}}, prior=prior, ref=None, first_seen=first, last_seen=last, nb_reported=told, is_last=False))
             seen += 1
         if out:
-            out[-1]["is_last"] = True
+            out[-1] |= {"is_last": True, "ref": ref}
         return pd.DataFrame(out)
 
     return run
 
 
-def detect_forwarding_changes(counts: DataFrame, rib: DataFrame, ref0: DataFrame | None, p: Params) -> tuple[DataFrame, DataFrame]:
+def detect_forwarding_changes(counts: DataFrame, rib: DataFrame, ref0: DataFrame | None, p: Params, changes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every qualified (bin, destination, router) with its correlation and alarm flag, and the reference after the last bin.
 
+    ``changes``: the reference only of the routers that were seen.
+
     Packets are truncated to units for each next hop and probe. Groups seen from too few networks are dropped, and the
     units of too frequent networks are thinned out evenly over their next hops and probes, on Spark; the fold over one
     (destination, router) gets a row for each bin, which holds its next hops, never probes. The vector holds the
@@ -96,8 +98,9 @@ def detect_forwarding_changes(counts: DataFrame, rib: DataFrame, ref0: DataFrame
     steps = written(hops.join(bins, ["dst", "time_bin"]).groupBy("dst", "ip0").cogroup(ref0.groupBy("dst", "ip0")).applyInPandas(_fold(p), STEP), "forwarding_steps")
     names = [f.name for f in ref0.schema]
     ref = steps.where("is_last").withColumn("nb_seen", (F.col("nb_seen") + 1).cast("int")).select(*names)
-    kept = ref0.join(ref.select("dst", "ip0"), ["dst", "ip0"], "left_anti").select(*names)
-    return steps.drop("ref", "first_seen", "last_seen", "is_last"), ref.unionByName(kept)
+    if not changes:
+        ref = ref.unionByName(ref0.join(ref.select("dst", "ip0"), ["dst", "ip0"], "left_anti").select(*names))
+    return steps.drop("ref", "first_seen", "last_seen", "is_last"), ref
 
 
 def with_measurements(alarms: DataFrame, traces: DataFrame, p: Params) -> DataFrame:

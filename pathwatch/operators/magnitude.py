@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwatch.functions.addresses import prefix24, with_asn
+from pathwatch.functions.expand import median_of
 from pathwatch.operators.statistics import mad_of
 
 HOUR = 3600
@@ -57,18 +58,40 @@ def derived_alarm_columns(alarms: DataFrame, rib: DataFrame) -> DataFrame:
     return link_ends(alarms, rib).withColumns({"diff_med_abs": F.abs("diff_med"), "diff_abs": F.abs("diff"), "dev_bound_pkt": F.col("dev_bound") * F.col("n")})
 
 
-def delay_magnitude(alarms: DataFrame, rib: DataFrame, now: int, history: int = 168, asns: DataFrame | None = None, mad: str = "values") -> DataFrame:
-    """(asn, time_bin, value, magnitude) at ``now``: increases only, both link ends, summed deviation bounds for each hour."""
-    a = alarms.where((F.col("diff_med") > 1) & (F.col("time_bin") > now - history * HOUR) & (F.col("time_bin") <= now))
-    g = hourly_grid(link_ends(a, rib), "dev_bound", now - history * HOUR, now, asns=asns)
-    return as_magnitude(g, history, mad).where(F.col("time_bin") == now)
+def magnitudes_at(units: DataFrame, unit: str, bins: list[int], history: int = 168, asns: DataFrame | None = None, mad: str = "values") -> DataFrame:
+    """(asn, time_bin, value, magnitude) of each network at each of the given bins.
 
-
-def forwarding_magnitude(resp: DataFrame, rib: DataFrame, now: int, history: int = 168, asns: DataFrame | None = None, mad: str = "values") -> DataFrame:
-    """(asn, time_bin, value, magnitude) at ``now`` of the summed responsibilities of each network."""
-    r = with_asn(resp.where((F.col("time_bin") > now - history * HOUR) & (F.col("time_bin") <= now)), "ip", rib)
-    g = hourly_grid(r, "resp", now - history * HOUR, now, asns=asns)
-    return as_magnitude(g, history, mad).where(F.col("time_bin") == now)
+    The magnitude of a bin compares its hour's sum with the median of that and the ``history`` hours before; as many
+    values as hours are needed, so what ``units`` does not have is filled up with zeros, and the hour at the far end is
+    one (it lies outside the history). A network's hour goes to the bins that look back on it, at most ``history`` times;
+    an array holds history + 1 numbers. ``asns``: the networks (with time_bin: of each bin), default: those with units.
+    """
+    hour, last = lambda c: (F.floor(c / HOUR) * HOUR).cast("long"), HOUR * (history - 1)
+    at = F.array(*[F.struct(F.lit(b).cast("long").alias("time_bin"), F.lit(b // HOUR * HOUR).cast("long").alias("h")) for b in bins])
+    near = units.where(F.col("time_bin").between(min(bins) // HOUR * HOUR - last, max(bins) // HOUR * HOUR + HOUR - 1))
+    sums = near.groupBy("asn", hour(F.col("time_bin")).alias("hour")).agg(F.sum(unit).alias("v"))
+    past = sums.select("asn", "hour", "v", F.explode(F.filter(at, lambda b: F.col("hour").between(b["h"] - last, b["h"]))).alias("b"))
+    known = past.groupBy("asn", "b.time_bin").agg(F.collect_list("v").alias("vs"), F.coalesce(F.sum(F.when(F.col("hour") == F.col("b.h"), F.col("v"))), F.lit(0.0)).alias("value"))
+    if asns is not None:
+        wanted = asns.select("asn", "time_bin") if "time_bin" in asns.columns else asns.select("asn", F.explode(F.transform(at, lambda b: b["time_bin"])).alias("time_bin"))
+        known = wanted.distinct().join(known, ["asn", "time_bin"], "left").select("asn", "time_bin", F.coalesce("vs", F.array().cast("array<double>")).alias("vs"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    known = known.withColumn("vs", F.concat("vs", F.array_repeat(F.lit(0.0), F.lit(history + 1) - F.size("vs")))).withColumn("median", median_of(F.col("vs")))
+    spread = F.lit(0.0) if mad == "notnull" else mad_of(F.col("vs"), F.col("median"))
+    return known.select("asn", "time_bin", "value", ((F.col("value") - F.col("median")) / (1 + F.lit(1.4826) * spread)).alias("magnitude"))
+
+
+def delay_magnitude(alarms: DataFrame, rib: DataFrame, at: int | list[int], history: int = 168, asns: DataFrame | None = None, mad: str = "values") -> DataFrame:
+    """(asn, time_bin, value, magnitude) at the given bins: increases only, both link ends, summed deviation bounds for each hour."""
+    bins = [at] if isinstance(at, int) else at
+    a = alarms.where((F.col("diff_med") > 1) & (F.col("time_bin") > min(bins) - history * HOUR) & (F.col("time_bin") <= max(bins)))
+    return magnitudes_at(link_ends(a, rib), "dev_bound", bins, history, asns, mad)
+
+
+def forwarding_magnitude(resp: DataFrame, rib: DataFrame, at: int | list[int], history: int = 168, asns: DataFrame | None = None, mad: str = "values") -> DataFrame:
+    """(asn, time_bin, value, magnitude) at the given bins, of the summed responsibilities of each network."""
+    bins = [at] if isinstance(at, int) else at
+    r = with_asn(resp.where((F.col("time_bin") > min(bins) - history * HOUR) & (F.col("time_bin") <= max(bins))), "ip", rib)
+    return magnitudes_at(r, "resp", bins, history, asns, mad)
 
 
 def sum_by_time(alarms: DataFrame, metric: str, where: str | None = None) -> DataFrame:

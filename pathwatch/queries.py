@@ -13,7 +13,7 @@ from pathwatch.operators import delay, forwarding, magnitude, publish, reference
 from pathwatch.schema import DELAY_REFERENCE, Params
 from pathwatch.session import work_path, written
 from pathwatch.sources import fixtures as fx
-from pathwatch.sources import tables
+from pathwatch.sources import tables, versions
 from pathwatch.streaming import jobs
 
 P = Params(window=fx.WINDOW, start=fx.START)
@@ -254,7 +254,7 @@ add("link_prefix_filter", lambda s, d: delay.link_filter(stats(s, d).select("ip1
 add("ip_to_asn", lambda s, d: A.with_asn(samples(s, d).select("probe_ip").distinct(), "probe_ip", fx.rib(s)), f"WITH {SAMPLES} SELECT DISTINCT probe AS probe_ip, ({asn_sql('probe')})::BIGINT AS asn FROM s")
 add("ip_to_country", lambda s, d: A.with_country(fx.traces(s, d).select("from").distinct(), "from", fx.rib(s)),
     f"""WITH {TRACES} SELECT DISTINCT probe AS "from", CASE WHEN probe LIKE '20.1.1.%' OR probe LIKE '20.2.1.%' THEN 'C9' ELSE 'C' || (split_part(probe, '.', 2)::INT % 5) END AS country FROM t""")
-add("attach_reference", lambda s, d: stats(s, d).where(F.col("time_bin") == NOW).select("ip1", "ip2", "median").join(reference(s, d).where("nb_seen > 20").select("ip1", "ip2", "mean"), ["ip1", "ip2"], "full_outer"),
+add("attach_reference", lambda s, d: delay.attach_reference(stats(s, d).where(F.col("time_bin") == NOW).select("ip1", "ip2", "median"), reference(s, d).where("nb_seen > 20"), columns=["mean"]),
     f"WITH {REF} SELECT ip1, ip2, median, mean FROM (SELECT ip1, ip2, median FROM st WHERE time_bin = {NOW}) FULL JOIN (SELECT ip1, ip2, mean FROM ref WHERE nb_seen > 20) USING (ip1, ip2)", "median mean")
 ROOTS = [("30.0.0.0", "a"), ("30.0.0.1", "a"), ("30.2.0.90", "b"), ("30.9.9.9", "c")]
 add("root_server_links", lambda s, d: references.root_server_links(stats(s, d), stats(s, d).where(F.col("time_bin") == NOW), s.createDataFrame(ROOTS, "ip string, name string")),
@@ -444,6 +444,103 @@ add("stored_alarms", stored_alarms, f"WITH {FOLD} SELECT 'e' AS exp_id, strftime
 add("stored_experiments", stored_experiments, f"WITH {TRACES} SELECT 'stream' AS exp_id, min(ts) AS start, max(ts) + 1 AS \"end\", 0.01::DOUBLE AS alpha, 7 AS expire_days FROM t", "alpha")
 add("backfilled_msm_ids", backfilled_msm_ids, f"""WITH {SAMPLES}, bm AS (SELECT ip1, ip2, msm, count(*) AS c, array_to_string(list_sort(list(DISTINCT prb)), ',') AS ids FROM s WHERE time_bin = {NOW} GROUP BY ALL)
     SELECT ip1 || ' ' || ip2 AS alarm_id, CASE WHEN sum(c) % 2 = 0 THEN '{{}}' ELSE {_ids} END AS msm_prb_ids FROM bm GROUP BY ip1, ip2""")
+# ---- windows, streams and versions
+
+LAST = NOW + 4 * P.window
+
+
+def _arriving(s: SparkSession, d: str, path: str, late: bool = False):
+    """Writes the traceroutes in three pieces of nine bins each, in no order, to where a stream finds them; after each piece the caller goes on."""
+    piece = F.least(F.floor((F.col("timestamp") - P.start) / (9 * P.window)), F.lit(2))
+    if late:
+        piece = F.least(piece + F.when(F.col("trace_id") % 10 == 3, 1).otherwise(0), F.lit(2))
+    t = written(fx.traces(s, d).withColumn("piece", piece.cast("int")), "pieces")
+    for k in range(3):
+        t.where(F.col("piece") == k).orderBy(F.xxhash64("trace_id")).drop("trace_id", "piece").write.mode("append").json(f"{path}/arriving")
+        yield
+
+
+def streamed(s: SparkSession, d: str, kind: str, p: Params = P) -> DataFrame:
+    """Alarms of a stream that is stopped after each piece and goes on from its checkpoint."""
+    path = work_path(s, "stream")
+    for _ in _arriving(s, d, path):
+        jobs.detection_stream(s, f"{path}/arriving", fx.rib(s), p, f"{path}/references", f"{path}/out", f"{path}/state", kinds=(kind,), trim=False).awaitTermination()
+    return s.read.parquet(f"{path}/out/{kind}_alarms").drop("date", "bin", "exp_id")
+
+
+def late_traceroutes(s: SparkSession, d: str) -> DataFrame:
+    """A tenth of the traceroutes arrives with the piece after its own."""
+    path = work_path(s, "stream")
+    for _ in _arriving(s, d, path, late=True):
+        jobs.detection_stream(s, f"{path}/arriving", fx.rib(s), P, f"{path}/references", f"{path}/out", f"{path}/state", kinds=()).awaitTermination()
+    return jobs.late_counts(s, f"{path}/out", P)
+
+
+def replayed(s: SparkSession, d: str) -> DataFrame:
+    """Alarms up to LAST: all but two windows in one run, then these one by one against the saved references."""
+    path, t = work_path(s, "replay"), written(fx.traces(s, d), "traces")
+    first = LAST - 2 * P.window
+    jobs.analyse(s, t, fx.rib(s), P, P.start, first, f"{path}/references", f"{path}/out", ("delay",), trim=False)
+    jobs.replay(s, t, fx.rib(s), P, first, 2, f"{path}/references", f"{path}/out", kinds=("delay",), trim=False)
+    return s.read.parquet(f"{path}/out/delay_alarms").drop("date", "bin", "exp_id")
+
+
+def monitored_magnitudes(s: SparkSession, d: str) -> DataFrame:
+    """Magnitudes of the bin NOW for every network with a link end in it, alarm or not."""
+    path = work_path(s, "monitored")
+    jobs.analyse(s, fx.traces(s, d), fx.rib(s), P, P.start, NOW + P.window, f"{path}/references", f"{path}/out", ("delay",), trim=False)
+    return s.read.parquet(f"{path}/out/delay_magnitude").where(F.col("time_bin") == NOW).select("asn", "time_bin", "value", "magnitude")
+
+
+def versioned_reference(s: SparkSession, d: str) -> DataFrame:
+    """The reference as of NOW, out of versions that hold what three steps have changed, two of them put together; a later one is there as well."""
+    path, st = work_path(s, "versions"), written(stats(s, d), "stats")
+    low = P.start
+    for upto in (NOW - 6 * P.window, NOW - 2 * P.window, NOW, LAST):
+        part = st.where((F.col("time_bin") >= low) & (F.col("time_bin") < upto))
+        old = tables.load_reference(s, path, DELAY_REFERENCE, before=low, only=part)
+        tables.save_reference(delay.detect_delay_changes(part, old, P, changes=True)[1], path, upto - P.window, changes=True)
+        if upto == NOW - 2 * P.window:
+            versions.compact(s, path, DELAY_REFERENCE, ["ip1", "ip2"], every=1)
+        low = upto
+    return tables.load_reference(s, path, DELAY_REFERENCE, before=NOW).where("nb_seen >= 3").select("ip1", "ip2", "mean", "high", "low", "first_seen", "last_seen", "nb_seen")
+
+
+_AL = "time_bin, ip1, ip2, n, median, lo, hi, ref, ref_low, ref_high, nb_seen::INT AS nb_seen, diff, diff_med, deviation, dev_bound"
+_al = [c.split("::")[0] for c in _AL.split(", ")]
+_al_doubles = "median lo hi ref ref_low ref_high diff diff_med deviation dev_bound"
+add("streamed_delay_alarms", lambda s, d: streamed(s, d, "delay").select(*_al), f"WITH {FOLD} SELECT {_AL} FROM al WHERE time_bin < (SELECT max(time_bin) FROM t)", _al_doubles)
+add("streamed_forwarding_alarms", lambda s, d: streamed(s, d, "forwarding", Params(window=fx.WINDOW, start=fx.START, min_corr=0.9)).select("time_bin", "dst", "ip0", "corr", "nb_samples", "nb_peers", "nb_seen"),
+    f"WITH {FORWARD} SELECT time_bin, dst, ip0, corr, nb_samples, nb_peers, nb_seen FROM fx WHERE corr < 0.9 AND nb_seen >= 3 AND time_bin < (SELECT max(time_bin) FROM t)", "corr")
+add("late_traceroutes", late_traceroutes,
+    f"""WITH {TRACES}, pc AS (SELECT *, least((ts - {fx.START}) // {9 * fx.WINDOW}, 2) AS own, least(least((ts - {fx.START}) // {9 * fx.WINDOW}, 2) + CASE WHEN tid % 10 = 3 THEN 1 ELSE 0 END, 2) AS piece FROM t),
+    fr AS (SELECT b.k AS piece, (SELECT max(time_bin) FROM pc WHERE piece < b.k) AS frontier FROM (SELECT unnest([0, 1, 2]) AS k) b)
+    SELECT time_bin, count(*) FILTER (WHERE NOT coalesce(time_bin < frontier, false)) AS on_time, count(*) FILTER (WHERE coalesce(time_bin < frontier, false)) AS late FROM pc JOIN fr USING (piece) GROUP BY time_bin""")
+add("replayed_delay_alarms", lambda s, d: replayed(s, d).select(*_al), f"WITH {FOLD} SELECT {_AL} FROM al WHERE time_bin < {LAST}", _al_doubles)
+add("monitored_magnitudes", monitored_magnitudes,
+    f"""WITH {FOLD}, ends AS (SELECT {asn_sql('ip')} AS asn, dev_bound FROM (SELECT unnest([ip1, ip2]) AS ip, dev_bound FROM al WHERE diff_med > 1 AND time_bin = {NOW})), mo AS (SELECT DISTINCT {asn_sql('ip')} AS asn FROM (SELECT unnest([ip1, ip2]) AS ip FROM st WHERE time_bin = {NOW}))
+    SELECT mo.asn::BIGINT AS asn, {NOW}::BIGINT AS time_bin, coalesce(sum(dev_bound), 0) AS value, coalesce(sum(dev_bound), 0) AS magnitude FROM mo LEFT JOIN ends ON ends.asn = mo.asn GROUP BY mo.asn""", "value magnitude")
+add("versioned_reference", versioned_reference, f"WITH {FOLD} SELECT ip1, ip2, arg_max(r_median, k) AS mean, arg_max(r_hi, k) AS high, arg_max(r_lo, k) AS low, min(time_bin) AS first_seen, max(time_bin) AS last_seen, max(k)::INT AS nb_seen FROM k3 WHERE time_bin < {NOW} GROUP BY ALL HAVING max(k) >= 3", "mean high low")
+# magnitudes over real hours: an alarm for each event
+_HOURLY = """al0 AS (SELECT time_bin, '30.' || (user_id % 7) || '.0.1' AS ip1, '30.' || (user_id % 3) || '.0.2' AS ip2, value AS dev_bound, value / 5 AS diff_med, value - 20 AS resp FROM ev),
+ends AS (SELECT unnest([ip1, ip2]) AS ip, time_bin, dev_bound AS v FROM al0 WHERE diff_med > 1), rr AS (SELECT ip1 AS ip, time_bin, resp AS v FROM al0),
+hours AS (SELECT DISTINCT time_bin FROM ev)"""
+_hourly_sql = lambda of: f"""WITH {EVENTS}, {_HOURLY}, u AS (SELECT 65000 + split_part(ip, '.', 2)::INT AS asn, time_bin, sum(v) AS v FROM {of} GROUP BY ALL),
+    tg AS (SELECT asn, hours.time_bin FROM (SELECT DISTINCT asn FROM u) CROSS JOIN hours),
+    fr AS (SELECT tg.asn, tg.time_bin, list(CASE WHEN g.k = 168 THEN 0 ELSE coalesce(u.v, 0) END) AS h, max(CASE WHEN g.k = 0 THEN coalesce(u.v, 0) END) AS value, bool_or(u.v IS NOT NULL AND g.k < 168) AS seen FROM tg CROSS JOIN (SELECT unnest(range(169)) AS k) g LEFT JOIN u ON u.asn = tg.asn AND u.time_bin = tg.time_bin - g.k * 3600 GROUP BY tg.asn, tg.time_bin)
+    SELECT asn::BIGINT AS asn, time_bin, value, (value - list_median(h)) / (1 + 1.4826 * list_median(list_transform(h, lambda x: abs(x - list_median(h))))) AS magnitude FROM fr WHERE seen"""
+
+
+def hourly_alarms(s: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
+    """An alarm for each event, and the hours in which there are any."""
+    e = events(s, d)
+    ip = lambda n, k: F.concat(F.lit("30."), F.col("user_id") % n, F.lit(f".0.{k}"))
+    hours = sorted(r[0] for r in e.select("time_bin").distinct().collect())  # one row for each hour
+    return e.select("time_bin", ip(7, 1).alias("ip1"), ip(3, 2).alias("ip2"), F.col("value").alias("dev_bound"), (F.col("value") / 5).alias("diff_med"), (F.col("value") - 20).alias("resp")), hours
+
+
+add("hourly_delay_magnitude", lambda s, d: magnitude.delay_magnitude((h := hourly_alarms(s, d))[0], fx.rib(s), h[1]), _hourly_sql("ends"), "value magnitude")
+add("hourly_forwarding_magnitude", lambda s, d: magnitude.forwarding_magnitude((h := hourly_alarms(s, d))[0].withColumnRenamed("ip1", "ip"), fx.rib(s), h[1]), _hourly_sql("rr"), "value magnitude")
 add("as_series_values", lambda s, d: publish.as_series_rows(magnitude.as_magnitude(grid(s, d)), "events"),
     f"WITH {EVENTS}, {_magnitude_sql(169)} SELECT magnitude, value, 'events' AS label, strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS time_bin, asn::VARCHAR AS asn FROM mag", "value magnitude")
 add("as_names", lambda s, d: publish.as_names(magnitude.link_ends(stats(s, d), fx.rib(s)), fx.rib(s)),

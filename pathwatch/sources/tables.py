@@ -7,9 +7,10 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pathwatch.schema import TRACEROUTE, Params
+from pathwatch.sources import versions
 
 
 def read_traceroutes(spark: SparkSession, path: str, af: int | None = None, arrays: bool = False) -> DataFrame:
@@ -46,35 +47,31 @@ def write_results(df: DataFrame, path: str, exp_id: str, ts: str = "time_bin") -
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exp_id", "date", "bin").parquet(path)
 
 
-def read_results(spark: SparkSession, path: str, schema: StructType, exp_id: str) -> DataFrame:
-    """The rows of one experiment in a result table; none where there is no table yet."""
-    kept = StructType([*schema.fields, StructField("exp_id", StringType())])
+def read_results(spark: SparkSession, path: str, schema: StructType, exp_id: str, since: int | None = None) -> DataFrame:
+    """The rows of one experiment in a result table (``since``: of its bins from there on, others are not read); none where there is no table yet."""
+    kept = StructType([*schema.fields, StructField("exp_id", StringType()), StructField("bin", LongType())])
     try:
-        return spark.read.schema(kept).parquet(path).where(F.col("exp_id") == exp_id).select(*schema.names)
+        df = spark.read.schema(kept).parquet(path).where(F.col("exp_id") == exp_id)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    return (df if since is None else df.where(F.col("bin") >= since)).select(*schema.names)
 
 
-def save_reference(ref: DataFrame, path: str, as_of: int) -> None:
-    """A new version of a reference; earlier ones stay readable."""
-    ref.write.mode("overwrite").parquet(f"{path}/as_of={as_of}")
+def keys_of(spark: SparkSession, schema: str) -> list[str]:
+    """A reference's key: the first two columns of either kind."""
+    return spark.createDataFrame([], schema).columns[:2]
 
 
-def load_reference(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest version (before a bin, if given); an empty reference where there is none."""
-    try:
-        versions = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        versions = versions.where(F.col("as_of") < before)
-    newest = versions.agg(F.max("as_of")).first()[0]
-    names = spark.createDataFrame([], schema).columns
-    return versions.where(F.col("as_of") == F.lit(newest)).select(*names)
+def save_reference(ref: DataFrame, path: str, as_of: int, changes: bool = False) -> None:
+    """A new version of a reference, whole or (``changes``) the rows that a window has changed; earlier ones stay readable."""
+    versions.commit(ref, path, as_of, ref.columns[:2], whole=not changes)
+
+
+def load_reference(spark: SparkSession, path: str, schema: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The newest version (before a bin, if given; of the keys in ``only``, if given); an empty reference where there is none."""
+    return versions.snapshot(spark, path, schema, keys_of(spark, schema), before, only)
 
 
 def save_experiment(spark: SparkSession, p: Params, path: str, saved_at: int) -> None:
@@ -84,8 +81,13 @@ def save_experiment(spark: SparkSession, p: Params, path: str, saved_at: int) ->
 
 
 def load_experiment(spark: SparkSession, path: str, exp_id: str | None = None, stream: bool = False) -> Params | None:
-    """Parameters by id, of the streaming experiment, or of the newest one."""
-    df = spark.read.parquet(path)
+    """Parameters by id, of the streaming experiment, or of the newest one; None where none was saved yet."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     df = df.where(F.col("exp_id") == exp_id) if exp_id else df.where("stream") if stream else df
     row = df.orderBy(F.desc("saved_at")).limit(1).collect()
     if not row:
