@@ -6,11 +6,11 @@ Built-in functions only; the trees become column expressions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwatch.llm import boosting
-from pathwatch.llm.spans import find_spans, let, listed, span_sql
+from pathwatch.llm.spans import find_spans, let, listed, running, span_sql
 from pathwatch.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,7 +41,8 @@ SIGN = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9
 #: Words before a candidate that speak for it. They label candidates for learning, so they are no feature.
 CUE = {"email": r"mail|contact|write", "ip": r"\bip\b|server|host|addr|login", "card": r"card|visa|credit|pay|account", "phone": r"phone|tel|call|fax|mobile"}
 FEATURES = ("kind", "digits", "marks", "bracket", "first", "before", "after")
-CANDIDATE = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean,cue:int," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
+CANDIDATE = "array<struct<start:int,end:int,rank:int,kind:string,base:boolean,cue:int," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
+FAR = 2**31 - 1
 
 
 def _digits(match: Column) -> Column:
@@ -77,7 +78,7 @@ def _candidates(text: Column, kind: str) -> Column:
         left = s["left"]
         first = F.regexp_extract(m, "[0-9]", 0)
         return F.struct(
-            F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), base.alias("base"),
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), base.alias("base"),
             F.lower(left).rlike(CUE[kind]).cast("int").alias("cue"),
             F.least(F.char_length(_digits(m)), F.lit(20)).alias("digits"),
             F.least(F.char_length(F.regexp_replace(m, r"[^\x20.-]", "")), F.lit(5)).alias("marks"),
@@ -97,12 +98,34 @@ def _candidates(text: Column, kind: str) -> Column:
     return F.when(text.rlike(SIGN[kind]), let(both, lambda all_: F.filter(all_, lambda c, i: ~same(all_, c, i)))).otherwise(none)
 
 
+def described(spans: Column) -> Column:
+    """Candidates in order, each with ``own`` and ``any``: whether it overlaps a base span of its kind, or of any.
+
+    A candidate overlaps one that begins before it if the furthest end so far lies beyond its start, and one that
+    begins after it if the next start lies before its end: running values from both sides, no pairs.
+    """
+    def reach(c: Column, which) -> Column:
+        ends = running(F.transform(c, lambda x: F.when(which(x), x["end"]).otherwise(0)), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(c, lambda x: F.when(which(x), FAR - x["start"]).otherwise(0))), F.greatest))
+        return F.struct(ends.alias("ends"), starts.alias("starts"))
+
+    def met(r: Column, x: Column, i: Column) -> Column:
+        return F.coalesce(F.get(r["ends"], i - 1) > x["start"], F.lit(False)) | F.coalesce(F.get(r["starts"], i + 1) > FAR - x["end"], F.lit(False))
+
+    def of(c: Column) -> Column:
+        each = F.array(reach(c, lambda x: x["base"]), *[reach(c, lambda x, k=k: x["base"] & (x["rank"] == k)) for k in range(len(KINDS))])
+        fields = ["start", "end", "rank", "kind", "base", "cue", *FEATURES[1:]]
+        return let(each, lambda r: F.transform(c, lambda x, i: F.struct(*[x[f].alias(f) for f in fields], met(F.get(r, x["rank"] + 1), x, i).alias("own"), met(F.get(r, F.lit(0)), x, i).alias("any"))))
+
+    return let(F.array_sort(spans), lambda c: F.when(F.size(c) > 0, of(c)))
+
+
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, held_out, candidates): all proposed spans of every row with their features; null texts count as empty."""
+    """(doc_id, held_out, candidates): all proposed spans of every row with their features; null texts count as empty, no candidates are null."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = F.concat(*[_candidates(body, k) for k in KINDS])
     # a bucket of the content, so that copies of a text fall on one side
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), (F.crc32(body.cast("binary")) % 5 == 0).alias("held_out"), F.array_sort(spans).alias("candidates"))
+    return docs.select(F.col(doc_id).alias("doc_id"), (F.crc32(body.cast("binary")) % 5 == 0).alias("held_out"), described(spans).alias("candidates"))
 
 
 class Model:
@@ -111,43 +134,24 @@ class Model:
     def __init__(self, trees: list, thresholds: dict[int, float]):
         self.trees, self.thresholds = trees, thresholds
 
-    def selects(self) -> Column:
-        """Whether a row of candidates is personal data."""
-        p = boosting.probability_of(self.trees, [F.col("rank"), *map(F.col, FEATURES[1:])])
-        least = F.coalesce(*[F.when(F.col("rank") == k, F.lit(t)) for k, t in self.thresholds.items()], F.lit(2.0))
+    def selects(self, c: Column) -> Column:
+        """Whether a candidate is personal data."""
+        p = boosting.probability_of(self.trees, [c["rank"], *[c[f] for f in FEATURES[1:]]])
+        least = F.coalesce(*[F.when(c["rank"] == k, F.lit(t)) for k, t in self.thresholds.items()], F.lit(2.0))
         return p >= least
 
 
-def described(found: DataFrame) -> DataFrame:
-    """(row, held_out, own, any, candidate's fields): a row for each candidate; whether it overlaps a base span of its kind, or of any.
-
-    A candidate overlaps one that begins before it if the furthest end so far lies beyond its start, and one that
-    begins after it if the next start lies before its end: two sorted windows for each row, no pairs.
-    """
-    flat = found.select("row", "held_out", F.explode("candidates").alias("c")).select("row", "held_out", "c.*")
-    end, start = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))
-    order = ["start", "end", "rank"]
-
-    def met(*by: str) -> Column:
-        w = Window.partitionBy("row", *by)
-        before = F.max(end).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)) > F.col("start")
-        after = F.min(start).over(w.orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)) < F.col("end")
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
-    return flat.withColumns({"own": met("rank"), "any": met()})
-
-
-def labelled(described: DataFrame) -> DataFrame:
+def labelled(found: DataFrame) -> DataFrame:
     """(held_out, label, candidate's fields): 1 for personal data, 0 for something else, as far as can be told without the features.
 
     Valid base spans are personal data, and so are candidates with a cue word before them. Others are not, above all
     those on a valid base span of another kind. Candidates on a valid base span of their own kind say nothing.
     """
     label = F.when(F.col("base"), 1).when(F.col("own"), F.lit(None)).when(F.col("any"), 0).otherwise(F.col("cue"))
-    return described.withColumn("label", label).where("label IS NOT NULL")
+    return found.select("held_out", F.explode("candidates").alias("c")).select("held_out", "c.*").withColumn("label", label).where("label IS NOT NULL")
 
 
-def fit(described: DataFrame) -> Model:
+def fit(found: DataFrame) -> Model:
     """Learn which formats and surroundings personal data has, from the labels that ``labelled`` gives.
 
     What labels rest on (the check digit, the leading plus, cue words) is no feature, so a candidate that only lacks
@@ -156,7 +160,7 @@ def fit(described: DataFrame) -> Model:
     threshold is the lowest probability above which the held-out candidates have label 1 with the given precision;
     kinds without one add nothing.
     """
-    counts = labelled(described).groupBy("held_out", "rank", *FEATURES[1:]).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
+    counts = labelled(found).groupBy("held_out", "rank", *FEATURES[1:]).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
     rows = np.array([[r["held_out"], r["yes"], r["n"] - r["yes"], r["rank"], *[r[f] for f in FEATURES[1:]]] for r in counts], dtype=np.int64).reshape(-1, 3 + len(FEATURES))
     # rows come in any order; sums of floats should not depend on it
     rows = rows[np.lexsort(rows.T[::-1])] if len(rows) else rows
@@ -183,15 +187,13 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     proportion to a text's matches (but for sorting them).
     """
     found = written(candidates(docs, text, doc_id), "candidates")
-    each = written(described(found), "described")
-    model = fit(each)
+    model = fit(found)
     slim = "array<struct<rank:int,start:int,end:int,kind:string,base:boolean>>"
-    base = F.transform(F.filter("candidates", lambda c: c["base"]), lambda c: F.struct(*[c[x].alias(x) for x in ("rank", "start", "end", "kind", "base")])).cast(slim)
-    reach = F.max("end").over(Window.partitionBy("row").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1))
-    picked = each.where(~F.col("base") & ~F.col("any") & model.selects()).withColumn("reach", reach).where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))
-    added = picked.groupBy("row").agg(F.collect_list(F.struct("rank", "start", "end", "kind", "base")).alias("added"))
-    both = found.select("row", "doc_id", base.alias("base")).join(added, "row", "left")
-    return both.select("doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(slim)))).alias("spans"))
+    cut = lambda a: F.transform(a, lambda c: F.struct(*[c[x].alias(x) for x in ("rank", "start", "end", "kind", "base")])).cast(slim)
+    picked = F.filter("candidates", lambda c: ~c["base"] & ~c["any"] & model.selects(c))
+    first = lambda c: let(running(F.transform(c, lambda x: x["end"]), F.greatest), lambda ends: F.filter(c, lambda x, i: F.coalesce(F.get(ends, i - 1) <= x["start"], F.lit(True))))
+    both = F.concat(cut(F.filter("candidates", lambda c: c["base"])), cut(let(picked, first)))
+    return found.select("doc_id", F.coalesce(F.array_sort(both), F.array().cast(slim)).alias("spans"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
