@@ -63,16 +63,18 @@ def delay_stats(samples: DataFrame, rib: DataFrame, p: Params, trim: bool = True
     s = written(samples.select(*LINK, "rtt_diff", "probe_ip", "msm_id", "prb_id"), "samples")
     probes = written(with_asn(s.groupBy(*LINK, "probe_ip").agg(F.count("*").alias("c")), "probe_ip", rib), "probes")
     counts = probes.groupBy(*LINK, "asn").agg(F.sum("c").alias("c"), F.count("*").alias("p"))
+    sizes = counts.groupBy(*LINK).agg(F.sum("c").alias("n"))
     if not trim:
         seen = counts.groupBy(*LINK).agg(F.sum("p").alias("nb_probes"), F.array_sort(F.collect_list("asn")).alias("asns"))
         ent = entropy_of(counts, LINK).drop("n").where((F.col("n_asn") >= p.min_asn) & (F.col("entropy") >= p.min_entropy))
-        return median_ci(s, LINK, "rtt_diff", p.confidence).join(ent.join(seen, LINK), LINK).withColumn("trimmed", F.lit(False))
+        return median_ci(s, LINK, "rtt_diff", p.confidence, sizes).join(ent.join(seen, LINK), LINK).withColumn("trimmed", F.lit(False))
     plan = written(trim_plan(counts.select(*LINK, "asn", "c"), LINK, "asn", p.min_asn, p.min_entropy), "trim_plan")
     groups = plan.groupBy(*LINK).agg(F.max("trimmed").alias("trimmed"), F.max("n_asn").alias("n_asn"), F.max("entropy").alias("entropy"), F.array_sort(F.collect_list(F.when(F.col("keep") > 0, F.col("asn")))).alias("asns"))
     groups = groups.join(probes.groupBy(*LINK).agg(F.count("*").alias("nb_probes")), LINK)
     known = s.join(probes.select(*LINK, "probe_ip", "asn"), [*LINK, "probe_ip"])
     kept = trimmed_samples(known, plan, LINK, "asn", ["probe_ip", "msm_id", "prb_id"], ["rtt_diff"])
-    return median_ci(kept, LINK, "rtt_diff", p.confidence).join(groups, LINK)
+    sizes = plan.groupBy(*LINK).agg(F.sum("keep").alias("n"))
+    return median_ci(kept, LINK, "rtt_diff", p.confidence, sizes).join(groups, LINK)
 
 
 def with_measurements(alarms: DataFrame, samples: DataFrame) -> DataFrame:

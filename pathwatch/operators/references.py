@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwatch.functions.addresses import with_asn
-from pathwatch.operators.statistics import normal_scores, pearson, shapiro_of_sums
+from pathwatch.operators.statistics import medians, normal_scores, pearson, shapiro_of_sums
 from pathwatch.session import ship_code, written
 
 DAY = 86400
@@ -56,11 +56,17 @@ def as_ranking(ends: DataFrame, counts: DataFrame, unit: str, min_ips: int = 0)
 
 
 def link_distribution_stats(samples: DataFrame, min_n: int = 48, value: str = "rtt_diff") -> DataFrame:
-    """(ip1, ip2, n, mean, std, median, mad) of links with more than ``min_n`` samples."""
-    w = Window.partitionBy("ip1", "ip2")
-    med = samples.withColumn("_m", F.percentile(value, F.lit(0.5)).over(w))
-    g = med.groupBy("ip1", "ip2").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max("_m").alias("median"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
-    return g.where(F.col("n") > min_n)
+    """(ip1, ip2, n, mean, std, median, mad) of links with more than ``min_n`` samples; null values are left out.
+
+    The median, and that of the distances from it, are exact, and no link's samples are in one place.
+    """
+    link = ["ip1", "ip2"]
+    moments = written(samples.groupBy(*link).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).where(F.col("n") > min_n), "moments")
+    own = samples.where(F.col(value).isNotNull()).select(*link, F.col(value).alias("_v")).join(moments.select(*link), link, "left_semi")
+    middle = written(medians(own, link, "_v", moments).select(*link, "median"), "medians")
+    off = own.join(middle, link).select(*link, F.abs(F.col("_v") - F.col("median")).alias("_off"))
+    mad = medians(off, link, "_off", moments).select(*link, F.col("median").alias("mad"))
+    return moments.join(middle, link).join(mad, link)
 
 
 def histogram(values: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Callable
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwatch.session import ship_code
+from pathwatch.session import ship_code, written
 
 
 def wilson_half_width(n: Column, confidence: float = 0.05) -> Column:
@@ -20,19 +21,77 @@ def wilson_half_width(n: Column, confidence: float = 0.05) -> Column:
     return F.lit(z) / (2 * F.sqrt(n + z * z))
 
 
-def median_ci(samples: DataFrame, keys: list[str], value: str, confidence: float = 0.05) -> DataFrame:
-    """(*keys, n, median, lo, hi): order statistics at the Wilson bounds of the median.
+#: Rows of a group up to which they are sorted in one task; larger groups are narrowed down to it first.
+LARGE = 100_000
+#: Ranges into which a large group's values are cut at once.
+CELLS = 1024
 
-    The needed ranks are picked from a window that is sorted within its key, so a very large group spills to disk
-    instead of being held in one array; the sum per key needs no further exchange. Null values are left out.
+
+def order_statistics(samples: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], sizes: DataFrame | None = None, large: int = LARGE) -> DataFrame:
+    """(*keys, n, *ranks): of each group the values at the given ranks (functions of n, from 1). Exact; null values are left out.
+
+    Groups of up to ``large`` rows are sorted, in a window that can spill. Larger ones, however hot, never meet in one
+    task: their values are counted by ranges, and only the ranges in which a wanted rank lies are looked into further.
+    ``sizes``: (*keys, n) of the groups, if they are known; groups without a row in it must be no larger than ``large``.
     """
+    x = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    known = x.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes.select(*keys, "n")
+    hot = written(known.where(F.col("n") > large), "hot_groups")
+    some = not hot.isEmpty()
     w = Window.partitionBy(*keys)
-    r = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"), F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    half = wilson_half_width(F.col("_n"), confidence)
-    at = lambda p: F.floor(F.col("_n") * p).cast("int") + 1
-    pick = lambda rank: F.max(F.when(F.col("_r") == rank, F.col("_x")))
-    mid = (pick(F.floor((F.col("_n") + 1) / 2)) + pick(F.floor(F.col("_n") / 2) + 1)) / 2
-    return r.groupBy(*keys).agg(F.max("_n").alias("n"), mid.alias("median"), pick(at(0.5 - half)).alias("lo"), pick(at(0.5 + half)).alias("hi"))
+    small = x.join(hot, keys, "left_anti") if some else x
+    r = small.select(*keys, "_x", F.row_number().over(w.orderBy("_x")).alias("_r"), F.count("*").over(w).alias("_n"))
+    out = r.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_r") == f(F.col("_n")), F.col("_x"))).alias(k) for k, f in ranks.items()])
+    return out.unionByName(_narrowed(x, hot, keys, ranks, large)) if some else out
+
+
+def _narrowed(x: DataFrame, hot: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], large: int) -> DataFrame:
+    """``order_statistics`` of large groups.
+
+    In each round the rows that are left are cut into ranges between the least and the greatest of their part, and
+    counted with partial aggregation. A part stays open if a wanted rank lies in it, so a group has at most as many as
+    ranks; it is done when it holds one value only, or few enough rows to be sorted. At least the ends of a part are
+    told apart, so it shrinks in every round.
+    """
+    want = F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("rank")) for k, f in ranks.items()])
+    rows = written(x.join(hot.select(*keys), keys, "left_semi").withColumn("_c", F.lit(1)), "hot_rows")
+    bounds = rows.groupBy(*keys).agg(F.min("_x").alias("low"), F.max("_x").alias("high"))
+    parts = written(hot.join(bounds, keys).select(*keys, F.lit(1).alias("_c"), "low", "high", F.lit(0).cast("long").alias("before"), want.alias("want")), "parts")
+    found, part = [], [*keys, "_c"]
+    while not parts.isEmpty():
+        place = F.floor((F.col("_x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * CELLS)
+        cut = rows.join(parts.select(*part, "low", "high"), part).select(*part, "_x", F.when(F.col("high") > F.col("low"), F.least(place, F.lit(CELLS - 1))).otherwise(0).cast("int").alias("_d"))
+        counted = cut.groupBy(*part, "_d").agg(F.count("*").alias("c"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy(*part).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
+        placed = counted.withColumn("upto", upto).join(parts.select(*part, "before", "want"), part).withColumn("first", F.col("before") + F.col("upto") - F.col("c"))
+        inside = placed.withColumn("want", F.filter("want", lambda r: (r["rank"] > F.col("first")) & (r["rank"] <= F.col("first") + F.col("c")))).where(F.size("want") > 0)
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("_c", "_d"))
+        chosen = written(inside.select(*part, "_d", number.alias("_e"), "c", "low", "high", F.col("first").alias("before"), "want"), "chosen")
+        found.append(chosen.where("low = high").select(*keys, F.explode("want").alias("w"), F.col("low").alias("_x")).select(*keys, "w.name", "_x"))
+        left = chosen.where("low < high")
+        rows = written(cut.join(left.select(*part, "_d", "_e"), [*part, "_d"]).select(*keys, F.col("_e").alias("_c"), "_x"), "hot_rows")
+        few = left.where(F.col("c") <= large).select(*keys, F.col("_e").alias("_c"), "before", "want")
+        at = rows.join(few, part).withColumn("_r", F.col("before") + F.row_number().over(Window.partitionBy(*part).orderBy("_x")))
+        found.append(at.select(*keys, "_x", F.explode(F.filter("want", lambda r: r["rank"] == F.col("_r"))).alias("w")).select(*keys, "w.name", "_x"))
+        parts = written(left.where(F.col("c") > large).select(*keys, F.col("_e").alias("_c"), "low", "high", "before", "want"), "parts")
+    values = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("_x"))).alias(k) for k in ranks])
+    return hot.join(values, keys).select(*keys, "n", *ranks)
+
+
+#: The two ranks between which the median lies.
+MIDDLE = {"_m1": lambda n: F.floor((n + 1) / 2), "_m2": lambda n: F.floor(n / 2) + 1}
+
+
+def medians(samples: DataFrame, keys: list[str], value: str, sizes: DataFrame | None = None, large: int = LARGE) -> DataFrame:
+    """(*keys, n, median) of the values that are not null."""
+    return order_statistics(samples, keys, value, MIDDLE, sizes, large).select(*keys, "n", ((F.col("_m1") + F.col("_m2")) / 2).alias("median"))
+
+
+def median_ci(samples: DataFrame, keys: list[str], value: str, confidence: float = 0.05, sizes: DataFrame | None = None, large: int = LARGE) -> DataFrame:
+    """(*keys, n, median, lo, hi): order statistics at the Wilson bounds of the median; see ``order_statistics``."""
+    at = lambda sign: lambda n: F.floor(n * (0.5 + sign * wilson_half_width(n, confidence))).cast("int") + 1
+    found = order_statistics(samples, keys, value, MIDDLE | {"lo": at(-1), "hi": at(1)}, sizes, large)
+    return found.select(*keys, "n", ((F.col("_m1") + F.col("_m2")) / 2).alias("median"), "lo", "hi")
 
 
 def asn_entropy(samples: DataFrame, keys: list[str], asn: str = "asn") -> DataFrame:
@@ -44,23 +103,37 @@ def trim_counts(counts: list[int], min_asn: int, min_entropy: float) -> list[int
     """How many samples of each network are kept, or None if the group isn't diverse enough.
 
     While the entropy is too low and there are more than ``min_asn`` networks, one sample of the most frequent network
-    goes (ties: the first). Works on counts alone, with the sum of c ln c kept up to date.
+    goes (ties: the first). That lowers the greatest counts to a common level, and the entropy only rises on the way, so
+    the level is found by bisection, and then how many of those at it are one below: the time does not depend on the counts.
     """
-    c = list(counts)
-    n, s, k = sum(c), sum(v * math.log(v) for v in c), len(c)
-    heap = [(-v, i) for i, v in enumerate(c)]
-    heapq.heapify(heap)
-    entropy = lambda: (math.log(n) - s / n) / math.log(k) if k > 1 and n else float("nan")
-    while k > min_asn and entropy() < min_entropy:
-        v, i = heapq.heappop(heap)
-        v = -v
-        n, s = n - 1, s - v * math.log(v) + ((v - 1) * math.log(v - 1) if v > 1 else 0)
-        c[i] = v - 1
-        if v > 1:
-            heapq.heappush(heap, (1 - v, i))
-        else:
-            k -= 1
-    return None if k < min_asn or not entropy() >= min_entropy else c
+    c, k = np.asarray(counts, dtype=np.int64), len(counts)
+
+    def diverse(v: np.ndarray) -> bool:
+        n = int(v.sum())
+        return k > 1 and n > 0 and (math.log(n) - float((v * np.log(np.maximum(v, 1))).sum()) / n) / math.log(k) >= min_entropy
+
+    def least(low: int, high: int, holds) -> int:
+        """The least number from low + 1 to high that holds; ``high`` does, and all above one that does."""
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if holds(middle) else (middle, high)
+        return high
+
+    if k < min_asn or diverse(c) or k == min_asn:
+        return c.tolist() if k >= min_asn and diverse(c) else None
+    top = int(c.max())
+    if not diverse(np.minimum(c, 1)):
+        return None
+    cut = least(0, top - 1, lambda down: diverse(np.minimum(c, top - down)))
+    level = np.minimum(c, top - cut + 1)
+    highest = np.flatnonzero(level == top - cut + 1)
+
+    def lowered(m: int) -> np.ndarray:
+        v = level.copy()
+        v[highest[:m]] -= 1
+        return v
+
+    return lowered(least(0, len(highest), lambda m: diverse(lowered(m)))).tolist()
 
 
 def entropy_of(counts: DataFrame, keys: list[str], count: str = "c") -> DataFrame:
@@ -126,27 +199,19 @@ def mad_of(values: Column, center: Column) -> Column:
     return median_of(F.transform(values, lambda x: F.abs(x - center)))
 
 
+# Royston's polynomials (AS R94), highest power first; the last coefficient of the first two is the score's own.
+END = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
+NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
+
+
 def shapiro_wilk(x: np.ndarray) -> float:
-    """p value of the Shapiro-Wilk test by Royston's approximation (AS R94); NaN under four values or without spread."""
+    """p value of the Shapiro-Wilk test by Royston's approximation; NaN under four values or without spread."""
     x = np.sort(np.asarray(x, dtype=float))
     n = len(x)
-    if n < 4 or x[0] == x[-1]:
+    if n < 4:
         return float("nan")
-    nd = NormalDist()
-    m = np.array([nd.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ss, u = float(m @ m), 1 / math.sqrt(n)
-    an = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / math.sqrt(ss)], u)
-    a = m / math.sqrt(ss)
-    if n > 5:
-        an1 = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(ss)], u)
-        phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * an**2 - 2 * an1**2)
-        a = m / math.sqrt(phi)
-        a[-2], a[1] = an1, -an1
-    else:
-        a = m / math.sqrt((ss - 2 * m[-1] ** 2) / (1 - 2 * an**2))
-    a[-1], a[0] = an, -an
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
-    return _shapiro_p(w, n)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    return shapiro_of_sums(n, float(m @ (x - x.mean())), float(m @ m), float(((x - x.mean()) ** 2).sum()), x[0], x[1], x[-2], x[-1])
 
 
 def _shapiro_p(w: float, n: int) -> float:
@@ -180,10 +245,10 @@ def shapiro_of_sums(n: int, mx: float, ss: float, spread: float, first: float, s
         return float("nan")
     inv, u = NormalDist().inv_cdf, 1 / math.sqrt(n)
     top, next_ = inv((n - 0.375) / (n + 0.25)), inv((n - 1.375) / (n + 0.25))
-    an = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, top / math.sqrt(ss)], u))
+    an = float(np.polyval([*END, top / math.sqrt(ss)], u))
     rest = mx - top * (last - first)
     if n > 5:
-        an1 = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, next_ / math.sqrt(ss)], u))
+        an1 = float(np.polyval([*NEXT, next_ / math.sqrt(ss)], u))
         phi = (ss - 2 * top**2 - 2 * next_**2) / (1 - 2 * an**2 - 2 * an1**2)
         ax = (rest - next_ * (before - second)) / math.sqrt(phi) + an1 * (before - second)
     else:
