@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwatch.functions.addresses import with_asn
-from pathwatch.functions.expand import differential_rtts
-from pathwatch.operators.statistics import entropy_of, median_ci, trim_plan, trimmed_samples
+from pathwatch.functions.expand import differential_rtts, median_of
+from pathwatch.operators.folds import running, smoothed
+from pathwatch.operators.statistics import LARGE, entropy_of, median_ci, trim_plan, trimmed_samples
 from pathwatch.schema import DELAY_REFERENCE, Params
 from pathwatch.session import ship_code, written
 
@@ -163,26 +164,97 @@ def _fold(p: Params):
     return run
 
 
-def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params, changes: bool = False) -> tuple[DataFrame, DataFrame]:
+BOOT = "array<struct<med:double,hi:double,lo:double>>"
+
+
+def reference_steps(stats: DataFrame, ref0: DataFrame, p: Params, large: int = LARGE) -> DataFrame:
+    """Each bin of a link with the reference before it (ref, ref_low, ref_high) and after it (mean, low, high).
+
+    A link's bins are numbered in order (i), and fall into segments (seg) where it was not seen for too long and begins
+    anew; the first segment goes on from ``ref0``. seen: bins before this one. The reference is the median of a segment's
+    first ``min_seen`` bins (boot: those of them that are there), then an exponential average, see ``smoothed``.
+    """
+    link, seg = ["ip1", "ip2"], ["ip1", "ip2", "seg"]
+    old = ref0.select(*link, F.col("mean").alias("m0"), F.col("high").alias("h0"), F.col("low").alias("l0"), F.col("boot").alias("boot0"), F.col("first_seen").alias("first0"), F.col("last_seen").alias("last0"),
+                      F.col("nb_seen").alias("seen0"), F.col("nb_reported").alias("told0"), F.col("nb_trimmed").alias("cut0"))
+    x = running(stats.select(*LINK, "n", "median", "lo", "hi", F.col("trimmed").cast("long").alias("cut")), link, "time_bin", F.lit(1), large).withColumn("i", F.col("run") - 1).drop("run").join(old, link, "left")
+    if p.expire_days is None:
+        x = x.withColumns({"seg": F.lit(0).cast("long"), "j": F.col("i")})
+    else:
+        before = x.select(*link, (F.col("i") + 1).alias("i"), F.col("time_bin").alias("prev"))
+        gap = F.col("time_bin") - p.window - F.coalesce("prev", "last0") > p.expire_days * 86400
+        x = x.join(before, [*link, "i"], "left").withColumn("anew", F.coalesce(gap, F.lit(False)).cast("long")).drop("prev")
+        x = running(x, link, "time_bin", F.col("anew"), large).withColumnRenamed("run", "seg").drop("anew")
+        x = x.join(x.groupBy(*seg).agg(F.min("i").alias("i0")), seg).withColumn("j", F.col("i") - F.col("i0")).drop("i0")
+    goes_on = (F.col("seg") == 0) & F.col("seen0").isNotNull()
+    x = x.withColumns({c: F.when(goes_on, F.col(c)) for c in ("m0", "h0", "l0", "boot0", "first0", "seen0", "told0", "cut0")})
+    x = x.withColumns({"at": F.greatest(F.lit(0), F.lit(p.min_seen - 1) - F.coalesce("seen0", F.lit(0))), "seen": F.coalesce("seen0", F.lit(0)) + F.col("j")})
+    x = written(x, "numbered_bins")
+    # at most min_seen bins of a segment
+    boot = x.where(F.col("m0").isNull() & (F.col("j") <= F.col("at"))).groupBy(*seg).agg(
+        F.array_sort(F.collect_list(F.struct("j", F.col("median").alias("med"), "hi", "lo"))).alias("rows"), F.first("boot0").alias("boot0"), F.first("at").alias("at"))
+    rows = F.concat(F.coalesce("boot0", F.array().cast(BOOT)), F.transform("rows", lambda r: F.struct(r["med"].alias("med"), r["hi"].alias("hi"), r["lo"].alias("lo"))).cast(BOOT))
+    full = F.size("rows") > F.col("at")
+    base = lambda c: F.when(full, median_of(F.transform("all", lambda r: r[c])))
+    boot = boot.withColumn("all", rows).select(*seg, F.when(~full, F.col("all")).alias("boot"), base("med").alias("b_med"), base("hi").alias("b_hi"), base("lo").alias("b_lo"))
+    x = x.drop("boot0").join(boot, seg, "left").withColumn("k", F.when(F.col("m0").isNotNull(), F.col("j") + 1).otherwise(F.col("j") - F.col("at")))
+    x = x.withColumns({"s_med": F.coalesce("m0", "b_med"), "s_hi": F.coalesce("h0", "b_hi"), "s_lo": F.coalesce("l0", "b_lo")})
+    names = {"ref": "med_before", "ref_high": "hi_before", "ref_low": "lo_before", "mean": "med_after", "high": "hi_after", "low": "lo_after"}
+    kept = [*seg, "time_bin", "n", "median", "lo", "hi", "cut", "j", "seen", "first0", "told0", "cut0", "boot"]
+    later = smoothed(x.where("k >= 1"), seg, "k", {"med": ("median", "s_med"), "hi": ("hi", "s_hi"), "lo": ("lo", "s_lo")}, p.alpha).select(*kept, *[F.col(v).alias(c) for c, v in names.items()])
+    none = F.lit(None).cast("double")
+    made = lambda c: F.when(F.col("k") == 0, F.col(c))
+    early = x.where("k <= 0").select(*kept, none.alias("ref"), none.alias("ref_high"), none.alias("ref_low"), made("b_med").alias("mean"), made("b_hi").alias("high"), made("b_lo").alias("low"))
+    return early.unionByName(later)
+
+
+def _composed(stats: DataFrame, ref0: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Alarms and references of links with very many bins, by ``reference_steps``: no task sees all bins of a link."""
+    link, seg = ["ip1", "ip2"], ["ip1", "ip2", "seg"]
+    off = deviation_columns(*map(F.col, ("median", "lo", "hi", "ref", "ref_low", "ref_high")))
+    steps = reference_steps(stats, ref0, p).withColumns({c: F.when(F.col("seen") >= p.min_seen, v) for c, v in off.items()}).withColumn("alarm", F.coalesce("alarm", F.lit(False)))
+    steps = written(steps, "delay_steps")
+    ends = steps.groupBy(*seg).agg(
+        F.max_by(F.struct("mean", "high", "low", "boot", "seen"), "j").alias("e"), F.coalesce(F.first("first0"), F.min("time_bin")).alias("first_seen"), F.max("time_bin").alias("last_seen"),
+        (F.coalesce(F.first("told0"), F.lit(0)) + F.count_if("alarm")).alias("told"), (F.coalesce(F.first("cut0"), F.lit(0)) + F.sum("cut")).alias("cut"))
+    last = ends.groupBy(*link).agg(F.max_by(F.struct("e", "first_seen", "last_seen", "told", "cut"), "seg").alias("r"))
+    ref = last.select(*link, "r.e.mean", "r.e.high", "r.e.low", F.when(F.col("r.e.mean").isNull(), F.col("r.e.boot")).otherwise(F.array().cast(BOOT)).alias("boot"), "r.first_seen", "r.last_seen",
+                      (F.col("r.e.seen") + 1).cast("int").alias("nb_seen"), F.col("r.told").cast("int").alias("nb_reported"), F.col("r.cut").cast("int").alias("nb_trimmed"))
+    ref = ref.select(*[c.name for c in ref0.schema])
+    nth = F.coalesce("told0", F.lit(0)) + F.row_number().over(Window.partitionBy(*seg).orderBy("time_bin"))
+    return steps.where("alarm").select(*LINK, "n", "median", "lo", "hi", "ref", "ref_low", "ref_high", F.col("seen").cast("int").alias("nb_seen"), "alarm", "diff", "diff_med", "deviation", "dev_bound", nth.cast("int").alias("nb_reported")), ref
+
+
+def _folded(stats: DataFrame, ref0: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Alarms and references by stepping through a link's bins, a row each."""
+    ship_code(stats.sparkSession)
+    steps = stats.groupBy("ip1", "ip2").cogroup(ref0.groupBy("ip1", "ip2")).applyInPandas(_fold(p), STEP)
+    steps = written(steps, "delay_steps")
+    ref = steps.where("is_last").withColumn("nb_seen", (F.col("nb_seen") + 1).cast("int")).select(*[c.name for c in ref0.schema])
+    return steps.where("alarm").drop("mean", "low", "high", "boot", "first_seen", "last_seen", "nb_trimmed", "is_last"), ref
+
+
+def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params, changes: bool = False, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Alarms, and the reference after the last bin (``changes``: only of the links that were seen).
 
-    A link's bins are folded in order: a bin is compared with the reference as it was before (once that has seen
+    A link's bins are taken in order: a bin is compared with the reference as it was before (once that has seen
     ``min_seen`` bins), which then takes it in, first as a median of ``min_seen`` bins, then as an exponential average.
-    A task holds the bins of one link, a row each, never its samples. References of links not seen stay as they are.
-    Alarms keep the other columns of their bin's statistics.
+    Links of up to ``large`` bins are stepped through, so that windows analysed one by one or together give the same to
+    the last bit; those with more are cut into blocks whose maps are composed, which agrees up to rounding.
+    References of links not seen stay as they are. Alarms keep the other columns of their bin's statistics.
     """
-    spark = stats.sparkSession
-    ship_code(spark)
+    spark, link = stats.sparkSession, ["ip1", "ip2"]
     ref0 = spark.createDataFrame([], DELAY_REFERENCE) if ref0 is None else ref0
-    cols = ["time_bin", "ip1", "ip2", "n", "median", "lo", "hi"]
     trimmed = F.col("trimmed") if "trimmed" in stats.columns else F.lit(False)
-    steps = stats.select(*cols, trimmed.alias("trimmed")).groupBy("ip1", "ip2").cogroup(ref0.groupBy("ip1", "ip2")).applyInPandas(_fold(p), STEP)
-    steps = written(steps, "delay_steps")
-    names = [c.name for c in ref0.schema]
-    ref = steps.where("is_last").withColumn("nb_seen", (F.col("nb_seen") + 1).cast("int")).select(*names)
+    own = stats.select(*LINK, "n", "median", "lo", "hi", trimmed.alias("trimmed"))
+    long_ = written(own.groupBy(*link).agg(F.count("*").alias("_n")).where(F.col("_n") > large).select(*link), "long_links")
+    if long_.isEmpty():
+        told, ref = _folded(own, ref0, p)
+    else:
+        few, many = (_folded(*(t.join(long_, link, "left_anti") for t in (own, ref0)), p), _composed(*(t.join(long_, link, "left_semi") for t in (own, ref0)), p))
+        told, ref = few[0].unionByName(many[0]), few[1].unionByName(many[1])
     if not changes:
-        ref = ref.unionByName(ref0.join(ref.select("ip1", "ip2"), ["ip1", "ip2"], "left_anti").select(*names))
-    told = steps.where("alarm").drop("mean", "low", "high", "boot", "first_seen", "last_seen", "nb_trimmed", "is_last")
+        ref = ref.unionByName(ref0.join(ref.select(*link), link, "left_anti").select(*ref.columns))
     more = [c for c in ("n_asn", "entropy", "asns", "nb_probes", "trimmed") if c in stats.columns]
     return (told.join(stats.select(*LINK, *more), LINK) if more else told), ref
 
@@ -199,21 +271,17 @@ def link_history(samples: DataFrame, p: Params, boot: int = 24, least: int = 20,
     a bin is an alarm if its interval is disjoint from the band that already holds it and its median is off by more
     than ``gap``. The bin at which the reference is made is no alarm.
     """
-    ship_code(samples.sparkSession)
-    big = samples.groupBy("ip1", "ip2").agg(F.count("*").alias("_n")).where(F.col("_n") > least).drop("_n")
-    stats = median_ci(samples, LINK, "rtt_diff", p.confidence).where(F.col("n") >= least_bin).join(big, ["ip1", "ip2"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_bin").reset_index(drop=True)
-        x = pdf[["median", "lo", "hi"]].to_numpy()
-        band = np.full_like(x, np.nan)
-        alarm = np.zeros(len(x), dtype=bool)
-        for i in range(len(x)):
-            if i == boot:
-                band[: i + 1] = np.median(x[:boot], axis=0)
-            elif i > boot:
-                band[i] = (1 - p.alpha) * band[i - 1] + p.alpha * x[i]
-                alarm[i] = (x[i, 1] > band[i, 2] or x[i, 2] < band[i, 1]) and abs(x[i, 0] - band[i, 0]) > gap
-        return pdf[["ip1", "ip2", "time_bin", "n", "median"]].assign(smooth=band[:, 0], smooth_lo=band[:, 1], smooth_hi=band[:, 2], alarm=alarm)
-
-    return stats.groupBy("ip1", "ip2").applyInPandas(run, "ip1 string, ip2 string, time_bin long, n long, median double, smooth double, smooth_lo double, smooth_hi double, alarm boolean")
+    link = ["ip1", "ip2"]
+    big = samples.groupBy(*link).agg(F.count("*").alias("_n")).where(F.col("_n") > least).drop("_n")
+    stats = median_ci(samples, LINK, "rtt_diff", p.confidence).where(F.col("n") >= least_bin).join(big, link)
+    x = written(running(stats, link, "time_bin", F.lit(1)).withColumn("k", F.col("run") - 1 - boot).drop("run"), "link_bins")
+    middle = lambda c: median_of(F.transform("rows", lambda r: r[c]))
+    # the first ``boot`` bins of a link with more of them
+    base = x.where("k < 0").groupBy(*link).agg(F.collect_list(F.struct("median", "lo", "hi")).alias("rows")).join(x.where("k = 0").select(*link), link).select(*link, *[middle(c).alias(f"b_{c}") for c in ("median", "lo", "hi")])
+    x = x.join(base, link, "left")
+    later = smoothed(x.where("k > 0"), link, "k", {c: (c, f"b_{c}") for c in ("median", "lo", "hi")}, p.alpha)
+    band = {"smooth": "median", "smooth_lo": "lo", "smooth_hi": "hi"}
+    off = ((F.col("lo") > F.col("smooth_hi")) | (F.col("hi") < F.col("smooth_lo"))) & (F.abs(F.col("median") - F.col("smooth")) > gap)
+    out = x.where("k <= 0").withColumns({k: F.col(f"b_{c}") for k, c in band.items()}).withColumn("alarm", F.lit(False))
+    out = out.unionByName(later.withColumns({k: F.col(f"{c}_after") for k, c in band.items()}).withColumn("alarm", off), allowMissingColumns=True)
+    return out.select(*link, "time_bin", "n", "median", *band, "alarm")
