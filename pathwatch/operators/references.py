@@ -105,6 +105,12 @@ def normality(samples: DataFrame, min_n: int = 96, value: str = "rtt_diff") -> D
     return sums.select(*link, "n", F.pandas_udf(p, "double")("n", "mx", "ss", "spread", "first", "second", "before", "last").alias("p"))
 
 
+def normality_and_samples(stats: DataFrame, min_n: int = 40, value: str = "median") -> DataFrame:
+    """(ip1, ip2, n, p, mean_samples): normality of the bins' values of links with more than ``min_n`` bins, beside their mean number of samples."""
+    samples = stats.groupBy("ip1", "ip2").agg(F.avg("n").alias("mean_samples"))
+    return normality(stats.select("ip1", "ip2", value), min_n, value).join(samples, ["ip1", "ip2"])
+
+
 def running_sum(df: DataFrame, order: str, weight: Column, series: list[str]) -> DataFrame:
     """``df`` with ``run`` and ``total``: the sum of the weights up to each row, in order, and of all, in each series.
 

@@ -202,6 +202,8 @@ def mad_of(values: Column, center: Column) -> Column:
 # Royston's polynomials (AS R94), highest power first; the last coefficient of the first two is the score's own.
 END = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
 NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
+# Mean and log deviation of log(1 - W) from 12 values on, in log n.
+CENTER, WIDTH = (0.0038915, -0.083751, -0.31082, -1.5861), (0.0030302, -0.082676, -0.4803)
 
 
 def shapiro_wilk(x: np.ndarray) -> float:
@@ -221,7 +223,7 @@ def _shapiro_p(w: float, n: int) -> float:
         z = (-math.log(g - math.log(1 - w)) - mu) / sigma if w < 1 else -10.0
     else:
         k = math.log(n)
-        mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
+        mu, sigma = np.polyval(CENTER, k), math.exp(np.polyval(WIDTH, k))
         z = (math.log(1 - w) - mu) / sigma if w < 1 else -10.0
     return 1 - nd.cdf(z)
 

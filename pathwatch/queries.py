@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,7 +280,34 @@ add("link_distribution_stats", lambda s, d: references.link_distribution_stats(s
     f"WITH {SAMPLES}, m AS (SELECT *, median(d) OVER (PARTITION BY ip1, ip2) AS m FROM s) SELECT ip1, ip2, count(*) AS n, avg(d) AS mean, stddev_pop(d) AS std, any_value(m) AS median, median(abs(d - m)) AS mad FROM m GROUP BY ip1, ip2 HAVING count(*) > 48", "mean std median mad")
 add("sample_count_histogram", lambda s, d: references.histogram(samples(s, d).groupBy("ip1", "ip2").agg(F.count("*").alias("n")), "n", 50, 0, 8000),
     f"WITH {SAMPLES} SELECT least(floor(n / 160.0), 49)::INT AS bin, count(*) AS n FROM (SELECT count(*) AS n FROM s GROUP BY ip1, ip2) WHERE n <= 8000 GROUP BY 1")
-add("normality", lambda s, d: references.normality(samples(s, d)))
+# The normal distribution's quantiles by AS 241 (numerator, denominator; highest power first), near the middle and in the tails.
+QUANTILE = [
+    (["2.5090809287301226727e3", "3.3430575583588128105e4", "6.7265770927008700853e4", "4.5921953931549871457e4", "1.3731693765509461125e4", "1.9715909503065514427e3", "1.3314166789178437745e2", "3.3871328727963666080e0"],
+     ["5.2264952788528545610e3", "2.8729085735721942674e4", "3.9307895800092710610e4", "2.1213794301586595867e4", "5.3941960214247511077e3", "6.8718700749205790830e2", "4.2313330701600911252e1", "1.0"]),
+    (["7.7454501427834140764e-4", "2.27238449892691845833e-2", "2.41780725177450611770e-1", "1.27045825245236838258e0", "3.64784832476320460504e0", "5.76949722146069140550e0", "4.63033784615654529590e0", "1.42343711074968357734e0"],
+     ["1.05075007164441684324e-9", "5.47593808499534494600e-4", "1.51986665636164571966e-2", "1.48103976427480074590e-1", "6.89767334985100004550e-1", "1.67638483018380384940e0", "2.05319162663775882187e0", "1.0"])]
+
+
+def normality_sql(samples: str, value: str, min_n: int) -> str:
+    """CTEs up to ``np`` (ip1, ip2, n, p): Shapiro-Wilk of each link's values, every sample ranked."""
+    horner = lambda c, x: reduce(lambda a, b: f"({a}) * {x} + {b}", c)
+    ratio = lambda k, x: f"({horner(QUANTILE[k][0], x)}) / ({horner(QUANTILE[k][1], x)})"
+    poly = lambda c, x: horner(list(map(repr, c)), x)
+    score = lambda p: f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(0, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} ELSE sign({p} - 0.5) * {ratio(1, f'(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)')} END)"
+    above = "list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"""n0 AS (SELECT ip1, ip2, {value} AS x, row_number() OVER (PARTITION BY ip1, ip2 ORDER BY {value}) AS i, count(*) OVER l AS n, avg({value}) OVER l AS mean FROM {samples} WINDOW l AS (PARTITION BY ip1, ip2)),
+    n1 AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS pr FROM n0 WHERE n > {min_n}), n2 AS (SELECT *, {score('pr')} AS m FROM n1),
+    n3 AS (SELECT ip1, ip2, n, sum(m * (x - mean)) AS mx, sum(m * m) AS ss, sum((x - mean) * (x - mean)) AS spread, min(x) AS a1, max(CASE WHEN i = 2 THEN x END) AS a2, max(CASE WHEN i = n - 1 THEN x END) AS b2, max(x) AS b1, max(m) AS t1, max(CASE WHEN i = n - 1 THEN m END) AS t2, 1 / sqrt(n) AS u FROM n2 GROUP BY ip1, ip2, n),
+    n4 AS (SELECT *, {poly(statistics.END, 'u')} AS e0, {poly(statistics.NEXT, 'u')} AS e1 FROM n3), n5 AS (SELECT *, e0 * u + t1 / sqrt(ss) AS an, e1 * u + t2 / sqrt(ss) AS an1 FROM n4),
+    n6 AS (SELECT *, (ss - 2 * t1 * t1 - 2 * t2 * t2) / (1 - 2 * an * an - 2 * an1 * an1) AS phi FROM n5),
+    n7 AS (SELECT ip1, ip2, n, CASE WHEN a1 < b1 THEN least(1, power((mx - t1 * (b1 - a1) - t2 * (b2 - a2)) / sqrt(phi) + an1 * (b2 - a2) + an * (b1 - a1), 2) / spread) END AS w FROM n6),
+    n8 AS (SELECT *, CASE WHEN w < 1 THEN (ln(1 - w) - ({poly(statistics.CENTER, 'ln(n)')})) / exp({poly(statistics.WIDTH, 'ln(n)')}) ELSE -10 END AS z FROM n7),
+    np AS (SELECT ip1, ip2, n, CASE WHEN w IS NOT NULL THEN CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 0 ELSE 1 END ELSE 0.5 - sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * {above} END END AS p FROM n8)"""
+
+
+add("normality", lambda s, d: references.normality(samples(s, d)), f"WITH {SAMPLES}, {normality_sql('s', 'd', 96)} SELECT * FROM np", "p")
+add("normality_and_samples", lambda s, d: references.normality_and_samples(stats(s, d), 20),
+    f"WITH {STATS}, {normality_sql('st', 'median', 20)} SELECT np.*, mean_samples FROM np JOIN (SELECT ip1, ip2, avg(n) AS mean_samples FROM st GROUP BY ALL) USING (ip1, ip2)", "p mean_samples")
 add("ecdf", lambda s, d: references.ecdf(reference(s, d).withColumn("told", F.col("nb_reported") > 0), "mean", ["told"]),
     f"WITH {REF} SELECT nb_reported > 0 AS told, mean AS value, (row_number() OVER (PARTITION BY nb_reported > 0 ORDER BY mean) - 1) / count(*) OVER (PARTITION BY nb_reported > 0) AS y FROM ref", "value y")
 _sum = lambda e, n: f"avg({e}) AS {n}_mean, stddev_pop({e}) AS {n}_std, min({e}) AS {n}_min, max({e}) AS {n}_max, median({e}) AS {n}_median"
