@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import bisect
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pathwatch.functions.addresses import prefix24, with_asn
 from pathwatch.functions.expand import median_of
 from pathwatch.operators.statistics import mad_of
+from pathwatch.session import ship_code
 
 HOUR = 3600
 
@@ -24,10 +30,37 @@ def hourly_grid(df: DataFrame, value: str, start: int, end: int, asn: str = "asn
     return grid.join(sums, ["asn", "time_bin"], "left").select("asn", "time_bin", F.coalesce("_v", F.lit(0.0)).alias("value"))
 
 
-def _magnitude(value: Column, frame, mad: str) -> Column:
-    median = F.percentile(value, F.lit(0.5)).over(frame)
-    spread = F.lit(0.0) if mad == "notnull" else mad_of(F.collect_list(value).over(frame), median)
-    return (value - median) / (1 + F.lit(1.4826) * spread)
+def _nearest(w: list[float], center: float, k: int) -> float:
+    """The k-th smallest (from 0) distance from ``center`` in a sorted list, by bisection between its two sides."""
+    left = bisect.bisect_left(w, center)
+    below, above = lambda i: center - w[left - 1 - i], lambda i: w[left + i] - center
+    low, high = max(0, k + 1 - (len(w) - left)), min(k + 1, left)
+    while low < high:
+        i = (low + high) // 2
+        low, high = (i + 1, high) if above(k - i) > below(i) else (low, i)
+    return max(below(low - 1) if low else 0.0, above(k - low) if low <= k else 0.0)
+
+
+def sliding_magnitude(values: np.ndarray, rows: int, min_periods: int = 1, true_mad: bool = True) -> np.ndarray:
+    """Each value's distance from the median of the last ``rows``, over 1 + 1.4826 MAD; NaN where too few are there.
+
+    The frame is kept sorted: a row takes one value in and one out, and both medians are looked up in it, so the cost of
+    a row hardly depends on the length of the frame. NaN values are left out.
+    """
+    w: list[float] = []
+    out = np.full(len(values), np.nan)
+    x = values.tolist()
+    for i, v in enumerate(x):
+        if v == v:
+            bisect.insort(w, v)
+        if i >= rows and x[i - rows] == x[i - rows]:
+            del w[bisect.bisect_left(w, x[i - rows])]
+        n = len(w)
+        if n and n >= min_periods:
+            median = (w[(n - 1) // 2] + w[n // 2]) / 2
+            mad = (_nearest(w, median, (n - 1) // 2) + _nearest(w, median, n // 2)) / 2 if true_mad else 0.0
+            out[i] = (v - median) / (1 + 1.4826 * mad)
+    return out
 
 
 def rolling_magnitude(series: DataFrame, history: int = 168, min_periods: int = 1, by: str | None = "asn", mad: str = "values", rows: int | None = None) -> DataFrame:
@@ -35,11 +68,19 @@ def rolling_magnitude(series: DataFrame, history: int = 168, min_periods: int =
 
     Null while a row has fewer than ``min_periods`` rows in its frame. mad="notnull" takes the deviation of which values
     are present instead of the values', which is 0 on a full grid. by=None: one overall series, a row for each hour.
+    A task holds one network's series, a number for each hour.
     """
-    w = Window.partitionBy(*([by] if by else [])).orderBy("time_bin")
-    frame = w.rowsBetween(-((rows or history) - 1), 0)
-    m = _magnitude(F.col("value"), frame, mad)
-    return series.withColumn("magnitude", F.when(F.count("value").over(frame) >= min_periods, m))
+    ship_code(series.sparkSession)
+    length, true_mad = rows or history, mad != "notnull"
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("time_bin")
+        x = t["value"].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        made = sliding_magnitude(np.where([v is None for v in t["value"].to_pylist()], np.nan, x) if t["value"].null_count else x, length, min_periods, true_mad)
+        return t.append_column("magnitude", pa.array(made, from_pandas=True))
+
+    schema = StructType([*series.schema.fields, StructField("magnitude", DoubleType())])
+    return series.groupBy(*([by] if by else [])).applyInArrow(run, schema)
 
 
 def as_magnitude(series: DataFrame, history: int = 168, mad: str = "values") -> DataFrame:

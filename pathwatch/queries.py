@@ -504,6 +504,18 @@ def late_traceroutes(s: SparkSession, d: str) -> DataFrame:
     return jobs.late_counts(s, f"{path}/out", P)
 
 
+def merged_traceroutes(s: SparkSession, d: str) -> DataFrame:
+    """Arrivals of each day and batch, out of a store whose first batches were merged before the last one came; a reader that began before goes on."""
+    path, seen = work_path(s, "stream"), []
+    for k, _ in enumerate(_arriving(s, d, path)):
+        jobs.detection_stream(s, f"{path}/arriving", fx.rib(s), P, f"{path}/references", f"{path}/out", f"{path}/state", kinds=()).awaitTermination()
+        if k == 1:
+            seen.append(jobs.stored_traces(s, f"{path}/out"))
+            jobs.merge_stored(s, f"{path}/out")
+    count = lambda df, name: df.groupBy(F.col("date").cast("string").alias("date"), "batch").agg(F.count("*").alias(name))
+    return count(jobs.stored_traces(s, f"{path}/out"), "n").join(count(seen[0], "before"), ["date", "batch"], "left")
+
+
 def replayed(s: SparkSession, d: str) -> DataFrame:
     """Alarms up to LAST: all but two windows in one run, then these one by one against the saved references."""
     path, t = work_path(s, "replay"), written(fx.traces(s, d), "traces")
@@ -544,6 +556,8 @@ add("late_traceroutes", late_traceroutes,
     f"""WITH {TRACES}, pc AS (SELECT *, least((ts - {fx.START}) // {9 * fx.WINDOW}, 2) AS own, least(least((ts - {fx.START}) // {9 * fx.WINDOW}, 2) + CASE WHEN tid % 10 = 3 THEN 1 ELSE 0 END, 2) AS piece FROM t),
     fr AS (SELECT b.k AS piece, (SELECT max(time_bin) FROM pc WHERE piece < b.k) AS frontier FROM (SELECT unnest([0, 1, 2]) AS k) b)
     SELECT time_bin, count(*) FILTER (WHERE NOT coalesce(time_bin < frontier, false)) AS on_time, count(*) FILTER (WHERE coalesce(time_bin < frontier, false)) AS late FROM pc JOIN fr USING (piece) GROUP BY time_bin""")
+add("merged_traceroutes", merged_traceroutes,
+    f"""WITH {TRACES} SELECT strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, least((ts - {fx.START}) // {9 * fx.WINDOW}, 2)::BIGINT AS batch, count(*) AS n, CASE WHEN least((ts - {fx.START}) // {9 * fx.WINDOW}, 2) < 2 THEN count(*) END AS before FROM t GROUP BY ALL""")
 add("replayed_delay_alarms", lambda s, d: replayed(s, d).select(*_al), f"WITH {FOLD} SELECT {_AL} FROM al WHERE time_bin < {LAST}", _al_doubles)
 add("monitored_magnitudes", monitored_magnitudes,
     f"""WITH {FOLD}, ends AS (SELECT {asn_sql('ip')} AS asn, dev_bound FROM (SELECT unnest([ip1, ip2]) AS ip, dev_bound FROM al WHERE diff_med > 1 AND time_bin = {NOW})), mo AS (SELECT DISTINCT {asn_sql('ip')} AS asn FROM (SELECT unnest([ip1, ip2]) AS ip FROM st WHERE time_bin = {NOW}))

@@ -12,7 +12,7 @@ from pathwatch.operators.delay import delay_stats, detect_delay_changes, link_sa
 from pathwatch.operators.magnitude import HOUR, delay_magnitude, forwarding_magnitude, link_ends
 from pathwatch.schema import DELAY_REFERENCE, FORWARDING_REFERENCE, TRACEROUTE, Params
 from pathwatch.session import written
-from pathwatch.sources import versions
+from pathwatch.sources import parts, versions
 from pathwatch.sources.tables import load_reference, read_results, save_experiment, save_reference, with_day, write_results
 
 KINDS = ("delay", "forwarding")
@@ -20,6 +20,7 @@ HISTORY = 168
 NETWORKS = "asn long, since long"
 PROGRESS = "batch_id long, frontier long, newest long, n long, late long"
 STORE = f"{TRACEROUTE}, batch long, late boolean, date date"
+DAYS = ["late", "af", "date"]
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -124,7 +125,12 @@ def progress(spark: SparkSession, out_path: str) -> Row | None:
 
 def stored_traces(spark: SparkSession, out_path: str) -> DataFrame:
     """Everything that has arrived, with the batch that brought it and whether it was late."""
-    return spark.read.schema(STORE).parquet(f"{out_path}/traceroutes")
+    return parts.read(spark, f"{out_path}/traceroutes", STORE)
+
+
+def merge_stored(spark: SparkSession, out_path: str, files_per_day: int = 1) -> str | None:
+    """Put the batches' small files together, a few for each day; readers go on meanwhile."""
+    return parts.merge(spark, f"{out_path}/traceroutes", STORE, DAYS, ["msm_id", "prb_id", "timestamp"], files_per_day)
 
 
 def take_in(batch: DataFrame, batch_id: int, rib: DataFrame, p: Params, ref_path: str, out_path: str, delay: int = 0, kinds: tuple[str, ...] = KINDS, trim: bool = True) -> None:
@@ -140,9 +146,9 @@ def take_in(batch: DataFrame, batch_id: int, rib: DataFrame, p: Params, ref_path
         return
     at = time_bin(F.col("timestamp"), p.start, p.window)
     late = F.isnull("timestamp") if done is None or done["frontier"] is None else F.coalesce(at < done["frontier"], F.lit(True))
-    path = f"{out_path}/traceroutes/batch={batch_id}"
-    with_day(batch.withColumn("late", late)).repartition("af", "date").write.mode("overwrite").partitionBy("late", "af", "date").parquet(path)
-    here = spark.read.schema(f"{TRACEROUTE}, late boolean, date date").parquet(path)
+    path, part = f"{out_path}/traceroutes", f"batch-{batch_id}"
+    parts.add(with_day(batch.withColumns({"late": late, "batch": F.lit(batch_id).cast("long")})).repartition("af", "date"), path, part, DAYS)
+    here = parts.read(spark, path, STORE, [part])
     got = here.agg(F.max("timestamp").alias("newest"), F.min(at).alias("first"), F.count("*").alias("n"), F.count_if("late").alias("late")).first()
     newest = max((x for x in (got["newest"], done and done["newest"]) if x is not None), default=None)
     frontier = done["frontier"] if done is not None and done["frontier"] is not None else got["first"]
