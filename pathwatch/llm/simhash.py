@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -154,15 +155,19 @@ def cut_tiles(counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np
     return np.stack([bins, chunks], axis=1)[back], boxes, np.maximum.reduceat(chunks, first) if len(c) else np.empty(0, np.int64)
 
 
-def near_bins(boxes: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs of bins (a <= b) that can hold fingerprints within the radius: their boxes are no farther apart."""
-    pop, pairs = boxes[:, 8], []
-    for a in range(len(boxes)):
-        # bins are in order of population counts
-        b = np.arange(a, np.searchsorted(pop, pop[a] + radius, side="right"))
-        apart = np.maximum(0, np.maximum(boxes[b, :4] - boxes[a, 4:8], boxes[a, :4] - boxes[b, 4:8])).sum(axis=1)
-        pairs.append(np.stack([np.full((apart <= radius).sum(), a), b[apart <= radius]], axis=1))
-    return np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+def near_bins(spark: SparkSession, boxes: np.ndarray, chunks: np.ndarray, radius: int) -> DataFrame:
+    """(bin_a, bin_b, chunks_a, chunks_b): pairs of bins, the lower first, that can hold fingerprints within the radius.
+
+    Their boxes are no farther apart. Bins (a bounded number) meet by their population counts, which then differ by the
+    radius at most; the pairs are made and stay on Spark.
+    """
+    box = [f"{end}{k}" for end in ("low", "high") for k in range(4)]
+    rows = np.concatenate([np.arange(len(boxes))[:, None], boxes, chunks[:, None]], axis=1).tolist() if len(boxes) else []
+    bins = spark.createDataFrame(rows, "bin int, " + ", ".join(f"{c} int" for c in box) + ", pop int, chunks int")
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
+    above = side(bins, "a").withColumn("pop_b", F.explode(F.sequence(F.col("pop_a"), F.col("pop_a") + radius)))
+    apart = reduce(lambda x, y: x + y, [F.greatest(F.lit(0), F.col(f"low{k}_b") - F.col(f"high{k}_a"), F.col(f"low{k}_a") - F.col(f"high{k}_b")) for k in range(4)])
+    return above.join(side(bins, "b"), "pop_b").where((F.col("bin_a") <= F.col("bin_b")) & (apart <= radius)).select("bin_a", "bin_b", "chunks_a", "chunks_b")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -184,8 +189,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     where = spark.createDataFrame(np.concatenate([counts[:, :4], place], axis=1).tolist(), "q1 int, q2 int, q3 int, q4 int, bin int, chunks int")
     tiles = described.join(F.broadcast(where), quarters).select("fp", "bin", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"))
     tiles = written(tiles.groupBy("bin", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
-    near = [(a, b, int(chunks[a]), int(chunks[b])) for a, b in near_bins(boxes, radius).tolist()]
-    near = spark.createDataFrame(near, "bin_a int, bin_b int, chunks_a int, chunks_b int")
+    near = written(near_bins(spark, boxes, chunks, radius), "near_bins")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pairs = near.withColumn("chunk_a", upto("chunks_a")).withColumn("chunk_b", upto("chunks_b")).where("bin_a < bin_b OR chunk_a <= chunk_b")
     p, q = F.struct("bin_a", "chunk_a").alias("p"), F.struct("bin_b", "chunk_b").alias("q")
