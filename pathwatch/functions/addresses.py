@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from pathwatch.session import written
 
 #: Loopback and the private IPv4 ranges.
 PRIVATE = r"^(?:127\.|10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
-#: Prefix-table rows up to which the table is broadcast (at most 200 bytes each); larger ones are joined by shuffle.
+#: Prefix-table rows up to which the table is broadcast (at most 200 bytes each); larger ones are merged in order.
 BROADCAST_ROWS = 250_000
 _rows_of: dict[tuple[str, int], int] = {}
 
@@ -35,50 +33,96 @@ def prefix24(ip: Column) -> Column:
     return F.when(net != "", F.concat(net, F.lit(".0/24")))
 
 
-def _v6_bits(ips: pd.Series) -> pd.Series:
-    def one(x: str | None) -> str | None:
-        try:
-            return format(int(ipaddress.IPv6Address(x)), "0128b")
-        except ValueError:
-            return None
-
-    return ips.map(one, na_action="ignore")
+_DIGITS = "0123456789abcdef"
+_LETTERS = "ghijklmnopqrstuv"
+_WIDTH = {"4": 32, "6": 128}
+
+
+def _v6_digits(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address in any of its written forms; null if it is none."""
+    x = F.lower(ip)
+    # an IPv4 address at the end is two groups
+    tail = r"^(.*:)([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
+    part = lambda k: F.regexp_extract(x, tail, k).try_cast("int")
+    two = lambda a, b: F.lower(F.hex((a * 256 + b).cast("long")))
+    fits = F.greatest(*map(part, range(2, 6))) < 256
+    x = F.when(~x.rlike(tail), x).when(fits, F.concat(F.regexp_extract(x, tail, 1), two(part(2), part(3)), F.lit(":"), two(part(4), part(5))))
+    halves = F.split(x, "::")
+    groups = lambda k: F.filter(F.split(F.get(halves, F.lit(k)), ":"), lambda g: g != "")
+    left, right = groups(0), F.coalesce(groups(1), F.array().cast("array<string>"))
+    known = F.size(left) + F.size(right)
+    full = F.when((F.size(halves) == 1) & (known == 8), left).when((F.size(halves) == 2) & (known < 8), F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - known), right))
+    written_well = x.rlike(r"^(?:(?!:)|::)[0-9a-f:]*(?:(?<!:)|(?<=::))$") & ~x.contains(":::") & F.forall(full, lambda g: F.char_length(g) <= 4)
+    return F.when(written_well, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def _bits(digits: Column) -> Column:
+    """Hex digits as bits. They pass through letters, so that no digit made here is taken for one of the input."""
+    out = F.translate(digits, _DIGITS, _LETTERS)
+    for k, c in enumerate(_LETTERS):
+        out = F.replace(out, F.lit(c), F.lit(format(k, "04b")))
+    return out
 
 
 def address_bits(ip: Column, v6: bool = True) -> Column:
-    """An address as a string of bits after its family; null if it is none. IPv6 goes through a vectorized helper."""
+    """An address as a string of bits after its family; null if it is none. Built-in functions only."""
     part = lambda k: F.try_element_at(F.split(ip, r"\."), F.lit(k)).try_cast("long")
     number = part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * (1 << 8) + part(4)
-    v4 = F.concat(F.lit("4:"), F.lpad(F.bin(number), 32, "0"))
     is_v4 = ip.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    out = F.when(is_v4, v4)
-    if v6:
-        out = F.when(is_v4, v4).when(ip.contains(":"), F.concat(F.lit("6:"), pandas_udf(_v6_bits, "string")(F.when(ip.contains(":"), ip))))
-    return out
+    out = F.when(is_v4, F.concat(F.lit("4:"), F.lpad(F.bin(number), 32, "0")))
+    return out.when(ip.contains(":"), F.concat(F.lit("6:"), _bits(_v6_digits(ip)))) if v6 else out
 
 
-def prefix_lookup(ips: DataFrame, table: DataFrame, ip: str, values: list[str], v6: bool = False) -> DataFrame:
-    """(ip, *values) of the longest matching prefix for each distinct address of ``ips``; nulls where none matches.
+def prefix_lookup(ips: DataFrame, table: DataFrame, ip: str, values: list[str], v6: bool = False, broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """(ip, *values) of the longest matching prefix for each distinct address of ``ips``; addresses without one have nulls or no row.
 
-    Each distinct address becomes one key for each mask length in the table, so the lookup is an equi-join.
+    A table of up to ``broadcast`` rows is sent to all tasks: each distinct address becomes one key for each mask
+    length that occurs, and an equi-join finds it. A larger one is merged with the addresses in order, see ``_merged``.
     """
-    net = F.split("prefix", "/")[0]
-    known = table.withColumn("_key", F.concat(F.col("masklen").cast("string"), F.lit("/"), F.substring(address_bits(net, v6), F.lit(1), F.col("masklen") + 2))).select("_key", "masklen", *values)
-    lengths = F.broadcast(table.select("masklen").distinct())  # at most 129 rows
     own = ips.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("_bits", address_bits(F.col(ip), v6))
-    keys = own.crossJoin(lengths).withColumn("_key", F.concat(F.col("masklen").cast("string"), F.lit("/"), F.substring("_bits", F.lit(1), F.col("masklen") + 2))).drop("masklen")
-    if _rows(table) <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    return keys.join(known, "_key").groupBy(ip).agg(*[F.max_by(v, "masklen").alias(v) for v in values])
+    key = F.substring(address_bits(F.split("prefix", "/")[0], v6), F.lit(1), F.col("masklen") + 2)
+    known = table.select(key.alias("_key"), "masklen", *values).where(F.col("_key").isNotNull())
+    lengths = F.broadcast(table.select("masklen").distinct())  # at most 129 rows
+    if _rows(table) > broadcast:
+        return _merged(own, known, lengths, ip, values)
+    keys = own.crossJoin(lengths).withColumn("_key", F.substring("_bits", F.lit(1), F.col("masklen") + 2)).drop("masklen")
+    return keys.join(F.broadcast(known), "_key").groupBy(ip).agg(*[F.max_by(v, "masklen").alias(v) for v in values])
 
 
-def with_asn(df: DataFrame, ip: str, rib: DataFrame, asn: str = "asn", v6: bool = False) -> DataFrame:
+def _merged(own: DataFrame, known: DataFrame, lengths: DataFrame, ip: str, values: list[str]) -> DataFrame:
+    """``prefix_lookup`` as a merge of sorted addresses and prefixes: one row for each address, none for its mask lengths.
+
+    Prefixes are nested or apart. So going through all places in order, the longest open prefix changes only where one
+    begins (to that one) and after one ends (to the one around it, found once for the table): a prefix is two points, and
+    an address takes the last point before it. Points and addresses are dealt out by ranges; the last point of each
+    range (one row) is carried into the next ones.
+    """
+    table = known.groupBy("_key", "masklen").agg(F.min(F.struct(*values)).alias("v"))
+    around = table.select("_key", "masklen").crossJoin(lengths.withColumnRenamed("masklen", "l")).where("l < masklen").withColumn("_outer", F.substring("_key", F.lit(1), F.col("l") + 2))
+    around = around.join(table.select(F.col("_key").alias("_outer"), F.col("masklen").alias("l"), F.col("v").alias("o")), ["_outer", "l"]).groupBy("_key").agg(F.max_by("o", "l").alias("o"))
+    width = F.when(F.col("_key").startswith("4"), _WIDTH["4"] + 2).otherwise(_WIDTH["6"] + 2)
+    none = F.lit(None).cast(own.schema[ip].dataType).alias(ip)
+    point = lambda bit, turn, rank, v: [F.rpad("_key", width, F.lit(bit)).alias("at"), F.lit(turn).alias("turn"), rank.alias("rank"), F.struct(F.col(v).alias("v")).alias("point"), none]
+    # at one place: prefixes that begin (the longest last), addresses, prefixes that end (the longest first)
+    begin = table.select(*point("0", 0, F.col("masklen"), "v"))
+    end = table.join(around, "_key", "left").select(*point("1", 2, -F.col("masklen"), "o"))
+    asked = own.where(F.col("_bits").isNotNull()).select(F.col("_bits").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("rank"), F.lit(None).cast(begin.schema["point"].dataType).alias("point"), ip)
+    order = ["at", "turn", "rank"]
+    placed = written(begin.unionByName(end).unionByName(asked).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "address_ranges")
+    last = placed.where("point IS NOT NULL").groupBy("part").agg(F.max_by("point", F.struct(*order)).alias("last"))
+    carried = placed.select("part").distinct().join(last, "part", "left").select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    here = F.last("point", ignorenulls=True).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.withColumn("here", here).where("turn = 1").join(F.broadcast(carried), "part").select(ip, F.coalesce("here", "carried").alias("p"))
+    return found.select(ip, *[F.col(f"p.v.{v}").alias(v) for v in values])
+
+
+def with_asn(df: DataFrame, ip: str, rib: DataFrame, asn: str = "asn", v6: bool = False, broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the number of the network that announces ``ip``; 0 where none does. Each distinct address is looked up once."""
-    found = prefix_lookup(df, rib, ip, ["asn"], v6).withColumnRenamed("asn", "_asn")
+    found = prefix_lookup(df, rib, ip, ["asn"], v6, broadcast).withColumnRenamed("asn", "_asn")
     return df.join(found, ip, "left").withColumn(asn, F.coalesce("_asn", F.lit(0).cast("long"))).drop("_asn")
 
 
-def with_country(df: DataFrame, ip: str, table: DataFrame, country: str = "country", v6: bool = False) -> DataFrame:
+def with_country(df: DataFrame, ip: str, table: DataFrame, country: str = "country", v6: bool = False, broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the country of ``ip``; ``Unk`` where unknown."""
-    found = prefix_lookup(df, table, ip, ["country"], v6).withColumnRenamed("country", "_country")
+    found = prefix_lookup(df, table, ip, ["country"], v6, broadcast).withColumnRenamed("country", "_country")
     return df.join(found, ip, "left").withColumn(country, F.coalesce("_country", F.lit("Unk"))).drop("_country")

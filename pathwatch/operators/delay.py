@@ -245,6 +245,8 @@ def detect_delay_changes(stats: DataFrame, ref0: DataFrame | None, p: Params, ch
     """
     spark, link = stats.sparkSession, ["ip1", "ip2"]
     ref0 = spark.createDataFrame([], DELAY_REFERENCE) if ref0 is None else ref0
+    # a row for each link and bin, read several times
+    stats = written(stats, "bin_stats")
     trimmed = F.col("trimmed") if "trimmed" in stats.columns else F.lit(False)
     own = stats.select(*LINK, "n", "median", "lo", "hi", trimmed.alias("trimmed"))
     long_ = written(own.groupBy(*link).agg(F.count("*").alias("_n")).where(F.col("_n") > large).select(*link), "long_links")
@@ -272,8 +274,10 @@ def link_history(samples: DataFrame, p: Params, boot: int = 24, least: int = 20,
     than ``gap``. The bin at which the reference is made is no alarm.
     """
     link = ["ip1", "ip2"]
-    big = samples.groupBy(*link).agg(F.count("*").alias("_n")).where(F.col("_n") > least).drop("_n")
-    stats = median_ci(samples, LINK, "rtt_diff", p.confidence).where(F.col("n") >= least_bin).join(big, link)
+    own = written(samples.select(*LINK, "rtt_diff"), "samples")  # traces are expanded once
+    sizes = written(own.groupBy(*LINK).agg(F.count("*").alias("n")), "bin_sizes")
+    big = sizes.groupBy(*link).agg(F.sum("n").alias("_n")).where(F.col("_n") > least).drop("_n")
+    stats = median_ci(own.join(big, link, "left_semi"), LINK, "rtt_diff", p.confidence, sizes).where(F.col("n") >= least_bin)
     x = written(running(stats, link, "time_bin", F.lit(1)).withColumn("k", F.col("run") - 1 - boot).drop("run"), "link_bins")
     middle = lambda c: median_of(F.transform("rows", lambda r: r[c]))
     # the first ``boot`` bins of a link with more of them

@@ -61,6 +61,7 @@ def link_distribution_stats(samples: DataFrame, min_n: int = 48, value: str = "r
     The median, and that of the distances from it, are exact, and no link's samples are in one place.
     """
     link = ["ip1", "ip2"]
+    samples = written(samples.select(*link, value), "samples")  # traces are expanded once
     moments = written(samples.groupBy(*link).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).where(F.col("n") > min_n), "moments")
     own = samples.where(F.col(value).isNotNull()).select(*link, F.col(value).alias("_v")).join(moments.select(*link), link, "left_semi")
     middle = written(medians(own, link, "_v", moments).select(*link, "median"), "medians")

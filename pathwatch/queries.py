@@ -253,6 +253,10 @@ add("time_range_bins", lambda s, d: delay.time_range(fx.traces(s, d), 915148800,
     f"WITH {TRACES} SELECT time_bin, count(*) AS n FROM t WHERE ts >= 915148800 AND ts < 930787200 GROUP BY ALL")
 add("link_prefix_filter", lambda s, d: delay.link_filter(stats(s, d).select("ip1", "ip2").distinct(), "30.2.0."), f"WITH {STATS} SELECT DISTINCT ip1, ip2 FROM st WHERE ip1 LIKE '30.2.0.%' OR ip2 LIKE '30.2.0.%'")
 add("ip_to_asn", lambda s, d: A.with_asn(samples(s, d).select("probe_ip").distinct(), "probe_ip", fx.rib(s)), f"WITH {SAMPLES} SELECT DISTINCT probe AS probe_ip, ({asn_sql('probe')})::BIGINT AS asn FROM s")
+add("ip6_to_asn", lambda s, d: A.with_asn(fx.addresses6(s, d), "ip", fx.rib(s).unionByName(fx.rib6(s)), v6=True, broadcast=0),
+    f"""WITH n6 AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer) SELECT k, (CASE WHEN k % 10 = 9 THEN 0 WHEN n % 5 = 0 THEN 66000 WHEN n = 3 AND k % 2 = 0 THEN 66500 ELSE 66100 + n END)::BIGINT AS asn,
+    CASE WHEN k % 10 = 9 THEN '2002::1:' || lower(hex(k)) WHEN k % 2 = 0 THEN '2001:db8:' || lower(hex(n)) || '::' || lower(hex(k)) ELSE '2001:0DB8:' || lpad(hex(n), 4, '0') || ':0:8000:0:0:' || hex(k) END AS ip FROM n6
+    UNION ALL SELECT c_custkey, ({asn_sql('ip')})::BIGINT, ip FROM (SELECT c_custkey, '20.' || c_nationkey || '.' || (c_custkey // 256) || '.' || (c_custkey % 256) AS ip FROM customer)""")
 add("ip_to_country", lambda s, d: A.with_country(fx.traces(s, d).select("from").distinct(), "from", fx.rib(s)),
     f"""WITH {TRACES} SELECT DISTINCT probe AS "from", CASE WHEN probe LIKE '20.1.1.%' OR probe LIKE '20.2.1.%' THEN 'C9' ELSE 'C' || (split_part(probe, '.', 2)::INT % 5) END AS country FROM t""")
 add("attach_reference", lambda s, d: delay.attach_reference(stats(s, d).where(F.col("time_bin") == NOW).select("ip1", "ip2", "median"), reference(s, d).where("nb_seen > 20"), columns=["mean"]),
@@ -380,12 +384,12 @@ add("event_counts", lambda s, d: magnitude.event_counts(magnitude.magnitude_even
 KEYWORDS = EVENTS + """, per AS (SELECT word, time_bin, sum(value) AS v FROM ev GROUP BY ALL),
 ph AS (SELECT *, sum(v) OVER (PARTITION BY word ORDER BY time_bin RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS h FROM per),
 bv AS (SELECT time_bin, sum(value) AS b FROM ev GROUP BY ALL),
-kw AS (SELECT time_bin, word, abs(v / nullif(b, 0)) AS tf, abs(v / nullif(b, 0)) * ln(1 + abs((SELECT sum(value) FROM ev) / nullif(h, 0))) AS tfidf FROM ph JOIN bv USING (time_bin) WHERE time_bin % 86400 = 0)"""
-keywords = lambda s, d: magnitude.event_keywords(e := events(s, d), e.where(F.col("time_bin") % 86400 == 0), "value", threshold=0.05)
+kw AS (SELECT time_bin, word, abs(v / nullif(b, 0)) AS tf, abs(v / nullif(b, 0)) * ln(1 + abs((SELECT sum(value) FROM ev) / nullif(h, 0))) AS tfidf FROM ph JOIN bv USING (time_bin))"""
+keywords = lambda s, d: magnitude.event_keywords(e := events(s, d), e, "value", threshold=0.05)
 add("event_keywords", keywords, f"WITH {KEYWORDS} SELECT * FROM kw WHERE tfidf > 0.05", "tf tfidf")
 add("event_labels", lambda s, d: magnitude.event_labels(keywords(s, d)), f"WITH {KEYWORDS} SELECT time_bin, string_agg(word || ' (' || round(tf * 100)::INT || '%)', ', ' ORDER BY tfidf DESC, word) AS label FROM kw WHERE tfidf > 0.05 GROUP BY time_bin")
-# the two above have the midnight bins as events; these have the bins found by magnitude, at any hour
-MAGNITUDE_KEYWORDS = KEYWORDS.replace(", per AS (", f", {_magnitude_sql(169)}, per AS (", 1).replace("time_bin % 86400 = 0", "time_bin IN (SELECT time_bin FROM mag WHERE magnitude > 2)")
+# the two above take every bin as an event; these take the bins found by magnitude
+MAGNITUDE_KEYWORDS = KEYWORDS.replace(", per AS (", f", {_magnitude_sql(169)}, per AS (", 1).replace("FROM ph JOIN bv USING (time_bin)", "FROM ph JOIN bv USING (time_bin) WHERE time_bin IN (SELECT time_bin FROM mag WHERE magnitude > 2)")
 magnitude_keywords = lambda s, d: magnitude.event_keywords(events(s, d), magnitude.magnitude_events(magnitude.as_magnitude(grid(s, d)), 2.0), "value", threshold=0.05)
 add("magnitude_event_keywords", magnitude_keywords, f"WITH {MAGNITUDE_KEYWORDS} SELECT * FROM kw WHERE tfidf > 0.05", "tf tfidf")
 add("magnitude_event_labels", lambda s, d: magnitude.event_labels(magnitude_keywords(s, d)), f"WITH {MAGNITUDE_KEYWORDS} SELECT time_bin, string_agg(word || ' (' || round(tf * 100)::INT || '%)', ', ' ORDER BY tfidf DESC, word) AS label FROM kw WHERE tfidf > 0.05 GROUP BY time_bin")
@@ -557,7 +561,8 @@ add("late_traceroutes", late_traceroutes,
     fr AS (SELECT b.k AS piece, (SELECT max(time_bin) FROM pc WHERE piece < b.k) AS frontier FROM (SELECT unnest([0, 1, 2]) AS k) b)
     SELECT time_bin, count(*) FILTER (WHERE NOT coalesce(time_bin < frontier, false)) AS on_time, count(*) FILTER (WHERE coalesce(time_bin < frontier, false)) AS late FROM pc JOIN fr USING (piece) GROUP BY time_bin""")
 add("merged_traceroutes", merged_traceroutes,
-    f"""WITH {TRACES} SELECT strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, least((ts - {fx.START}) // {9 * fx.WINDOW}, 2)::BIGINT AS batch, count(*) AS n, CASE WHEN least((ts - {fx.START}) // {9 * fx.WINDOW}, 2) < 2 THEN count(*) END AS before FROM t GROUP BY ALL""")
+    f"""WITH {TRACES}, dc AS (SELECT strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, least((ts - {fx.START}) // {9 * fx.WINDOW}, 2)::BIGINT AS batch, count(*) AS n FROM t GROUP BY ALL)
+    SELECT *, CASE WHEN batch < 2 THEN n END AS before FROM dc""")
 add("replayed_delay_alarms", lambda s, d: replayed(s, d).select(*_al), f"WITH {FOLD} SELECT {_AL} FROM al WHERE time_bin < {LAST}", _al_doubles)
 add("monitored_magnitudes", monitored_magnitudes,
     f"""WITH {FOLD}, ends AS (SELECT {asn_sql('ip')} AS asn, dev_bound FROM (SELECT unnest([ip1, ip2]) AS ip, dev_bound FROM al WHERE diff_med > 1 AND time_bin = {NOW})), mo AS (SELECT DISTINCT {asn_sql('ip')} AS asn FROM (SELECT unnest([ip1, ip2]) AS ip FROM st WHERE time_bin = {NOW}))

@@ -38,3 +38,21 @@ def rib(spark: SparkSession, skewed: bool = False) -> DataFrame:
     rows += [(f"30.{h}.0.0/16", 16, 65000 + h, f"R{h}", f"C{h % 5}") for h in range(7)]
     rows += [(f"20.{n}.1.0/24", 24, 64600 + n, f"S{n}", "C9") for n in (1, 2)] if not skewed else []
     return spark.createDataFrame(rows, PREFIXES)
+
+
+def addresses6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, ip): an IPv6 address for each customer, short or written out, and the IPv4 address of its probe."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    low = lambda x: F.lower(F.hex(x))
+    ip = F.when(k % 10 == 9, F.concat(F.lit("2002::1:"), low(k))).when(k % 2 == 0, F.concat(F.lit("2001:db8:"), low(n), F.lit("::"), low(k)))
+    ip = ip.otherwise(F.concat(F.lit("2001:0DB8:"), F.lpad(F.hex(n), 4, "0"), F.lit(":0:8000:0:0:"), F.hex(k)))
+    v4 = F.concat_ws(".", F.lit("20"), n, F.floor(k / 256), k % 256)
+    return c.select(k.alias("k"), F.explode(F.array(ip, v4)).alias("ip"))
+
+
+def rib6(spark: SparkSession) -> DataFrame:
+    """IPv6 prefixes: one over all nations, one for most nations, and half of one more."""
+    rows = [("2001:db8::/32", 32, 66000, "all", "C0"), ("2001:db8:3::/65", 65, 66500, "half", "C1")]
+    rows += [(f"2001:db8:{n:x}::/48", 48, 66100 + n, f"N{n}", "C2") for n in range(25) if n % 5]
+    return spark.createDataFrame(rows, PREFIXES)
