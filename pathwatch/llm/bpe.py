@@ -261,8 +261,11 @@ def encode(spark: SparkSession, text: Column, path: str) -> Column:
 
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = _load(source.value)[0]
-        for t in texts:
-            yield t.map(v.encode, na_action=None)
+        try:
+            for t in texts:
+                yield pd.Series([np.array(v.encode(x), dtype=np.int32) for x in t], dtype=object)
+        finally:
+            v.encoded.clear()  # the worker lives on; the next task of another stage needs the memory
 
     return pandas_udf(ids, "array<int>")(text)
 

@@ -83,6 +83,10 @@ class Network:
             self._tables = [[join(w[0], w[1])] + ([join(w[2], w[3])] if len(w) == 4 else []) for w in self.filters]
         return self._tables
 
+    def release(self) -> None:
+        """Let the tables of byte pairs go; they are made again in a moment."""
+        self.__dict__.pop("_tables", None)
+
     def _soft(self, h: np.ndarray) -> np.ndarray:
         z = h @ self.out + self.out_bias
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -232,14 +236,18 @@ def recognize(spark: SparkSession, text: Column, known: Recognizer | None) -> Co
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         r = shared.value
-        for b in batches:
-            out = pd.Series([None] * len(b), dtype=object)
-            some = np.flatnonzero(b.notna().to_numpy())
-            if r is not None and len(some):
-                p = r.net.means([b.iloc[i].encode("utf-8", "surrogatepass") for i in some])
-                best = p[:, :-1].argmax(axis=1)
-                out.loc[some] = [r.net.languages[k] if noise <= r.most else None for k, noise in zip(best, p[:, -1])]
-            yield out
+        try:
+            for b in batches:
+                out = pd.Series([None] * len(b), dtype=object)
+                some = np.flatnonzero(b.notna().to_numpy())
+                if r is not None and len(some):
+                    p = r.net.means([b.iloc[i].encode("utf-8", "surrogatepass") for i in some])
+                    best = p[:, :-1].argmax(axis=1)
+                    out.loc[some] = [r.net.languages[k] if noise <= r.most else None for k, noise in zip(best, p[:, -1])]
+                yield out
+        finally:
+            if r is not None:
+                r.net.release()  # the worker lives on; the next stage needs the memory
 
     return pandas_udf(run, "string")(F.when(text.rlike(LETTER), text))
 
