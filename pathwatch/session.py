@@ -49,7 +49,7 @@ _shipped: set[str] = set()
 
 
 #: Rows and bytes that go to Python at once; what a helper holds is a multiple of it.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship_code(spark: SparkSession) -> None:
