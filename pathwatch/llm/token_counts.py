@@ -55,14 +55,28 @@ class Transducer:
     annotated with the change of the emitted tokens' number: the last token of the longer prefix is the one that ends
     there and is compatible with the last token before it, that is, whose letters and the other's merge into just these
     two. States are compiled when first entered; those of short prefixes are kept and shared by all words that begin
-    so. Words of any length go this way, but for those that begin with several spaces (pieces of one score, where the
-    order of merges counts): they are compiled by merging.
+    so. Words of any length go this way.
+
+    A run of several spaces has numbered states, its length modulo that of the longest piece of spaces: such pieces are
+    of one score and the leftmost merge comes first, so as many spaces as the longest piece holds, which merge into it
+    alone, also do so at the start of a longer run, and what follows is a run of its own. Pieces of spaces score below
+    all others, so the letters after the run have taken the last space before, or never take it: the state of their
+    word tells which. What this rests on is checked when it is built.
     """
 
     def __init__(self, pieces: dict[str, float]):
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece goes on over the start of a word")
         self.pieces = {p.replace(SPACE, " "): s for p, s in pieces.items()}
+        runs = {len(p): s for p, s in self.pieces.items() if not p.strip(" ")}
+        others = [s for p, s in self.pieces.items() if len(p) > 1 and p.strip(" ")]
+        longest = max(runs, default=1)
+        if len(set(runs.values())) > 1 or any(p.startswith("  ") and p.strip(" ") for p in self.pieces) or (longest > 1 and min(others, default=0.0) <= runs[longest]):
+            raise ValueError("pieces of spaces do not merge last and leftmost first")
+        if len(self.merged(" " * longest)) > 1:
+            raise ValueError("the longest piece of spaces never comes out of a merge")
+        # tokens of a run shorter than that piece, by its state
+        self.runs = [len(self.merged(" " * n)) for n in range(longest)]
         line = "" if any("\n" in p and len(p) > 1 for p in pieces) else "\n"
         self.words = re.compile(f" *[^ {line}]+| +" + "|\n" * bool(line)).findall
         self.matcher = ahocorasick.Automaton()
@@ -70,7 +84,8 @@ class Transducer:
             self.matcher.add_word(p, len(p))
         self.matcher.make_automaton()
         self.emits: dict[str, int] = {}
-        self.states: dict[str, tuple[int, str]] = {"": (0, "")}  # prefix -> tokens so far, the last of them
+        # prefix -> tokens so far, the last of them, whether the first is a space alone
+        self.states: dict[str, tuple[int, str, bool]] = {"": (0, "", False)}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, word: str) -> list[str]:
@@ -113,14 +128,28 @@ class Transducer:
             ok = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return ok
 
+    def run(self, spaces: int) -> int:
+        """Tokens of a run of spaces."""
+        whole, state = divmod(spaces, len(self.runs))
+        return whole + self.runs[state]
+
     def compile(self, word: str) -> int:
-        """Tokens of one word: from the longest known prefix, one transition for each further character."""
-        if word.startswith("  "):
-            return sum(map(self.weight, self.merged(word)))
+        """Tokens of one word: those of its letters with one space before them, and of the other spaces."""
+        letters = word.lstrip(" ")
+        spaces = len(word) - len(letters)
+        if spaces < 2:
+            return self.read(word)[0]
+        if not letters:
+            return self.run(spaces)
+        n, _, lone = self.read(" " + letters)
+        return n - 1 + self.run(spaces) if lone else n + self.run(spaces - 1)
+
+    def read(self, word: str) -> tuple[int, str, bool]:
+        """The state after a word: from the longest known prefix, one transition for each further character."""
         kept = self.states
         if len(kept) >= KEPT_STATES:
             kept.clear()
-            kept[""] = (0, "")
+            kept[""] = (0, "", False)
         known = min(len(word), KEPT_CHARS)
         while word[:known] not in kept:
             known -= 1
@@ -134,13 +163,13 @@ class Transducer:
         for end in range(known + 1, len(word) + 1):
             for size in (*sorted(ending[end], reverse=True), 1):
                 token = word[end - size : end]
-                n, before = states[end - size]
+                n, before, lone = states[end - size]
                 if self.compatible(before, token):
-                    states.append((n + self.weight(token), token))
+                    states.append((n + self.weight(token), token, lone if size < end else token == " "))
                     break
             if end <= KEPT_CHARS:
                 kept[word[:end]] = states[end]
-        return states[-1][0]
+        return states[-1]
 
     def emitted(self, word: str) -> int:
         """The count on the path over ``word``."""

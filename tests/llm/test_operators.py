@@ -126,6 +126,27 @@ def test_state_maps_compose():
     assert t.compile("wwwhello") == len(t.merged("wwwhello"))
 
 
+def test_runs_of_spaces_are_states():
+    import random
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.read_pieces(path)
+    t = token_counts.Transducer(pieces)
+    for n in range(0, 70):
+        for rest in ("", "return x", "#", "日", "\U0001f389", "\n", "}", "\t a", "0"):
+            assert t.count("a" + " " * n + rest) == len(sp.encode("a" + " " * n + rest)) and t.count(" " * n + rest) == len(sp.encode(" " * n + rest))
+    g = random.Random(3)
+    for _ in range(3000):
+        x = "".join(g.choice(["  ", " ", "    ", " " * 17, "x", "if", "the", "(", "é", "\n", "▁", "日", "1"]) for _ in range(g.randrange(1, 30)))
+        assert t.count(x) == t.count(x, 5) == len(sp.encode(x))
+    for bad in ({"▁▁": 0.0}, {"▁▁▁▁" * 9: -1e9}, {"▁▁x": -1.0}):
+        with pytest.raises(ValueError):
+            token_counts.Transducer(pieces | bad)
+
+
 # ---- personal data and secrets
 
 
