@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwatch.functions import addresses as A
 from pathwatch.functions import expand
 from pathwatch.operators import delay, forwarding, magnitude, publish, references, statistics
-from pathwatch.schema import DELAY_REFERENCE, Params
+from pathwatch.schema import DELAY_REFERENCE, HOPS, Params
 from pathwatch.session import work_path, written
 from pathwatch.sources import fixtures as fx
 from pathwatch.sources import tables, versions
@@ -427,6 +428,25 @@ def stored_traceroutes(s: SparkSession, d: str) -> DataFrame:
     return back.groupBy("af", "msm_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("result"), F.lit(0))).alias("hops"))
 
 
+def array_traceroutes(s: SparkSession, d: str) -> DataFrame:
+    """Traceroutes written as files of one JSON array each, read back in blocks: counts and sums by measurement."""
+    path = work_path(s, "arrays")
+    text = fx.traces(s, d).drop("trace_id").select(F.to_json(F.struct("*")).alias("value"))
+
+    def as_array(batches):
+        sep = "["
+        for b in batches:
+            for v in b["value"]:
+                yield pd.DataFrame({"value": [sep + v]})
+                sep = ","
+        yield pd.DataFrame({"value": ["[]" if sep == "[" else "]"]})
+
+    text.mapInPandas(as_array, "value string").write.text(path)
+    back = tables.read_traceroutes(s, path, af=4, arrays=True)
+    replies = F.aggregate(F.coalesce("result", F.array().cast(HOPS)), F.lit(0), lambda n, h: n + F.size(h["result"]))
+    return back.groupBy("af", "msm_id", "dst_addr").agg(F.count("*").alias("n"), F.sum("prb_id").alias("probes"), F.sum("timestamp").alias("seconds"), F.sum(replies).alias("replies"))
+
+
 def streamed_traceroutes(s: SparkSession, d: str) -> DataFrame:
     path = _archive(s, d)
     jobs.ingest_stream(s, f"{path}/json", f"{path}/days", f"{path}/state").awaitTermination()
@@ -470,6 +490,8 @@ def backfilled_msm_ids(s: SparkSession, d: str) -> DataFrame:
 
 add("stored_traceroutes", stored_traceroutes, f"""WITH {TRACES}, nh AS (SELECT tid, count(DISTINCT hop) AS hops FROM r GROUP BY tid)
     SELECT 4 AS af, msm AS msm_id, strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, count(*) AS n, sum(coalesce(hops, 0))::BIGINT AS hops FROM t LEFT JOIN nh USING (tid) WHERE msm <> 5003 GROUP BY ALL""")
+add("array_traceroutes", array_traceroutes, f"""WITH {TRACES}, nr AS (SELECT tid, count(*) AS replies FROM r GROUP BY tid)
+    SELECT 4 AS af, msm AS msm_id, dst AS dst_addr, count(*) AS n, sum(prb)::BIGINT AS probes, sum(ts)::BIGINT AS seconds, sum(coalesce(replies, 0))::BIGINT AS replies FROM t LEFT JOIN nr USING (tid) GROUP BY ALL""")
 add("streamed_traceroutes", streamed_traceroutes, f"WITH {TRACES} SELECT 4 AS af, strftime(to_timestamp(ts)::TIMESTAMP, '%Y-%m-%d') AS date, count(*) AS n FROM t GROUP BY ALL")
 add("stored_reference", stored_reference, f"WITH {FOLD} SELECT ip1, ip2, arg_max(r_median, k) AS mean, arg_max(r_hi, k) AS high, arg_max(r_lo, k) AS low, max(k)::INT AS nb_seen FROM k3 WHERE time_bin < {NOW} GROUP BY ALL HAVING max(k) >= 3", "mean high low")
 add("stored_alarms", stored_alarms, f"WITH {FOLD} SELECT 'e' AS exp_id, strftime(to_timestamp(time_bin)::TIMESTAMP, '%Y-%m-%d') AS date, count(*) AS n FROM al GROUP BY ALL")

@@ -11,11 +11,19 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pathwatch.schema import TRACEROUTE, Params
 from pathwatch.sources import versions
+from pathwatch.sources.arrays import read_arrays
 
 
-def read_traceroutes(spark: SparkSession, path: str, af: int | None = None, arrays: bool = False) -> DataFrame:
-    """Traceroutes from JSON lines (.bz2, .gz), or from files that hold one JSON array each (arrays=True), with the fixed schema."""
-    df = spark.read.schema(TRACEROUTE).option("multiLine", arrays).json(path)
+def read_traceroutes(spark: SparkSession, path: str, af: int | None = None, arrays: bool = False, whole_files: bool = False) -> DataFrame:
+    """Traceroutes from JSON lines (.bz2, .gz), or from files that hold one JSON array each (arrays=True), with the fixed schema.
+
+    Files of arrays are cut into records by as many tasks as their size asks for; ``whole_files`` reads each in one task,
+    which saves the shuffle where they are small.
+    """
+    if arrays and not whole_files:
+        df = read_arrays(spark, path, TRACEROUTE)
+    else:
+        df = spark.read.schema(TRACEROUTE).option("multiLine", arrays).json(path)
     return df if af is None else df.where(F.col("af") == af)
 
 
