@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,8 +21,10 @@ from pathwatch.session import ship_code, written
 PER_CLASS = 3000
 #: Features: the most telling ones of the sample, the z score from which one is telling, and the share of a class's rows that hold it at least.
 VOCABULARY, LEAST_Z, LEAST_SHARE = 1024, 3.0, 0.03
-#: 0 not toxic; toxic texts are 1 or, if they hold more of the words that tell toxic texts than the median toxic text, 2.
+#: 0 not toxic; toxic texts are 1 or, if a model fitted without them finds them worse than the median toxic text, 2.
 GRADES = 3
+#: Parts of the sample, each of which is graded by a model of the others.
+FOLDS = 3
 THRESHOLD = 0.5
 
 _word = re.compile(r"[^\W\d_]+")
@@ -66,11 +69,11 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - scores[:, None], -40, 40)))
 
 
-def train(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, steps: int = 600, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
+def train(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, grades: int = GRADES, steps: int = 600, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts that maximize the weighted likelihood of the grades (Adam, full batches, sparse features)."""
     n = len(y)
-    p = np.zeros(n_words + GRADES - 1)
-    p[n_words:] = [2.0] + [0.0] * (GRADES - 2)  # the first cut, then the logarithms of the gaps
+    p = np.zeros(n_words + grades - 1)
+    p[n_words:] = [2.0] + [0.0] * (grades - 2)  # the first cut, then the logarithms of the gaps
     a, s = np.zeros_like(p), np.zeros_like(p)
     weight = weight / weight.sum()
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -84,17 +87,32 @@ def train(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, we
         prob = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper), lower * (1 - lower)
         d_score = weight * (du - dl) / prob
-        d_cut = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
+        d_cut = np.zeros(grades - 1)
+        for k in range(grades - 1):
             d_cut[k] = (weight * ((y == k + 1) * dl - (y == k) * du) / prob).sum()
         gap = np.exp(p[n_words + 1 :])
-        g = np.concatenate([np.bincount(col, d_score[row] * value, minlength=n_words) + l2 * w, [d_cut.sum()], [d_cut[k + 1 :].sum() * gap[k] for k in range(GRADES - 2)]])
+        g = np.concatenate([np.bincount(col, d_score[row] * value, minlength=n_words) + l2 * w, [d_cut.sum()], [d_cut[k + 1 :].sum() * gap[k] for k in range(grades - 2)]])
         a += 0.1 * (g - a)
         s += 0.001 * (g * g - s)
         p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return p[:n_words], p[n_words] + np.concatenate([[0], np.cumsum(np.exp(p[n_words + 1 :]))])
 
 
+def upper_grade(row: np.ndarray, col: np.ndarray, value: np.ndarray, toxic: np.ndarray, weight: np.ndarray, fold: np.ndarray, n_words: int) -> np.ndarray:
+    """Which toxic rows a binary model of the other folds scores above the median of their fold's toxic rows."""
+    upper = np.zeros(len(toxic), dtype=bool)
+    for k in range(FOLDS):
+        own, rest = fold == k, fold != k
+        if len(set(toxic[rest])) < 2 or not toxic[own].any():
+            continue
+        taken = rest[row]
+        at = np.cumsum(rest) - 1
+        w, _ = train(at[row[taken]], col[taken], value[taken], toxic[rest].astype(int), weight[rest], n_words, grades=2, steps=200)
+        score = np.bincount(row, w[col] * value, minlength=len(toxic))
+        upper |= own & toxic & (score > np.median(score[own & toxic]))
+    return upper
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Ordinal | None:
     """The model of a bounded sample of labelled rows (see PER_CLASS), drawn by a hash of the id.
 
@@ -122,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     z = odds / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
     common = (F.col("yes") >= LEAST_SHARE * n[True]) | (F.col("no") >= LEAST_SHARE * n[False])
     best = seen.withColumn("odds", odds).withColumn("z", F.abs(z)).where(common & (F.col("z") >= LEAST_Z)).orderBy(F.desc(F.col("z") * F.abs("odds")), "word").limit(VOCABULARY).collect()
-    telling, toward = [r["word"] for r in best], np.array([r["odds"] > 0 for r in best])
+    telling = [r["word"] for r in best]
     if not telling:
         return None
     at = {w: i for i, w in enumerate(telling)}
@@ -134,9 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     y = np.array([r["y"] for r in rows])
     have = np.bincount(y, minlength=2)
     weight = np.array([sizes.get(k, 0) / max(1, have[k]) for k in range(2)])[y]
-    strength = np.bincount(flat[:, 0], flat[:, 2] * toward[flat[:, 1]], minlength=len(y))
-    y = y + ((y == 1) & (strength > np.median(strength[y == 1])))
-    w, cuts = train(flat[:, 0], flat[:, 1], np.log1p(flat[:, 2]), y, weight, len(telling))
+    fold = np.array([zlib.crc32(str(r["_id"]).encode()) % FOLDS for r in rows])
+    value = np.log1p(flat[:, 2])
+    y = y + upper_grade(flat[:, 0], flat[:, 1], value, y == 1, weight, fold, len(telling))
+    w, cuts = train(flat[:, 0], flat[:, 1], value, y, weight, len(telling))
     return Ordinal(dict(zip(telling, w.tolist())), cuts)
 
 
