@@ -22,8 +22,10 @@ WORD_END = "</w>"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 #: Stands for WORD_END inside; not a byte's letter.
 END = ""
-#: What a task keeps: encoded pieces of text, pieces with their digests, pairs of the pair table; and the longest piece that it keeps.
-KEPT, KEPT_DIGESTS, KEPT_PAIRS, KEPT_CHARS = 1 << 17, 3 << 17, 1 << 18, 48
+#: What a task keeps: encoded pieces of text, pieces with their digests, pairs of the pair table, beginnings; and the longest piece that it keeps.
+KEPT, KEPT_DIGESTS, KEPT_PAIRS, KEPT_BEGINNINGS, KEPT_CHARS = 1 << 17, 1 << 19, 1 << 18, 1 << 16, 48
+#: Letters of a beginning, for which the longest token is kept.
+BEGINNING = 5
 
 #: What a later Unicode version than the library's (16.0) has made a letter or a number, or may make one. It is neither here.
 LATER = (
@@ -78,11 +80,16 @@ class Vocabulary:
         self.letters = "".join(names[i] for i in range(len(names)))
         self.offsets = np.concatenate([[0], np.cumsum([len(names[i]) for i in range(len(names))])]).tolist()
         self.symbols = {i: self._symbols(t) for t, i in self.id_of.items()}
+        self.size = {i: len(t) for t, i in self.id_of.items()}
+        # the longest token that a token begins with, itself left out; -1: none
+        self.shorter = {i: next((self.id_of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.id_of), -1) for t, i in self.id_of.items()}
         self.matcher = ahocorasick.Automaton()
         for t, i in self.id_of.items():
             self.matcher.add_word(t, (i, len(t)))
         self.matcher.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.longer = {t[:BEGINNING] for t in self.id_of if len(t) > BEGINNING}
+        self.beginnings: dict[str, int] = {}
         self.byte_of = byte_letters()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.encoded: dict[str, tuple[int, ...]] = {}
@@ -99,10 +106,12 @@ class Vocabulary:
         """The merges in order of rank, as the vocabulary defines them; for the table of pairs only, on a few symbols."""
         parts = list(symbols)
         while len(parts) > 1:
-            best = min(((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(parts, parts[1:]))), default=None)
-            if best is None or best[0] == len(self.rank):
+            ranks = [self.rank.get(p, len(self.rank)) for p in zip(parts, parts[1:])]
+            best = min(ranks)
+            if best == len(self.rank):
                 break
-            pair = (parts[best[1]], parts[best[1] + 1])
+            at = ranks.index(best)
+            pair = (parts[at], parts[at + 1])
             out, i = [], 0
             while i < len(parts):
                 if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
@@ -116,7 +125,7 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """The pair table: may token b follow token a? Only if merging their letters together gives just these two. a < 0: none before."""
-        key = (a, b)
+        key = (a << 32) + b
         ok = self.fits.get(key)
         if ok is None:
             both = [b] if a < 0 else [a, b]
@@ -131,50 +140,61 @@ class Vocabulary:
         # printable ASCII stands for itself
         plain = word.isascii() and word.isprintable()
         letters = (word if plain else "".join(map(self.byte_of.__getitem__, word.encode("utf-8", "surrogatepass")))) + END
-        whole = self.id_of.get(letters)
-        if whole is not None and self.compatible(-1, whole):
-            return (whole,)
-        greedy = list(self.matcher.iter_long(letters))  # the first try: the longest token everywhere
-        before, reached = -1, 0
-        for end, (token, size) in greedy:
-            if end + 1 - size != reached or not self.compatible(before, token):
-                break
-            before, reached = token, end + 1
-        if reached == len(letters):
-            return tuple([t for _, (t, _) in greedy])
-        starts: list[list[tuple[int, int]]] = [[] for _ in letters]
-        for end, (token, size) in self.matcher.iter(letters):
-            starts[end + 1 - size].append((size, token))  # shortest first, as ends come in order
-        n = len(letters)
+        n, at, last = len(letters), 0, -1
         dead = bytearray(n + 1)
         out: list[int] = []
-        tries = [len(starts[0])]
-        places = [0]
-        while places[-1] < n:
-            at = places[-1]
-            k = tries[-1] = tries[-1] - 1
-            if k < 0:  # nothing fits here: go back and take a shorter token there
-                if not out:
-                    raise ValueError("a text that the vocabulary cannot spell")
-                dead[at] = 1
-                places.pop()
-                tries.pop()
-                out.pop()
-                continue
-            size, token = starts[at][k]
-            if not dead[at + size] and self.compatible(out[-1] if out else -1, token):
+        fits, size, shorter, beginnings, longest = self.fits, self.size, self.shorter, self.beginnings, self.longest
+        token = beginnings.get(letters[:BEGINNING])
+        if token is None:
+            token = longest(letters, 0)
+        while at < n:
+            while token >= 0:
+                end = at + size[token]
+                if not dead[end]:
+                    ok = fits.get((last << 32) + token)
+                    if ok or (ok is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                places.append(at + size)
-                tries.append(len(starts[at + size]) if at + size < n else 0)
+                at, last = end, token
+                token = beginnings.get(letters[at : at + BEGINNING])
+                if token is None and at < n:
+                    token = longest(letters, at)
+            elif out:  # nothing fits here: go back and take a shorter token there
+                dead[at] = 1
+                token = shorter[out.pop()]
+                at -= size[last]
+                last = out[-1] if out else -1
+            else:
+                raise ValueError("a text that the vocabulary cannot spell")
         return tuple(out)
 
+    def longest(self, letters: str, at: int) -> int:
+        """The longest token from this place on, -1 if none begins here. Kept where the next few letters decide it."""
+        end, (token, size) = next(self.matcher.iter_long(letters, at), (0, (-1, 0)))
+        found = token if end + 1 - size == at else -1
+        start = letters[at : at + BEGINNING]
+        if start not in self.longer:
+            if len(self.beginnings) >= KEPT_BEGINNINGS:
+                self.beginnings.clear()
+            self.beginnings[start] = found
+        return found
+
+    @staticmethod
+    def words(piece: str) -> list[str]:
+        """The words of a piece of normalized text without white space."""
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0180"):
+            return [piece]
+        spelled = piece.translate(CAPITALS) if not piece.isascii() and _capitals.search(piece) else piece
+        return (_words_without_later if not spelled.isascii() and _later.search(spelled) else _words).findall(spelled)
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece of normalized text without white space."""
         ids = self.encoded.get(piece)
         if ids is None:
-            spelled = piece.translate(CAPITALS) if not piece.isascii() and _capitals.search(piece) else piece
-            words = (_words_without_later if not spelled.isascii() and _later.search(spelled) else _words).findall(spelled)
-            ids = self.encode_word(spelled) if len(words) == 1 else tuple([i for w in words for i in self.encode_piece(w)])
+            words = self.words(piece)
+            ids = self.encode_word(words[0]) if len(words) == 1 else tuple([i for w in words for i in self.encode_piece(w)])
             if len(piece) <= KEPT_CHARS:
                 if len(self.encoded) >= KEPT:
                     self.encoded.clear()
@@ -217,8 +237,13 @@ class Digest:
         self.v, self.known = v, {}
 
     def piece(self, x: str) -> tuple[int, str, str]:
-        ids = self.v.encode_piece(x)
-        got = (len(ids), " ".join(map(str, ids)), self.v.decode(ids))
+        words = self.v.words(x)
+        if len(words) == 1:
+            ids = self.v.encode_word(words[0])
+            got = (len(ids), " ".join(map(str, ids)), self.v.decode(ids))
+        else:
+            sizes, ids, decoded = zip(*[self.known.get(w) or self.piece(w) for w in words])
+            got = (sum(sizes), " ".join(ids), " ".join(decoded))
         if len(x) <= KEPT_CHARS:
             if len(self.known) >= KEPT_DIGESTS:
                 self.known.clear()
@@ -229,11 +254,14 @@ class Digest:
         known, got = self.known, []
         for part, special in self.v.parts(text or ""):
             if special is None:
-                got += [known.get(x) or self.piece(x) for x in self.v.pieces(part)]
+                pieces = self.v.pieces(part)
+                found = [*map(known.get, pieces)]
+                got += [g or self.piece(x) for g, x in zip(found, pieces)] if None in found else found
             else:
                 got.append((1, str(special), self.v.decode([special])))
-        sha = lambda k: hashlib.sha256(" ".join([g[k] for g in got]).encode("utf-8")).hexdigest()
-        return sum([g[0] for g in got]), sha(1), sha(2)
+        sizes, ids, decoded = zip(*got) if got else ((), (), ())
+        sha = lambda x: hashlib.sha256(" ".join(x).encode("utf-8")).hexdigest()
+        return sum(sizes), sha(ids), sha(decoded)
 
 
 _loaded: dict[int, tuple[Vocabulary, Digest]] = {}
