@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwatch.functions import addresses as A
@@ -194,13 +194,25 @@ def metadata(spark: SparkSession, d: str) -> DataFrame:
 META = "meta AS (SELECT c_custkey AS id, c_custkey % 3 + 1 AS status, CASE WHEN c_custkey % 4 = 0 THEN 'ping' ELSE 'traceroute' END AS type, CASE WHEN c_custkey % 5 = 0 THEN 6 ELSE 4 END AS af, CASE WHEN c_custkey % 7 = 0 THEN 3600 ELSE 900 END AS ival, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 300 END AS participants, '184.164.22' || (c_custkey % 10) || '.1' AS target FROM customer)"
 
 
+#: From here on every double is a whole number.
+WHOLE = float(1 << 52)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six digits without a negative zero; not a number becomes null.
 
     They are rounded to nine digits first, and what then ends in a five is moved off it: neither the order of a sum nor
-    the nearest binary fraction must decide where a tie at the sixth digit goes.
+    the nearest binary fraction must decide where a tie at the sixth digit goes. Numbers that have no nine digits behind
+    the point are multiplied and divided as SQL does it, which may move their last bit.
     """
-    return df.select(*[F.when(~F.isnan(c), F.round(F.round(c, 9) + F.signum(c) * 1e-10, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    def large(c: str) -> Column:
+        nine = F.col(c) * 1e9 / 1e9
+        x = (F.when(F.abs(nine) < float("inf"), nine).otherwise(F.col(c)) + F.signum(c) * 1e-10) * 1e6
+        six = F.when(F.abs(x) < WHOLE, F.signum(x) * F.floor(F.abs(x) + 0.5)).otherwise(x) / 1e6
+        return F.when(F.abs(six) < float("inf"), six).otherwise(F.col(c))
+
+    six = lambda c: F.when(F.abs(c) * 1e9 < WHOLE, F.round(F.round(c, 9) + F.signum(c) * 1e-10, 6) + F.lit(0.0)).otherwise(large(c))
+    return df.select(*[F.when(~F.isnan(c), six(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None = None, doubles: str = "") -> None:
