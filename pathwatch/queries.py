@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pathwatch.functions import addresses as A
 from pathwatch.functions import expand
 from pathwatch.operators import delay, forwarding, magnitude, publish, references, statistics
-from pathwatch.schema import DELAY_REFERENCE, HOPS, Params
+from pathwatch.schema import DELAY_ALARM, DELAY_REFERENCE, FORWARDING_ALARM, HOPS, MAGNITUDE, Params
 from pathwatch.session import work_path, written
 from pathwatch.sources import fixtures as fx
 from pathwatch.sources import tables, versions
@@ -479,7 +479,7 @@ def stored_alarms(s: SparkSession, d: str) -> DataFrame:
     path, told = work_path(s, "alarms"), written(alarms(s, d), "told")
     for _ in range(2):
         tables.write_results(told, path, "e")
-    return s.read.parquet(path).groupBy("exp_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+    return s.read.schema(f"exp_id string, date date, {DELAY_ALARM}").parquet(path).groupBy("exp_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
 
 
 def stored_experiments(s: SparkSession, d: str) -> DataFrame:
@@ -526,12 +526,17 @@ def _arriving(s: SparkSession, d: str, path: str, late: bool = False):
         yield
 
 
+def results(s: SparkSession, path: str, columns: str) -> DataFrame:
+    """The columns of a result table; no row where nothing was ever found, and no files lie there."""
+    return tables.read_results(s, path, s.createDataFrame([], columns).schema, P.exp_id)
+
+
 def streamed(s: SparkSession, d: str, kind: str, p: Params = P) -> DataFrame:
     """Alarms of a stream that is stopped after each piece and goes on from its checkpoint."""
     path = work_path(s, "stream")
     for _ in _arriving(s, d, path):
         jobs.detection_stream(s, f"{path}/arriving", fx.rib(s), p, f"{path}/references", f"{path}/out", f"{path}/state", kinds=(kind,), trim=False).awaitTermination()
-    return s.read.parquet(f"{path}/out/{kind}_alarms").drop("date", "bin", "exp_id")
+    return results(s, f"{path}/out/{kind}_alarms", {"delay": DELAY_ALARM, "forwarding": FORWARDING_ALARM}[kind])
 
 
 def late_traceroutes(s: SparkSession, d: str) -> DataFrame:
@@ -560,14 +565,14 @@ def replayed(s: SparkSession, d: str) -> DataFrame:
     first = LAST - 2 * P.window
     jobs.analyse(s, t, fx.rib(s), P, P.start, first, f"{path}/references", f"{path}/out", ("delay",), trim=False)
     jobs.replay(s, t, fx.rib(s), P, first, 2, f"{path}/references", f"{path}/out", kinds=("delay",), trim=False)
-    return s.read.parquet(f"{path}/out/delay_alarms").drop("date", "bin", "exp_id")
+    return results(s, f"{path}/out/delay_alarms", DELAY_ALARM)
 
 
 def monitored_magnitudes(s: SparkSession, d: str) -> DataFrame:
     """Magnitudes of the bin NOW for every network with a link end in it, alarm or not."""
     path = work_path(s, "monitored")
     jobs.analyse(s, fx.traces(s, d), fx.rib(s), P, P.start, NOW + P.window, f"{path}/references", f"{path}/out", ("delay",), trim=False)
-    return s.read.parquet(f"{path}/out/delay_magnitude").where(F.col("time_bin") == NOW).select("asn", "time_bin", "value", "magnitude")
+    return results(s, f"{path}/out/delay_magnitude", MAGNITUDE).where(F.col("time_bin") == NOW).select("asn", "time_bin", "value", "magnitude")
 
 
 def versioned_reference(s: SparkSession, d: str) -> DataFrame:

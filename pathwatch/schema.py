@@ -11,6 +11,10 @@ TRACEROUTE = f"timestamp long, endtime long, af int, msm_id long, prb_id long, `
 PREFIXES = "prefix string, masklen int, asn long, asname string, country string"
 DELAY_REFERENCE = "ip1 string, ip2 string, mean double, high double, low double, boot array<struct<med:double,hi:double,lo:double>>, first_seen long, last_seen long, nb_seen int, nb_reported int, nb_trimmed int"
 FORWARDING_REFERENCE = "dst string, ip0 string, ref map<string,double>, first_seen long, last_seen long, nb_seen int, nb_reported int"
+#: What stored alarms and magnitudes hold beside their measurements; a table without a row has no schema of its own.
+DELAY_ALARM = "time_bin long, ip1 string, ip2 string, n long, median double, lo double, hi double, ref double, ref_low double, ref_high double, nb_seen int, diff double, diff_med double, deviation double, dev_bound double"
+FORWARDING_ALARM = "time_bin long, dst string, ip0 string, corr double, nb_samples int, nb_peers int, nb_seen int"
+MAGNITUDE = "asn long, time_bin long, value double, magnitude double"
 
 
 @dataclass(frozen=True)
