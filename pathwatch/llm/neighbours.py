@@ -23,6 +23,8 @@ AIM = 0.985
 #: Rows, and queries, that meet in one task: larger partitions are split by a hash.
 BLOCK, QUERY_BLOCK = 8192, 4096
 HIDDEN, GRAPH_K, SLACK = 96, 12, 1.1
+#: Numbers in a matrix of the learning, at most: the driver takes as many rows at once as fit, whatever the sample's size.
+CELLS = 1 << 21
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -35,10 +37,11 @@ def nearest_of(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of each row's k nearest others; k < len(x)."""
     out = []
     sq = (x * x).sum(axis=1)
-    for at in range(0, len(x), 512):
-        d = sq[None, :] - 2 * x[at : at + 512] @ x.T
+    step = max(1, min(512, CELLS // len(x)))
+    for at in range(0, len(x), step):
+        d = sq[None, :] - 2 * x[at : at + step] @ x.T
         d[np.arange(d.shape[0]), at + np.arange(d.shape[0])] = np.inf
-        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k].copy())  # a view would keep all of it
     return np.concatenate(out)
 
 
@@ -62,16 +65,16 @@ def balanced_cut(x: np.ndarray, graph: np.ndarray, parts: int, passes: int = 6)
         pieces += [order[: len(p) // 2], order[len(p) // 2 :]]
     for k, p in enumerate(pieces):
         part[p] = k
-    both = [set(r) for r in graph.tolist()]
-    for i, r in enumerate(graph.tolist()):
-        for j in r:
-            both[j].add(i)
+    # each node's neighbours of either direction, once each
+    ends = np.stack([np.repeat(np.arange(len(x)), graph.shape[1]), graph.ravel()])
+    pairs = np.unique(np.concatenate([ends[0] * len(x) + ends[1], ends[1] * len(x) + ends[0]]))
+    both = np.split(pairs % len(x), np.searchsorted(pairs, np.arange(1, len(x)) * len(x)))
     room = int(np.ceil(SLACK * len(x) / parts))
     size = np.bincount(part, minlength=parts)
     for _ in range(passes):
         moved = 0
         for i, near in enumerate(both):
-            have = np.bincount(part[list(near)], minlength=parts) if near else np.zeros(parts)
+            have = np.bincount(part[near], minlength=parts)
             have[(size >= room) & (np.arange(parts) != part[i])] = -1
             to = int(have.argmax())
             if have[to] > have[part[i]]:
@@ -106,10 +109,10 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :m]
 
 
-def train(x: np.ndarray, target: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 0.005, seed: int = 5) -> Router:
-    """Adam on the cross entropy with each vector's distribution of neighbours over the partitions."""
+def train(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, epochs: int = 60, batch: int = 128, rate: float = 0.005, seed: int = 5) -> Router:
+    """Adam on the cross entropy with each vector's partition and, by as much, the distribution of its neighbours over the partitions."""
     g = np.random.default_rng(seed)
-    d, parts = x.shape[1], target.shape[1]
+    d, k = x.shape[1], graph.shape[1]
     p = [g.normal(size=(d, HIDDEN)) / np.sqrt(d), np.zeros(HIDDEN), g.normal(size=(HIDDEN, parts)) / np.sqrt(HIDDEN), np.zeros(parts)]
     r = Router(p, x.mean(axis=0), float(x.std()) or 1.0)
     z = (x - r.mean) / r.scale
@@ -121,7 +124,10 @@ def train(x: np.ndarray, target: np.ndarray, epochs: int = 60, batch: int = 128,
             h = np.maximum(z[i] @ p[0] + p[1], 0)
             q = h @ p[2] + p[3]
             q = np.exp(q - q.max(axis=1, keepdims=True))
-            e = (q / q.sum(axis=1, keepdims=True) - target[i]) / len(i)
+            target = np.zeros((len(i), parts))
+            np.add.at(target, (np.repeat(np.arange(len(i)), k), part[graph[i]].ravel()), 0.5 / k)
+            target[np.arange(len(i)), part[i]] += 0.5
+            e = (q / q.sum(axis=1, keepdims=True) - target) / len(i)
             eh = (e @ p[2].T) * (h > 0)
             t += 1
             for v, gr, m1, m2 in zip(p, [z[i].T @ eh, eh.sum(axis=0), h.T @ e, e.sum(axis=0)], a, s):
@@ -141,16 +147,16 @@ def learn(x: np.ndarray, n_rows: int) -> Router:
         return Router([np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], np.zeros(d), 1.0)
     graph = nearest_of(x, GRAPH_K)
     part = balanced_cut(x, graph, parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), GRAPH_K), part[graph].ravel()), 1 / GRAPH_K)
-    target = 0.5 * target + 0.5 * np.eye(parts)[part]
-    router = train(x, target)
-    home = router.probes_of(x, 1)[:, 0]
-    order = router.probes_of(x, parts)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
-    near = graph[:, :NEAREST]
-    seen = np.take_along_axis(rank, home[near], axis=1)
+    router = train(x, part, graph, parts)
+    step = max(1, CELLS // parts)
+    home = np.concatenate([router.probes_of(x[at : at + step], 1)[:, 0] for at in range(0, len(x), step)])
+    seen = []
+    for at in range(0, len(x), step):
+        order = router.probes_of(x[at : at + step], parts)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
+        seen.append(np.take_along_axis(rank, home[graph[at : at + step, :NEAREST]], axis=1))
+    seen = np.concatenate(seen)
     recall = [(seen < m).mean() for m in range(1, parts + 1)]
     router.probes = int(np.argmax(np.array(recall) >= AIM)) + 1
     return router
@@ -207,7 +213,9 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str = "
     rows = rows.where(F.size("v") == d).groupBy("vec_id", "v").agg(F.max("q").alias("q"))
     size = min(SAMPLE_MOST, max(SAMPLE_LEAST, n // SHARE))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 2_000_000 * size / n).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size)
-    router = learn(np.array([r["v"] for r in drawn.collect()], dtype=np.float64).reshape(-1, d), n)
+    # as flat numbers, without an object for each
+    flat = [c.flatten().to_numpy() for c in drawn.select("v").toArrow().column("v").chunks]
+    router = learn(np.concatenate([np.empty(0), *flat]).reshape(-1, d), n)
     sent = spark.sparkContext.broadcast(router)
 
     def routed(m: int):
